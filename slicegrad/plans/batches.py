@@ -69,9 +69,13 @@ class BatchReader:
     table also survives the loss of executors.
     """
 
-    def __init__(self, points: DataFrame, n_rows: int, batch_size: int, iterations: int, seed: int):
+    def __init__(
+        self, points: DataFrame, n_rows: int, batch_size: int, iterations: int, seed: int,
+        rows_per_file: int = ROWS_PER_FILE,
+    ):
         self.points, self.n_rows, self.batch_size = points, n_rows, batch_size
         self.iterations, self.seed = iterations, seed
+        self.files = -(-batch_size // rows_per_file)
         self.group = max(1, min(iterations, SLOTS_PER_PASS // batch_size))
         self._first, self._table = None, None
 
@@ -79,9 +83,8 @@ class BatchReader:
         spark = self.points.sparkSession
         count = min(self.group, self.iterations - first)
         slots = draw_slots(spark, self.n_rows, self.batch_size, count, self.seed, first)
-        files = max(1, self.batch_size // ROWS_PER_FILE)
         rows = gather(self.points, slots).repartition(
-            min(count * files, 1000), "t", F.col("slot") % files
+            min(count * self.files, 1000), "t", F.col("slot") % self.files
         )
         path = scratch_path(spark, "batches")
         rows.write.partitionBy("t").parquet(path)

@@ -20,12 +20,13 @@ from slicegrad.operators.sampling import draw_slots
 from slicegrad.plans.batches import BatchReader, Profile, gather, profile_points
 from slicegrad.session import bounded_broadcast, cut_lineage, loop_settings
 
-MAX_BLOCK = 32
+#: Wider blocks make generated methods too long for the just-in-time compiler.
+MAX_BLOCK = 16
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Layer sizes and the block width, the largest divisor of ``hidden`` that is at most 32."""
+    """Layer sizes and the block width, the largest divisor of ``hidden`` that is at most 16."""
 
     features: int
     hidden: int
@@ -94,8 +95,12 @@ class Network:
 
         blocks = F.explode(F.array(*[F.lit(b) for b in range(shape.blocks)])).alias("block")
         self._own = ["slot", "label", blocks, *[F.lit(0.0).alias(name) for name in z]]
-        self._terms = ["slot", F.lit(None).cast("double").alias("label"), "block"] + [
-            (F.col(w[p]) * F.col("value")).alias(z[p]) for p in positions
+        products = [(F.col(w[p]) * F.col("value")).alias(z[p]) for p in positions]
+        self._terms = ["slot", F.lit(None).cast("double").alias("label"), "block", *products]
+        self._cells = ["slot", "label", F.inline_outer("features")]
+        self._blocks = ["slot", "label", "feature", "value", blocks]
+        self._filled = ["slot", "label", "block"] + [
+            F.coalesce(F.col(w[p]) * F.col("value"), F.lit(0.0)).alias(z[p]) for p in positions
         ]
         self._z = [F.max("label").alias("label")] + [F.sum(name).alias(name) for name in z]
         self._h = ["slot", "label", "block"] + [S.sigmoid(F.col(z[p])).alias(h[p]) for p in positions]
@@ -146,11 +151,14 @@ class Network:
     def hidden(self, batch: DataFrame, state: DataFrame) -> DataFrame:
         """Hidden activations of the batch: ``(slot, label, block, h0..)``."""
         weights = state.where("layer = 0").select(F.col("i").alias("feature"), "block", *self.shape.names("w"))
+        if self.placement.small:
+            cells = batch.select(*self._cells).select(*self._blocks)
+            met = cells.join(F.broadcast(weights), ["feature", "block"], "left")
+            return met.select(*self._filled).groupBy("slot", "block").agg(*self._z).select(*self._h)
         cold, hot = st.split_cells(batch, self.placement)
-        parts = batch.select(*self._own)
-        if cold is not None:
-            parts = parts.unionByName(cold.join(weights, "feature").select(*self._terms))
         near = st.hot_weights(weights, self.placement)
+        parts = batch.select(*self._own)
+        parts = parts.unionByName(cold.join(weights, "feature").select(*self._terms))
         parts = parts.unionByName(hot.join(near, "feature").select(*self._terms))
         return parts.groupBy("slot", "block").agg(*self._z).select(*self._h)
 
@@ -243,22 +251,24 @@ def train_mlp(
     if placement is None:
         placement = st.plan_placement(profile.num_features, hidden + 3 * shape.blocks, partitions, points)
     network = Network(shape, placement, batch_size, step, reg)
-    reader = BatchReader(points, profile.n_rows, batch_size, iterations, seed)
-    # A dense batch is wide work even when the model is small, so the sums keep several tasks.
-    tasks = max(partitions, min(spark.sparkContext.defaultParallelism, batch_size * hidden // 100_000 + 1))
+    # Every cell meets all hidden neurons, so even a short batch is worth several tasks.
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(partitions, min(cores, batch_size * hidden // 20_000 + 1))
+    rows_per_file = max(1, -(-batch_size // tasks))
+    reader = BatchReader(points, profile.n_rows, batch_size, iterations, seed, rows_per_file)
     records = []
     with loop_settings(spark, tasks):
         state = cut_lineage(mlp_init(spark, shape, seed, partitions))
         for t in range(iterations):
             batch = reader.batch(t)
-            activations = network.hidden(batch, state).persist()
-            out = network.outputs(activations, state).persist()
+            # Written out rather than cached: both passes read them, and a plan that starts from plain
+            # rows stays small enough for its compiled code to be reused in the next iteration.
+            activations = cut_lineage(network.hidden(batch, state))
+            out = cut_lineage(network.outputs(activations, state))
             if history:
                 seen = out.agg(*network.metrics).first()
                 records.append((t, seen["loss"], None, seen["accuracy"]))
             state = cut_lineage(network.step(batch, activations, out, state))
-            out.unpersist()
-            activations.unpersist()
     return MlpModel(shape, state, spark.createDataFrame(records, HISTORY_SCHEMA), placement, records)
 
 
