@@ -44,6 +44,11 @@ def plan_placement(
     """
     if fits_broadcast(num_features, columns) or points is None:
         return Placement(partitions)
+    return split_placement(points, columns, partitions)
+
+
+def split_placement(points: DataFrame, columns: int, partitions: int) -> Placement:
+    """The placement for a large model: finds the hot features in one aggregation over the cells."""
     limit = min(HOT_PER_PARTITION * partitions, BROADCAST_BYTES // (columns * 8 + 16))
     counts = points.select(F.inline("features")).groupBy("feature").agg(F.count("*").alias("n"))
     counts = counts.persist()

@@ -66,7 +66,7 @@ def _row_sgd(data: DataFrame, model: str, iterations: int, step: float, reg: flo
     )
 
 
-def coefficients(model, num_features: int, classes: int = 2) -> list[tuple[int, int, float]]:
+def coefficients(model) -> list[tuple[int, int, float]]:
     """``(feature, k, w)`` of a fitted linear baseline."""
     if hasattr(model, "weights"):
         return [(f, 0, float(w)) for f, w in enumerate(model.weights.toArray())]
