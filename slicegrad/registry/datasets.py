@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicegrad.operators.columns import FEATURES_TYPE, make_features
+from slicegrad.session import written
 from slicegrad.sources.clicklog import CATEGORIES, INTEGERS, N_INTEGERS, criteo_features
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -75,8 +76,9 @@ def order_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def click_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed orders: 13 integers and 4,096 buckets. Most categories are missing, so some buckets are in
-    every row while a customer's bucket is rare: heavily skewed features."""
-    return criteo_features(order_clicks(spark, sf_dir), CLICK_BUCKETS)
+    every row while a customer's bucket is rare: heavily skewed features. Hashing costs more than reading
+    its result, and training passes over the points more than once, so they are written first."""
+    return written(criteo_features(order_clicks(spark, sf_dir), CLICK_BUCKETS), "points")
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +94,6 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sold.select(F.inline(both))
 
 
-def sample_model(features: int, k: int = 1) -> list:
-    """Weight columns of a fixed model given by a formula over the feature and the position."""
-    del features
-    return [formula_weight(F.col("feature"), position).alias(f"w{position}") for position in range(k)]
-
-
-def formula_weight(feature, position: int):
-    return ((feature * 7 + 3 * position) % 11 - 5) / F.lit(10.0)
+def formula_weight(feature: Column, position: int) -> Column:
+    """Weight of a fixed model, given by a formula over the feature and the position."""
+    return F.sqrt(((feature * 7 + 3 * position) % 11 + 2).cast("double")) - F.lit(2.5)

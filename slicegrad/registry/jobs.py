@@ -104,9 +104,10 @@ def rewrite_files(spark, sf):
     keys = ds.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("value"))
     keys.write.text(source)
     texts.rewrite_files(spark, source, target, 8)
-    return spark.read.text(target).agg(
+    lines = spark.read.text(target).select("value", F.input_file_name().alias("file"))
+    return lines.agg(
         F.count("*").alias("n_lines"),
-        F.count_distinct(F.input_file_name()).cast("int").alias("n_files"),
+        F.count_distinct("file").cast("int").alias("n_files"),
         F.sum(F.col("value").cast("bigint")).alias("total"),
     )
 

@@ -278,7 +278,7 @@ def score_sql() -> str:
 def chain_sql() -> str:
     """Three models over the same points; the names of the expressions are local to each subquery."""
     parts = []
-    for name, kind, k in (("lr", "lr", 1), ("svm", "svm", 1), ("fm", "fm", 4)):
+    for name, kind, k in (("lr", "lr", 1), ("svm", "svm", 1), ("fm", "fm", 5)):
         sql = trained_weights(kind, event_cells(), EVENT_FEATURES, k)
         parts.append(f"SELECT '{name}' AS model, * FROM ({sql})")
     return " UNION ALL ".join(parts)
@@ -286,7 +286,7 @@ def chain_sql() -> str:
 
 # -------------------------------------------------------------------------------- single operators
 
-FORMULA = "CAST(((feature * 7 + 3 * k) % 11 - 5) AS DOUBLE) / 10.0::DOUBLE"
+FORMULA = "sqrt(CAST(((feature * 7 + 3 * k) % 11 + 2) AS DOUBLE)) - 2.5::DOUBLE"
 
 
 def fixed_model(features: int, k: int) -> str:
@@ -475,12 +475,12 @@ def all_queries() -> dict[str, str]:
         "train_svm": trained_weights("svm", events, EVENT_FEATURES),
         "train_mlr": trained_weights("mlr", event_cells(True), EVENT_FEATURES, 5),
         "train_mlr_dense": trained_weights("mlr", EMBEDDING_CELLS, EMBEDDING_SIZE, 10),
-        "train_fm": trained_weights("fm", events, EVENT_FEATURES, 4),
+        "train_fm": trained_weights("fm", events, EVENT_FEATURES, 5),
         "train_adamlr": trained_weights("lr", events, EVENT_FEATURES, adam=True, step=0.05),
         "train_adamsvm": trained_weights("svm", events, EVENT_FEATURES, adam=True, step=0.05),
         "train_lr_clicks": trained_weights("lr", CLICK_CELLS, CLICK_FEATURES, step=0.1),
         "train_lr_partitioned": trained_weights("lr", CLICK_CELLS, CLICK_FEATURES, step=0.1),
-        "train_fm_partitioned": trained_weights("fm", CLICK_CELLS, CLICK_FEATURES, 4, step=0.01),
+        "train_fm_partitioned": trained_weights("fm", CLICK_CELLS, CLICK_FEATURES, 5, step=0.01),
         "mlp_forward": f"{mlp_all_rows()}\nSELECT slot AS row_id, CAST(k AS INTEGER) AS k, {rounded('p')} AS p FROM p0",
         "mlp_metrics": f"{mlp_all_rows()}\nSELECT {rounded('avg(-ln(own))')} AS loss, "
         f"{rounded('avg(CASE WHEN own >= top THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM "

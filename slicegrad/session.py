@@ -64,6 +64,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a columnar table in the shared folder and read it back.
+
+    Unlike a checkpoint, the table can be read column by column.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fits_broadcast(rows: int, columns: int) -> bool:
     """True when ``rows`` rows of ``columns`` eight-byte fields stay below the broadcast bound."""
     return rows * (columns * 8 + 16) <= BROADCAST_BYTES

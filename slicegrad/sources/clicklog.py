@@ -35,51 +35,64 @@ def write_clicks(clicks: DataFrame, path: str) -> None:
     clicks.select("label", *INTEGERS, *CATEGORIES).write.csv(path, sep="\t", quote="", emptyValue="")
 
 
-def category_tokens(names: list[str], hash_missing: bool = True) -> Column:
+def category_tokens(names: list[str], hash_missing: bool = True) -> list[Column]:
     """Categories tagged with their position, so equal values of different columns hash apart.
 
-    A missing category still gives the token ``position:`` unless ``hash_missing`` is off.
+    A missing category still gives the token ``position:``; with ``hash_missing`` off it gives null.
     """
-    values = F.array(*[F.coalesce(F.col(name).cast("string"), F.lit("")) for name in names])
-    tagged = F.transform(values, lambda value, i: F.concat(i.cast("string"), F.lit(":"), value))
-    if hash_missing:
-        return tagged
-    return F.filter(tagged, lambda token: F.split_part(token, F.lit(":"), F.lit(2)) != "")
+    tokens = []
+    for position, name in enumerate(names):
+        value = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        token = F.concat(F.lit(f"{position}:"), value)
+        tokens.append(token if hash_missing else F.when(value != "", token))
+    return tokens
 
 
 def hash_features(
-    df: DataFrame, row_id: str, tokens: Column, n_buckets: int, method: str = "md5", shift: int = 0
+    df: DataFrame, row_id: str, tokens: list[Column], n_buckets: int, method: str = "md5", shift: int = 0
 ) -> DataFrame:
     """Signed feature hashing: ``(row_id, bucket, value)`` with the sum of signs per bucket.
 
     Buckets whose signs cancel are dropped. A row's own tokens decide the size of a group, so no bucket
     or token can gather rows from elsewhere.
     """
-    hashed = df.select(F.col(row_id).alias("row_id"), F.explode(tokens).alias("token"))
+    hashed = df.select(F.col(row_id).alias("row_id"), F.explode(F.array(*tokens)).alias("token"))
+    hashed = hashed.where("token is not null")
     hashed = hashed.withColumn("h", signed_hash(F.col("token"), method))
     buckets = hashed.groupBy("row_id", (hash_bucket(F.col("h"), n_buckets) + shift).alias("bucket"))
     return buckets.agg(F.sum(hash_sign(F.col("h"))).alias("value")).where("value <> 0")
 
 
-def hashed_cells(tokens: Column, n_buckets: int, method: str = "md5", shift: int = 0) -> Column:
-    """The same hashing inside one row: a ``features`` array, computed without any shuffle."""
-    signed = F.transform(tokens, lambda token: signed_hash(token, method))
-    pairs = F.transform(
-        signed, lambda h: F.struct(hash_bucket(h, n_buckets).alias("b"), hash_sign(h).alias("s"))
-    )
-    buckets = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["b"])))
-    sums = F.transform(
-        buckets,
-        lambda b: F.struct(
-            (b + shift).alias("feature"),
-            F.aggregate(
-                pairs, F.lit(0), lambda acc, p: acc + F.when(p["b"] == b, p["s"]).otherwise(F.lit(0))
-            )
-            .cast("double")
-            .alias("value"),
-        ),
+def hashed_cells(tokens: list[Column], n_buckets: int, method: str = "md5", shift: int = 0) -> Column:
+    """The same hashing inside one row: a ``features`` array, computed without any shuffle.
+
+    Bucket and sign of a token are folded into one number, the numbers are sorted, and one pass over them
+    sums the signs of equal buckets. Null tokens are left out.
+    """
+    codes = []
+    for token in tokens:
+        h = signed_hash(token, method)
+        positive = F.when(h >= 0, 1).otherwise(0)
+        codes.append(F.when(token.isNotNull(), hash_bucket(h, n_buckets) * 2 + positive))
+    ordered = F.array_sort(F.array_compact(F.array(*codes)))
+
+    def closed(acc: Column) -> Column:
+        cell = F.struct((acc["bucket"] + shift).alias("feature"), acc["total"].cast("double").alias("value"))
+        return F.when(acc["total"] != 0, F.concat(acc["done"], F.array(cell))).otherwise(acc["done"])
+
+    def merge(acc: Column, code: Column) -> Column:
+        bucket, sign = F.shiftright(code, 1), code.bitwiseAND(F.lit(1)) * 2 - 1
+        same = bucket == acc["bucket"]
+        return F.struct(
+            F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"),
+            bucket.alias("bucket"),
+            F.when(same, acc["total"] + sign).otherwise(sign).alias("total"),
+        )
+
+    start = F.struct(
+        F.array().cast(FEATURES_TYPE).alias("done"), F.lit(-1).alias("bucket"), F.lit(0).alias("total")
     )
-    return F.filter(sums, lambda cell: cell["value"] != 0.0).cast(FEATURES_TYPE)
+    return F.aggregate(ordered, start, merge, closed)
 
 
 def binary_label(label: Column) -> Column:
@@ -96,7 +109,10 @@ def criteo_features(
     """
     integers = F.array(
         *[
-            F.struct(F.lit(position).alias("feature"), F.col(name).cast("double").alias("value"))
+            F.struct(
+                F.lit(position).alias("feature"),
+                F.coalesce(F.col(name).cast("double"), F.lit(0.0)).alias("value"),
+            )
             for position, name in enumerate(INTEGERS)
         ]
     ).cast(FEATURES_TYPE)

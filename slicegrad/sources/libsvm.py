@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 from slicegrad.operators.columns import FEATURES_TYPE, with_dense_ids
 
 
-def parse_line(line: Column) -> tuple[Column, Column]:
-    """Label and zero-based features of a trimmed, non-empty libsvm line.
-
-    Indices in the text are one-based and must ascend strictly; a line that breaks this raises.
-    """
+def parse_features(line: Column) -> Column:
+    """Zero-based cells of a trimmed libsvm line; not yet checked."""
     tokens = F.split(line, r"\s+")
-    cells = F.transform(
+    return F.transform(
         F.slice(tokens, 2, F.size(tokens)),
         lambda token: F.struct(
             (F.split_part(token, F.lit(":"), F.lit(1)).cast("int") - 1).alias("feature"),
             F.split_part(token, F.lit(":"), F.lit(2)).cast("double").alias("value"),
         ),
     ).cast(FEATURES_TYPE)
-    indices = F.transform(cells, lambda cell: cell["feature"])
+
+
+def checked_features(features: Column, line: Column) -> Column:
+    """The cells, or an error unless their one-based indices ascend strictly."""
+    indices = F.transform(features, lambda cell: cell["feature"])
     ascending = F.array_sort(F.array_distinct(indices)) == indices
-    valid = ascending & F.coalesce(F.element_at(indices, 1) >= 0, F.lit(True))
+    one_based = F.coalesce(F.get(indices, F.lit(0)) >= 0, F.lit(True))
     complaint = F.concat(F.lit("indices must be one-based and ascending: "), line)
-    return tokens[0].cast("double"), F.when(valid, cells).otherwise(F.raise_error(complaint))
+    return F.when(ascending & one_based, features).otherwise(F.raise_error(complaint).cast(FEATURES_TYPE))
 
 
 def scan_libsvm(spark: SparkSession, path: str) -> DataFrame:
@@ -35,8 +36,9 @@ def scan_libsvm(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "\t", " ")).alias("line"))
     lines = lines.where("line <> '' and not startswith(line, '#')")
-    label, features = parse_line(F.col("line"))
-    return lines.select(label.alias("label"), features.alias("features"))
+    label = F.split_part("line", F.lit(" "), F.lit(1)).cast("double").alias("label")
+    parsed = lines.select("line", label, parse_features(F.col("line")).alias("features"))
+    return parsed.select("label", checked_features(F.col("features"), F.col("line")).alias("features"))
 
 
 def read_libsvm(spark: SparkSession, path: str) -> DataFrame:
