@@ -67,7 +67,8 @@ def split_cells(batch: DataFrame, placement: Placement, *extra: str) -> tuple[Da
     mark = F.broadcast(placement.hot.withColumn("is_hot", F.lit(True)))
     marked = cells.join(mark, "feature", "left")
     cold = marked.where("is_hot is null").drop("is_hot").repartition(placement.partitions, "feature")
-    return cold, marked.where("is_hot").drop("is_hot")
+    # A batch is smaller than a large model: hash the cells and stream the model past them, unsorted.
+    return cold.hint("shuffle_hash"), marked.where("is_hot").drop("is_hot")
 
 
 def hot_weights(weights: DataFrame, placement: Placement) -> DataFrame:

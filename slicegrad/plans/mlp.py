@@ -174,6 +174,8 @@ class Network:
         back = hidden.join(delta, "slot").join(self._second_layer(state), "block").select(*self._backward)
         second = back.groupBy("i", "block").agg(*self._second_sums).select(*self._as_second)
         inner = back.groupBy("slot", "block").agg(*self._hidden_sums).select(*self._hidden_delta)
+        if not self.placement.small:
+            inner = cut_lineage(inner)  # read by both kinds of cells
         inner = bounded_broadcast(inner, self.batch_size * shape.blocks, shape.width + 1)
         grads = second
         for cells in st.split_cells(batch, self.placement):

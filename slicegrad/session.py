@@ -89,10 +89,12 @@ def loop_settings(spark: SparkSession, shuffle_partitions: int):
     """Settings for short iterative jobs, restored afterwards.
 
     An iteration's sizes are known beforehand, so re-planning at run time only adds latency, and it could
-    merge partitions of the model and so break the partitioning it shares with the data.
+    merge partitions of the model and so break the partitioning it shares with the data. Joins on several
+    columns may use a partitioning by one of them, the feature.
     """
     wanted = {
         "spark.sql.adaptive.enabled": "false",
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
     }
     before = {key: spark.conf.get(key, None) for key in wanted}

@@ -2,16 +2,28 @@
 
 import re
 
+import pytest
 from conftest import make_points, random_rows
 from pyspark.sql import functions as F
 
 from slicegrad.operators import statistics as st
+from slicegrad.plans import mlp
 from slicegrad.plans.batches import BatchReader
 from slicegrad.plans.objectives import Adam, Logistic, Sgd
 from slicegrad.plans.train import Plan, initial_state
 from slicegrad.session import BROADCAST_BYTES, cut_lineage, fits_broadcast, loop_settings
 
 
+@pytest.fixture(autouse=True)
+def no_automatic_broadcast(spark):
+    """Tables here are tiny; without this Spark would broadcast the model by itself."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
 def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -26,7 +38,8 @@ def split_setup(spark, partitions=4):
     placement = st.split_placement(points, 1, partitions)
     objective = Logistic()
     plan = Plan(objective, Sgd(), placement, 50, 0.1, 0.0)
-    state = cut_lineage(initial_state(spark, objective, Sgd(), 200, partitions, 42))
+    with loop_settings(spark, partitions):
+        state = cut_lineage(initial_state(spark, objective, Sgd(), 200, partitions, 42))
     batch = BatchReader(points, 400, 50, 2, 42).batch(1)
     return points, placement, plan, state, batch
 
@@ -48,7 +61,7 @@ def test_statistics_do_not_shuffle_the_model(spark):
     # Cold cells to the model's partitions, and the statistics to their slots; nothing else.
     exchanges = re.findall(r"Exchange hashpartitioning\(([a-z_]+)", text)
     assert sorted(exchanges) == ["feature", "slot"]
-    assert "SortMergeJoin" in text or "ShuffledHashJoin" in text
+    assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
 
 
 def test_an_update_does_not_shuffle_the_model(spark):
@@ -81,6 +94,26 @@ def test_small_models_shuffle_statistics_only(spark):
         assert "partial_sum" in text
 
 
+def test_the_perceptron_does_not_shuffle_its_weights(spark):
+    points = make_points(spark, skewed_rows())
+    placement, shape = st.split_placement(points, 8, 4), mlp.Shape(200, 8, 2)
+    network = mlp.Network(shape, placement, 50, 0.1, 0.0)
+    batch = BatchReader(points, 400, 50, 1, 42).batch(0)
+    with loop_settings(spark, 4):
+        state = cut_lineage(mlp.mlp_init(spark, shape, 42, 4))
+        hidden = network.hidden(batch, state)
+        plans = [hidden]
+        hidden = cut_lineage(hidden)
+        out = cut_lineage(network.outputs(hidden, state))
+        plans.append(network.step(batch, hidden, out, state))
+        for plan in plans:
+            lines = executed(plan).splitlines()
+            for above, line in zip(lines, lines[1:]):
+                if "Scan ExistingRDD[layer" in line:
+                    assert "Exchange hashpartitioning" not in above
+            assert not any("Exchange hashpartitioning(layer" in line for line in lines)
+
+
 def test_no_python_in_the_loop(spark):
     _, _, plan, state, batch = split_setup(spark)
     with loop_settings(spark, 4):
