@@ -63,36 +63,55 @@ def hash_features(
     return buckets.agg(F.sum(hash_sign(F.col("h"))).alias("value")).where("value <> 0")
 
 
-def hashed_cells(tokens: list[Column], n_buckets: int, method: str = "md5", shift: int = 0) -> Column:
-    """The same hashing inside one row: a ``features`` array, computed without any shuffle.
+def hash_in_row(
+    df: DataFrame, keep: list[Column], name: str, tokens: list[Column], n_buckets: int, method: str = "md5",
+    shift: int = 0,
+) -> DataFrame:
+    """The columns ``keep`` and the ``features`` array ``name`` of the same hashing, without any shuffle.
 
-    Bucket and sign of a token are folded into one number, the numbers are sorted, and one pass over them
-    sums the signs of equal buckets. Null tokens are left out.
+    Bucket and sign of a token are folded into one number and the numbers of a row are sorted. In most
+    rows no two tokens share a bucket and every number is a cell already; otherwise one pass over the
+    numbers sums the signs of equal buckets. Numbers and bucket count are a projection of their own, used
+    more than once by the next one, so Spark computes them in generated code and once per row.
     """
-    codes = []
+    buckets, codes = [], []
     for token in tokens:
         h = signed_hash(token, method)
-        positive = F.when(h >= 0, 1).otherwise(0)
-        codes.append(F.when(token.isNotNull(), hash_bucket(h, n_buckets) * 2 + positive))
-    ordered = F.array_sort(F.array_compact(F.array(*codes)))
+        bucket = F.when(token.isNotNull(), hash_bucket(h, n_buckets)).otherwise(F.lit(-1))
+        buckets.append(bucket)
+        codes.append(bucket * 2 + F.when(h >= 0, 1).otherwise(0))
+    coded = df.select(
+        *keep,
+        F.sort_array(F.array(*codes)).alias("_codes"),
+        F.size(F.array_distinct(F.array(*buckets))).alias("_distinct"),
+    )
+    names = [c for c in coded.columns if c not in ("_codes", "_distinct")]
+
+    def cell(bucket: Column, value: Column) -> Column:
+        return F.struct((bucket + shift).alias("feature"), value.cast("double").alias("value"))
+
+    def sign(code: Column) -> Column:
+        return code.bitwiseAND(F.lit(1)) * 2 - 1
 
     def closed(acc: Column) -> Column:
-        cell = F.struct((acc["bucket"] + shift).alias("feature"), acc["total"].cast("double").alias("value"))
-        return F.when(acc["total"] != 0, F.concat(acc["done"], F.array(cell))).otherwise(acc["done"])
+        kept = (acc["total"] != 0) & (acc["bucket"] >= 0)
+        return F.when(kept, F.concat(acc["done"], F.array(cell(acc["bucket"], acc["total"])))).otherwise(acc["done"])
 
     def merge(acc: Column, code: Column) -> Column:
-        bucket, sign = F.shiftright(code, 1), code.bitwiseAND(F.lit(1)) * 2 - 1
+        bucket = F.shiftright(code, 1)
         same = bucket == acc["bucket"]
         return F.struct(
             F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"),
             bucket.alias("bucket"),
-            F.when(same, acc["total"] + sign).otherwise(sign).alias("total"),
+            F.when(same, acc["total"] + sign(code)).otherwise(sign(code)).alias("total"),
         )
 
-    start = F.struct(
-        F.array().cast(FEATURES_TYPE).alias("done"), F.lit(-1).alias("bucket"), F.lit(0).alias("total")
-    )
-    return F.aggregate(ordered, start, merge, closed)
+    nothing = F.array().cast(FEATURES_TYPE)
+    start = F.struct(nothing.alias("done"), F.lit(-1).alias("bucket"), F.lit(0).alias("total"))
+    summed = F.aggregate("_codes", start, merge, closed)
+    plain = F.transform("_codes", lambda code: cell(F.shiftright(code, 1), sign(code)))
+    unshared = (F.col("_distinct") == len(tokens)) & (F.get("_codes", F.lit(0)) >= 0)
+    return coded.select(*names, F.when(unshared, plain).otherwise(summed).cast(FEATURES_TYPE).alias(name))
 
 
 def binary_label(label: Column) -> Column:
@@ -116,11 +135,11 @@ def criteo_features(
             for position, name in enumerate(INTEGERS)
         ]
     ).cast(FEATURES_TYPE)
-    hashed = hashed_cells(category_tokens(CATEGORIES, hash_missing), n_buckets, method, N_INTEGERS)
-    kept = [c for c in clicks.columns if c not in {"label", *INTEGERS, *CATEGORIES}]
-    return clicks.select(
-        *kept, binary_label(F.col("label")).alias("label"), F.concat(integers, hashed).alias("features")
-    )
+    kept = [F.col(c) for c in clicks.columns if c not in {"label", *INTEGERS, *CATEGORIES}]
+    keep = [*kept, binary_label(F.col("label")).alias("label"), integers.alias("_integers")]
+    tokens = category_tokens(CATEGORIES, hash_missing)
+    hashed = hash_in_row(clicks, keep, "_hashed", tokens, n_buckets, method, N_INTEGERS)
+    return hashed.select(*kept, "label", F.concat("_integers", "_hashed").alias("features"))
 
 
 def clicks_to_libsvm(

@@ -113,10 +113,8 @@ def test_long_and_row_hashing_agree(spark, method):
     for missing in (True, False):
         tokens = clicklog.category_tokens(["x", "y", "z"], missing)
         long = clicklog.hash_features(df, "id", tokens, 4, method)
-        wide = df.select(
-            F.col("id").alias("row_id"), F.lit(0.0).alias("label"),
-            clicklog.hashed_cells(tokens, 4, method).alias("features"),
-        )
+        keep = [F.col("id").alias("row_id"), F.lit(0.0).alias("label")]
+        wide = clicklog.hash_in_row(df, keep, "features", tokens, 4, method)
         left = {(r.row_id, r.bucket, float(r.value)) for r in long.collect()}
         right = {(r.row_id, r.feature, r.value) for r in to_feats(wide).collect()}
         assert left == right and left
