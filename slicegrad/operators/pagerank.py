@@ -9,6 +9,8 @@ from slicegrad.operators.statistics import HOT_PER_PARTITION
 from slicegrad.session import cut_lineage, loop_settings
 
 EDGES_PER_PARTITION = 2_000_000
+#: Rounds planned as one job. The second reads the first twice, but both reads share its shuffle.
+ROUNDS_PER_JOB = 2
 
 
 def weigh_edges(edges: DataFrame) -> DataFrame:
@@ -50,6 +52,8 @@ def pagerank(
     with loop_settings(spark, partitions):
         shares = cut_lineage(shares.repartition(partitions, "src"))
         cold, hot = _split_hubs(shares, n_edges, partitions)
+        # Read in every round: from memory, or from the checkpoint where a cached part was lost.
+        edges_kept = [cold.persist()] + ([hot[0].persist()] if hot else [])
         ids = shares.select(F.col("src").alias("id")).union(shares.select(F.col("dst").alias("id")))
         state = ids.distinct().select(
             "id", F.lit(float(reset)).alias("rank"), F.lit(float(reset)).alias("delta")
@@ -57,10 +61,15 @@ def pagerank(
         state = cut_lineage(state.repartition(partitions, "id"))
         done = 0
         while max_rounds is None or done < max_rounds:
-            state = cut_lineage(_round(state, cold, hot, tol, 1.0 - reset))
-            done += 1
+            fused = ROUNDS_PER_JOB if max_rounds is None else min(ROUNDS_PER_JOB, max_rounds - done)
+            for _ in range(fused):
+                state = _round(state, cold, hot, tol, 1.0 - reset)
+            state = cut_lineage(state)
+            done += fused
             if done % check_every == 0 and state.agg(F.max(F.abs("delta"))).first()[0] <= tol:
                 break
+        for kept in edges_kept:
+            kept.unpersist()
     ranks = state.select("id", "rank")
     if not normalize:
         return ranks

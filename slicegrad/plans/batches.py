@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicegrad.operators.sampling import draw_slots
-from slicegrad.session import scratch_path
+from slicegrad.session import delete_path, scratch_path
 
 #: Samples drawn per pass over the data.
 SLOTS_PER_PASS = 2_000_000
@@ -77,7 +77,7 @@ class BatchReader:
         self.iterations, self.seed = iterations, seed
         self.files = -(-batch_size // rows_per_file)
         self.group = max(1, min(iterations, SLOTS_PER_PASS // batch_size))
-        self._first, self._table = None, None
+        self._first, self._table, self._paths = None, None, []
 
     def _write(self, first: int) -> None:
         spark = self.points.sparkSession
@@ -86,12 +86,19 @@ class BatchReader:
         rows = gather(self.points, slots).repartition(
             min(count * self.files, 1000), "t", F.col("slot") % self.files
         )
+        self.close()
         path = scratch_path(spark, "batches")
+        self._paths.append(path)
         rows.write.partitionBy("t").parquet(path)
         schema = "slot int, label double, features array<struct<feature:int,value:double>>, t int"
         self._table = spark.read.schema(schema).parquet(path)
         self._first = first
 
+    def close(self) -> None:
+        """Delete the written rows; the caller keeps nothing that still reads them."""
+        while self._paths:
+            delete_path(self.points.sparkSession, self._paths.pop())
+
     def batch(self, t: int) -> DataFrame:
         first = t - t % self.group
         if first != self._first:

@@ -271,6 +271,7 @@ def train_mlp(
                 seen = out.agg(*network.metrics).first()
                 records.append((t, seen["loss"], None, seen["accuracy"]))
             state = cut_lineage(network.step(batch, activations, out, state))
+    reader.close()
     return MlpModel(shape, state, spark.createDataFrame(records, HISTORY_SCHEMA), placement, records)
 
 

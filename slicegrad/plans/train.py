@@ -166,6 +166,7 @@ def train(
             state = cut_lineage(plan.step(batch, stats, state))
             if history:
                 stats.unpersist()
+    reader.close()
     table = spark.createDataFrame(records, HISTORY_SCHEMA)
     return Model(objective, state, table, profile.num_features, placement, records)
 
