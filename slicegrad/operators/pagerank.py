@@ -44,14 +44,18 @@ def pagerank(
     nothing. Each round is cut into the checkpoint folder.
     """
     spark = edges.sparkSession
-    shares = weigh_edges(edges)
+    shares = cut_lineage(weigh_edges(edges))
     n_edges = shares.count()
     partitions = partitions or max(
         min(spark.sparkContext.defaultParallelism, n_edges // 20_000 + 1), n_edges // EDGES_PER_PARTITION + 1
     )
     with loop_settings(spark, partitions):
-        shares = cut_lineage(shares.repartition(partitions, "src"))
         cold, hot = _split_hubs(shares, n_edges, partitions)
+        ids = shares.select(F.col("src").alias("id")).union(shares.select(F.col("dst").alias("id")))
+        state = ids.distinct().select(
+            "id", F.lit(float(reset)).alias("rank"), F.lit(float(reset)).alias("delta")
+        )
+        state = cut_lineage(state.repartition(partitions, "id"))
         # Read in every round: from memory, or from the checkpoint where a cached part was lost.
         edges_kept = [cold.persist()] + ([hot[0].persist()] if hot else [])
         ids = shares.select(F.col("src").alias("id")).union(shares.select(F.col("dst").alias("id")))
@@ -83,15 +87,15 @@ def _split_hubs(shares: DataFrame, n_edges: int, partitions: int):
     A hub holds more than ``1 / (4 * partitions)`` of all edges, so there are at most four per partition
     and their changes are safe to broadcast. Hub edges are spread evenly instead of by source.
     """
-    limit = HOT_PER_PARTITION * partitions
     if partitions == 1:
-        return shares, None
+        return cut_lineage(shares.repartition(1, "src")), None
+    limit = HOT_PER_PARTITION * partitions
     degrees = shares.groupBy("src").agg(F.count("*").alias("n"))
     found = degrees.where(F.col("n") * limit > n_edges).select("src").take(limit)
     if not found:
-        return shares, None
+        return cut_lineage(shares.repartition(partitions, "src")), None
     hubs = F.broadcast(shares.sparkSession.createDataFrame([(row[0],) for row in found], "src bigint"))
-    cold = cut_lineage(shares.join(hubs, "src", "left_anti"))
+    cold = cut_lineage(shares.join(hubs, "src", "left_anti").repartition(partitions, "src"))
     hot = cut_lineage(shares.join(hubs, "src", "left_semi").repartition(partitions))
     return cold, (hot, hubs)
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from slicegrad.operators.sampling import draw_slots
 from slicegrad.session import delete_path, scratch_path
 
-#: Samples drawn per pass over the data.
-SLOTS_PER_PASS = 2_000_000
+#: Samples drawn per pass over the data; as a broadcast table of 40-byte rows they stay below 64 MB.
+SLOTS_PER_PASS = 1_500_000
 ROWS_PER_FILE = 100_000
 
 
@@ -51,13 +51,15 @@ def profile_points(points: DataFrame, classes: int, num_features: int | None = N
     return Profile(found["n"], num_features)
 
 
-def gather(points: DataFrame, slots: DataFrame) -> DataFrame:
+def gather(points: DataFrame, slots: DataFrame, n_slots: int) -> DataFrame:
     """Fetch the drawn rows: ``(t, slot, label, features)``.
 
-    Both sides are left to Spark: the slots come from a range of known length, so they are broadcast
-    exactly when they are small, and otherwise joined by row id, which is unique in the points.
+    Up to ``SLOTS_PER_PASS`` slots, at most 64 MB, are broadcast, so the points are scanned where they lie
+    and only drawn rows move. A larger draw is joined by row id, which is unique in the points.
     """
-    return slots.join(points, "row_id").select("t", "slot", "label", "features")
+    if n_slots <= SLOTS_PER_PASS:
+        slots = F.broadcast(slots)
+    return points.join(slots, "row_id").select("t", "slot", "label", "features")
 
 
 class BatchReader:
@@ -83,7 +85,7 @@ class BatchReader:
         spark = self.points.sparkSession
         count = min(self.group, self.iterations - first)
         slots = draw_slots(spark, self.n_rows, self.batch_size, count, self.seed, first)
-        rows = gather(self.points, slots).repartition(
+        rows = gather(self.points, slots, count * self.batch_size).repartition(
             min(count * self.files, 1000), "t", F.col("slot") % self.files
         )
         self.close()

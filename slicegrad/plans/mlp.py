@@ -232,9 +232,11 @@ class MlpModel:
 
     def evaluate(self, points: DataFrame, n_rows: int, valid_ratio: float = 0.01, seed: int = 100_000) -> DataFrame:
         """Loss and accuracy over rows sampled with replacement."""
-        slots = draw_slots(points.sparkSession, n_rows, max(1, int(valid_ratio * n_rows)), 1, seed)
+        size = max(1, int(valid_ratio * n_rows))
+        slots = draw_slots(points.sparkSession, n_rows, size, 1, seed)
         network = Network(self.shape, self.placement, 1)
-        out = network.outputs(network.hidden(gather(points, slots), self.state), self.state)
+        batch = gather(points, slots, size)
+        out = network.outputs(network.hidden(batch, self.state), self.state)
         return out.agg(*network.metrics)
 
 

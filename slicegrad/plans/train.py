@@ -175,7 +175,7 @@ def _sampled_stats(
     plan: Plan, state: DataFrame, points: DataFrame, n_rows: int, size: int, seed: int = EVALUATION_SEED
 ) -> DataFrame:
     slots = draw_slots(points.sparkSession, n_rows, size, 1, seed)
-    return plan.stats(gather(points, slots), state)
+    return plan.stats(gather(points, slots, size), state)
 
 
 def evaluate(
@@ -199,12 +199,17 @@ def score(model: Model, points: DataFrame) -> DataFrame:
 
 
 def train_all(points: DataFrame, chain: str, **settings) -> dict[str, Model]:
-    """Train several models, named as in ``"LR-SVM-FM"``, over one profile of the same points."""
-    points = points.persist()
+    """Train several models, named as in ``"LR-SVM-FM"``, over the same points.
+
+    The pass that counts and checks the rows is shared. Points that are dear to compute should be written
+    first (:func:`slicegrad.session.written`): drawing reads them once per group of batches.
+    """
+    profiles: dict[int, Profile] = {}
     trained = {}
-    try:
-        for name in chain.split("-"):
-            trained[name.lower()] = train(points, name, **settings)
-    finally:
-        points.unpersist()
+    for name in chain.lower().split("-"):
+        k = settings.get("k")
+        classes = (k or 2) if name == "mlp" else make_objective(name, k).classes
+        if classes not in profiles:
+            profiles[classes] = profile_points(points, classes, settings.get("num_features"))
+        trained[name] = train(points, name, **{**settings, "profile": profiles[classes]})
     return trained
