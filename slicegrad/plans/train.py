@@ -160,11 +160,14 @@ def train(
                 valid_loss = plan.loss(_sampled_stats(plan, state, points, profile.n_rows, size)) if size else None
             batch = reader.batch(t)
             stats = plan.stats(batch, state)
-            if history:
+            if not placement.small:
+                stats = cut_lineage(stats)  # read by hot cells, cold cells and the loss
+            elif history:
                 stats = stats.persist()
+            if history:
                 records.append((t, plan.loss(stats), valid_loss, None))
             state = cut_lineage(plan.step(batch, stats, state))
-            if history:
+            if history and placement.small:
                 stats.unpersist()
     reader.close()
     table = spark.createDataFrame(records, HISTORY_SCHEMA)
