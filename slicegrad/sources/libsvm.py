@@ -28,7 +28,7 @@ def read_libsvm(spark: SparkSession, path: str) -> DataFrame:
 
 def format_line(label: Column, features: Column) -> Column:
     """One libsvm line with one-based, ascending indices."""
-    ordered = F.array_sort(features)
+    ordered = F.sort_array(features)
     cells = F.transform(
         ordered, lambda c: F.concat_ws(":", (c["feature"] + 1).cast("string"), _number(c["value"]))
     )
