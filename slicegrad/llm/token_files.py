@@ -1,6 +1,6 @@
 """Token ids in files of canonical, length-limited Huffman codes.
 
-A corpus is encoded in four Spark jobs:
+A corpus is encoded in four steps:
 
 1. every text is tokenised once and its ids are kept in a scratch table;
 2. the ids are counted per task and summed over all tasks, so at most one row per vocabulary entry reaches the
@@ -45,7 +45,7 @@ BLOCK_IDS = 1 << 20
 #: Ids that one range partition should hold.
 PARTITION_IDS = 64 << 20
 #: Remembered pieces of words per worker; beyond, the memory starts anew.
-MEMORY = 600_000
+MEMORY = 400_000
 #: Letters and number signs below U+0250, as the tokenizer's pattern sees them.
 LETTERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "L")
 NUMBERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
@@ -181,8 +181,8 @@ def _tokenize(path: str, end_id: int, schema: pa.Schema, batches: Iterator[pa.Re
     encoder = process_memory().get(path) or WordEncoder(path)
     process_memory()[path] = encoder  # a worker process remembers its words from task to task
     for batch in batches:
-        for k in range(0, batch.num_rows, 4096):
-            part = batch.slice(k, 4096)
+        for k in range(0, batch.num_rows, 2048):
+            part = batch.slice(k, 2048)
             ids, sizes = encoder(part.column(part.num_columns - 1), end_id)
             columns = [part.column(i) for i in range(part.num_columns - 1)]
             columns += [pa.array(sizes, pa.int64()), binary_slices(ids.astype("<u4", copy=False), sizes)]
@@ -411,7 +411,9 @@ def write_token_files(
 
     fields = tokens.schema.fields
     coded = T.StructType([*fields[:-1], T.StructField("payload", T.BinaryType()), T.StructField("segments", T.BinaryType())])
-    encoded = tokens.mapInArrow(partial(_encode, book, _arrow(coded)), coded)
+    # written before it is sorted: finding the ranges reads its input once more
+    encoded, encoded_path = saved(tokens.mapInArrow(partial(_encode, book, _arrow(coded)), coded), "codes", compression="uncompressed")
+    drop_saved(spark, tokens_path)
     parts = shuffle_width(spark, total, partition_ids)
     ordered = encoded.repartitionByRange(parts, *[F.col(f"`{c}`") for c in order]).sortWithinPartitions(*[F.col(f"`{c}`") for c in order])
     kind = tokens.schema[key].dataType
@@ -422,7 +424,7 @@ def write_token_files(
     ])
     packed = ordered.select(F.col(f"`{key}`"), "n_ids", "payload", "segments").mapInArrow(partial(_pack, _arrow(blocks), block_ids), blocks)
     packed.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-    drop_saved(spark, tokens_path)
+    drop_saved(spark, encoded_path)
 
 
 def decode_block(book: Codebook, sizes: np.ndarray, segments: bytes, payload: bytes) -> np.ndarray:
