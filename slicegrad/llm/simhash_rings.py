@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicegrad.llm.common import drop_saved, fresh, saved, text_of
+from slicegrad.session import bounded_broadcast
 
 BITS = 64
 SEGMENTS = 6
@@ -33,6 +34,15 @@ SEGMENTS = 6
 PIECE = 1 << 15
 
 
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set in rows of big-endian 64-bit lanes, the highest bit of the first lane first."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), -1), axis=1)
+    counts = np.zeros(bits.shape[1], np.int64)
+    for k in range(0, len(bits), 255):  # as many rows as a byte can count
+        counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return counts
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """Bits that over half of the XXH64 hashes (seed 42) of a text's word shingles have set; zero without words."""
     import xxhash
@@ -50,7 +60,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     starts = starts[:n].tolist()
     for k in range(0, n, PIECE):
         hashes = np.array([hash_of(line[a:b], 42) for a, b in zip(starts[k : k + PIECE], ends[k : k + PIECE])], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        counts += set_bits(hashes.reshape(-1, 1))
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
@@ -169,13 +179,172 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return prints.join(labels, "fp").select("key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """One document of each group: the one of smallest id (ids before nulls), then of smallest text hash."""
+# -- copies with more changes --------------------------------------------------------------------------------------
+
+#: Lanes of 64 bits in a wide print, segments on its ring, and greatest distances of copies.
+LANES = 4
+WIDE_SEGMENTS = 16
+WORD_BITS = 32
+SHINGLE_BITS = 50
+#: Buckets up to this size are compared by offsets, larger ones by a search that shrinks as it finds copies.
+SMALL_BUCKET = 32
+#: Rows of a bucket that one task compares; larger buckets are cut into blocks, and each two blocks meet in a task.
+BLOCK = 50_000
+SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+
+
+def wide_print(features: list[bytes]) -> np.ndarray:
+    """A print of ``LANES`` lanes; each feature's hash is spread over them by multiplication."""
+    import xxhash
+
+    counts = np.zeros(BITS * LANES, np.int64)
+    for k in range(0, len(features), PIECE):
+        h = np.array([xxhash.xxh64_intdigest(f, 42) for f in features[k : k + PIECE]], np.uint64)[:, None] * SPREAD
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        counts += set_bits((h ^ (h >> np.uint64(32))).astype(">u8"))
+    return np.packbits(2 * counts > len(features)).view(">u8").astype(np.int64)
+
+
+def _wide_prints(shingle, batches):
+    for batch in batches:
+        rows = []
+        for text in batch.column("text"):
+            words = text.as_buffer().to_pybytes().lower().split()
+            shingles = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+            rows.append(np.concatenate([wide_print(list(set(words))), wide_print(list(shingles))]))
+        lanes = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+        cells = pa.FixedSizeListArray.from_arrays(lanes, 2 * LANES).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), cells], names=["key", "lanes"])
+
+
+def near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Which rows are copies of one row (or of the row beside, for equal shapes); lanes of words, then of shingles.
+
+    The words' lanes form a ring: some start must keep all chains of lanes within their share of ``WORD_BITS``. Only
+    rows that pass are compared in full.
+    """
+    diff = np.bitwise_count(one[..., :LANES] ^ many[..., :LANES]).astype(np.int64)
+    passed = np.zeros(len(diff), bool)
+    for start in range(LANES):
+        chain, good = np.zeros(len(diff), np.int64), np.ones(len(diff), bool)
+        for length in range(1, LANES + 1):
+            chain = chain + diff[:, (start + length - 1) % LANES]
+            good &= chain * LANES <= length * WORD_BITS
+        passed |= good
+    at = np.flatnonzero(passed)
+    if len(at):
+        left = one[at] if one.ndim > 1 else one
+        passed[at] = np.bitwise_count(left[..., LANES:] ^ many[at][:, LANES:]).sum(1, dtype=np.int64) <= SHINGLE_BITS
+    return passed
+
+
+def bucket_links(buckets: np.ndarray, nodes: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    """Links that connect the copies in each bucket; rows of a bucket are neighbours, whole buckets only."""
+    found = []
+    first = np.flatnonzero(np.diff(buckets, prepend=buckets[:1] - 1)) if len(buckets) else np.zeros(0, np.int64)
+    sizes = np.diff(first, append=len(buckets))
+    small = np.flatnonzero(np.repeat(sizes <= SMALL_BUCKET, sizes) & np.repeat(sizes > 1, sizes))
+    for offset in range(1, SMALL_BUCKET):
+        small = small[small + offset < len(buckets)]
+        small = small[buckets[small] == buckets[small + offset]]
+        if not len(small):
+            break
+        hit = small[near(lanes[small], lanes[small + offset])]
+        found.append(np.stack([nodes[hit], nodes[hit + offset]], 1))
+    for k in np.flatnonzero(sizes > SMALL_BUCKET):
+        left = np.arange(first[k], first[k] + sizes[k])
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                row = queue.pop()
+                hit = near(lanes[row], lanes[left])
+                copies, left = left[hit], left[~hit]
+                found.append(np.stack([np.full(len(copies), nodes[row]), nodes[copies]], 1))
+                queue.extend(copies.tolist())
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _links(batches):
+    """Rows arrive sorted by bucket; a bucket that a batch cuts waits for the rest."""
+    import itertools
+
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            lanes = batch.column("lanes").flatten().to_numpy().view(np.uint64).reshape(-1, 2 * LANES)  # bits count unsigned
+            rows = [np.stack([batch.column(c).to_numpy() for c in ("seg", "part", "pair")], 1), batch.column("node").to_numpy(), lanes]
+            held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            if not len(held[1]):
+                continue
+        if held is None:
+            return
+        keys = held[0]
+        new = np.any(keys[1:] != keys[:-1], axis=1) if len(keys) > 1 else np.zeros(0, bool)
+        bucket = np.concatenate([[0], np.cumsum(new)])[: len(keys)]
+        stop = len(keys) if batch is None else int(np.searchsorted(bucket, bucket[-1]))
+        links = bucket_links(bucket[:stop], held[1][:stop], held[2][:stop])
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+        held = [x[stop:] for x in held]
+
+
+def copy_links(classes: DataFrame) -> DataFrame:
+    """``a, b``: links that connect all copies among ``classes(node, lanes)`` which share a segment of the words' ring.
+
+    A row goes to one bucket per segment. Within a bucket only links that join something new are kept, so a large group
+    of copies gives about one link per copy and bucket, not one per pair.
+    """
+    spark = classes.sparkSession
+    width = BITS * LANES // WIDE_SEGMENTS
+    per_lane = BITS // width
+    segment = lambda k: F.shiftrightunsigned(F.get("lanes", F.lit(k // per_lane)), width * (k % per_lane)).bitwiseAND(F.lit((1 << width) - 1))
+    rows = classes.select("node", "lanes", F.posexplode(F.array(*[segment(k) for k in range(WIDE_SEGMENTS)])).alias("seg", "part"))
+    sizes, sizes_path = saved(rows.groupBy("seg", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "large-buckets")
+    n_large = sizes.count()
+    if n_large:
+        cut = rows.join(bounded_broadcast(sizes, n_large, 3), ["seg", "part"], "left")
+        blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
+        mine = F.pmod(F.col("node"), blocks).cast("int")
+        other = F.explode(F.sequence(F.lit(0), blocks - 1))
+        cut = cut.select("node", "lanes", "seg", "part", mine.alias("mine"), blocks.alias("blocks"), other.alias("other"))
+        pair = F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
+        rows = cut.select("node", "lanes", "seg", "part", pair.alias("pair"))
+    else:
+        rows = rows.withColumn("pair", F.lit(0))
+    ints = [F.col(c).cast("long") for c in ("seg", "part", "pair")]
+    placed = rows.select("node", "lanes", *ints).repartition("seg", "part", "pair").sortWithinPartitions("seg", "part", "pair")
+    links, _ = saved(placed.mapInArrow(_links, "a long, b long").dropDuplicates(), "links")
+    drop_saved(spark, sizes_path)
+    return links
+
+
+def copy_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """``key, component_id``: groups of copies whose word shingles are at least about 0.8 alike.
+
+    Such copies differ in some 15 % of the bits of a shingle print, too many for exact segments of 64 bits. Two prints of
+    256 bits are used instead: one of the distinct words, which differs far less, for the segments and the ring, and one
+    of the shingles for the full check. Segments of 16 bits miss a copy only if each of them has a changed bit.
+    """
+    slim = docs.select(F.col(f"`{key}`").alias("key"), text_of(text).alias("text"))
+    kind = slim.schema["key"].dataType.simpleString()
+    prints = slim.mapInArrow(lambda batches: _wide_prints(shingle, batches), f"key {kind}, lanes array<long>")
+    prints, _ = saved(prints.withColumn("node", F.xxhash64("lanes")), "prints")
+    classes = prints.groupBy("node").agg(F.min("key").alias("least"), F.any_value("lanes").alias("lanes"))
+    classes, classes_path = saved(classes, "classes")
+    groups, groups_path = saved(components(copy_links(classes.select("node", "lanes"))), "groups")
+    rooted = classes.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels, _ = saved(rooted.join(ids, "root").select("node", "component_id"), "labels")
+    drop_saved(docs.sparkSession, classes_path, groups_path)
+    return prints.join(labels, "node").select("key", "component_id")
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """One document of each group of copies: the one of smallest id (ids before nulls), then of smallest text hash."""
     (rank,) = fresh(docs, "sg_rank")
     own = [F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id")]
     hashes = [F.xxhash64(F.lit(seed), f"`{key}`", f"`{text}`").alias(f"k{seed}") for seed in (1, 2)]
     ranked = docs.withColumn(rank, F.struct(*own, *hashes))
-    groups = near_duplicates(ranked, key=rank, text=text, shingle=shingle, distance=distance)
+    groups = copy_groups(ranked, key=rank, text=text, shingle=shingle)
     firsts = groups.filter(F.col("key") == F.col("component_id")).groupBy("key.k1", "key.k2").agg(F.count(F.lit(1)).alias("n"))
     firsts, _ = saved(firsts, "firsts")
     k1, k2 = F.col(f"`{rank}`.k1"), F.col(f"`{rank}`.k2")
