@@ -34,7 +34,7 @@ MIN_WORDS = 5
 MIN_EQUAL = 13
 SHORT_SHARE = 0.8
 #: Bits of the filter per benchmark hash, and the largest filter; a fuller filter only lets more rows through.
-FILTER_BITS_PER_HASH = 32
+FILTER_BITS_PER_HASH = 1024
 MAX_FILTER_BITS = 1 << 27
 PROBES = 3
 
@@ -55,7 +55,7 @@ class WordHasher:
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        for word in set(words).difference(known):
+        for word in {w for w in words if w not in known}:
             plain = SIGNS.sub("", word.decode().lower()) or word.decode()
             known[word] = xxhash.xxh64_intdigest(plain.encode(), 7)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -117,34 +117,46 @@ def build_filter(spark: SparkSession, table: DataFrame, n_hashes: int) -> np.nda
     return words
 
 
-def _hits(words_of_filter, masks, short, batches):
-    hasher, bits = WordHasher(), len(words_of_filter) * 64
-    flags = words_of_filter
-    for batch in batches:
-        out = ([], [], [], [], [])
-        for row, text in enumerate(batch.column("text")):
-            words = hasher(text.as_py())
-            found, at = [], []
-            for _, hashes in seeds(words, masks, short):
-                live = np.arange(len(hashes))
-                for k in range(PROBES):
-                    h = hashes[live]
-                    step = (h >> np.uint64(32)) | np.uint64(1)
-                    place = (h + np.uint64(k) * step) & np.uint64(bits - 1)
-                    live = live[(flags[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
-                    if not len(live):
-                        break
-                if len(live):
-                    found.append(hashes[live].view(np.int64)), at.append(live)
-            if found:
-                for cell, value in zip(out, (row, words.astype("<u8").tobytes(), np.concatenate(found), np.concatenate(at), None)):
-                    cell.append(value)
-        rows = batch.take(pa.array(out[0], pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), rows.column("k1"), rows.column("k2"), pa.array(out[1], pa.binary()),
-             pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))],
-            names=["doc_id", "k1", "k2", "words", "hashes", "places"],
-        )
+def in_filter(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Positions of the hashes that may be in the filter."""
+    live = np.arange(len(hashes))
+    mask = np.uint64(len(flags) * 64 - 1)
+    for k in range(PROBES):
+        h = hashes[live]
+        place = (h + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & mask
+        live = live[(flags[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+    return live
+
+
+def _hits(flags, masks, short, batches):
+    """Documents with likely hits; the words of a few hundred documents are hashed as one array."""
+    hasher = WordHasher()
+    for whole in batches:
+        for k in range(0, whole.num_rows, 256):
+            batch = whole.slice(k, 256)
+            words = [hasher(t.as_py()) for t in batch.column("text")]
+            ends = np.cumsum([len(w) for w in words])
+            line = np.concatenate(words)
+            room = np.repeat(ends, [len(w) for w in words]) - np.arange(len(line))  # words from here to the document's end
+            found, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for number, hashes in seeds(line, masks, short):
+                live = in_filter(flags, hashes)
+                live = live[room[live] >= (-number if number < 0 else SPAN)]
+                found.append(hashes[live]), at.append(live)
+            found, at = np.concatenate(found).view(np.int64), np.concatenate(at)
+            owner = np.searchsorted(ends, at, side="right")
+            order = np.argsort(owner, kind="stable")
+            found, at, owner = found[order], at[order], owner[order]
+            rows, first = np.unique(owner, return_index=True)
+            groups = list(zip(rows.tolist(), np.split(found, first[1:]), np.split(at, first[1:]))) if len(rows) else []
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column("doc_id"), kept.column("k1"), kept.column("k2"),
+                 pa.array([words[r].astype("<u8").tobytes() for r, _, _ in groups], pa.binary()),
+                 pa.array([h for _, h, _ in groups], pa.list_(pa.int64())),
+                 pa.array([p - (ends[r] - len(words[r])) for r, _, p in groups], pa.list_(pa.int64()))],
+                names=["doc_id", "k1", "k2", "words", "hashes", "places"],
+            )
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
