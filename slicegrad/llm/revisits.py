@@ -128,9 +128,10 @@ def page_captures(pages: DataFrame) -> DataFrame:
     A hash of page and visit decides whether a later visit is a new full response with changed content, a revisit by
     entity tag, by date or by digest, or a revisit whose tag belongs to other content.
     """
-    visit = F.explode(F.sequence(F.lit(0), F.pmod(F.xxhash64("page_id"), F.lit(5)).cast("int"))).alias("visit")
+    number = lambda text: F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("int")
+    visit = F.explode(F.sequence(F.lit(0), number(F.col("page_id").cast("string")) % 5)).alias("visit")
     rows = pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit(""))).alias("sum"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"), visit)
-    way = F.when(F.col("visit") == 0, 0).otherwise(F.conv(F.substring(F.md5(F.concat_ws("-", "page_id", "visit")), 1, 4), 16, 10).cast("int") % 6)
+    way = F.when(F.col("visit") == 0, 0).otherwise(number(F.concat_ws("-", "page_id", "visit")) % 6)
     rows = rows.withColumn("way", way)
     changed = F.col("way").isin(1, 4)
     tag = F.concat(F.lit('"'), F.when(changed, F.md5(F.concat_ws("-", "sum", "visit"))).otherwise(F.col("sum")), F.lit('"'))
