@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slicegrad.llm.common import fresh, text_of, unit_hash
 
@@ -166,7 +167,7 @@ def score(docs: DataFrame, scorer: Scorer | None, *, text: str = "text", name: s
     """``docs`` with the score of every row as a new last column."""
     (body,) = fresh(docs, "sg_text")
     held = docs.withColumn(body, text_of(text))
-    schema = docs.schema.add(name, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def scored(batches):
         for batch in batches:
