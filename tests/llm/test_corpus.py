@@ -329,7 +329,7 @@ def test_copies_with_changes_are_found(spark):
 
 def test_bucket_links_join_large_and_small_buckets():
     rng = np.random.default_rng(2)
-    centres = rng.integers(0, 2**63, (6, 8), dtype=np.uint64)
+    centres = rng.integers(0, 2**63, (6, 12), dtype=np.uint64)
     lanes = np.concatenate([np.repeat(centres[:3], 20, 0), centres[3:4], centres[4:5], centres[4:5], centres[5:6]])
     links = simhash_rings.bucket_links(np.array([0] * 60 + [1] * 4), np.arange(64), lanes)
     roots = np.arange(64)

@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from slicegrad.llm import spaced_seeds
 from slicegrad.llm.common import saved
@@ -21,9 +23,9 @@ def test_stages(spark, sf_dir):
     good = kept["quality classifier"]
     assert sum(labels[d] for d in good if d in labels) >= 0.95 * sum(labels.values())
     assert sum(labels.get(d) == 0 for d in good) <= 0.1 * sum(q == 0 for q in labels.values())
-    single = table(spark, sf_dir, "documents").filter(table(spark, sf_dir, "documents").doc_id.isin(kept["SimHash near-dedup"]))
+    single = table(spark, sf_dir, "documents").filter(F.col("doc_id").isin(kept["SimHash near-dedup"]))
     assert single.select("text").distinct().count() == single.count() == len(kept["SimHash near-dedup"])
-    clean = table(spark, sf_dir, "documents").filter(table(spark, sf_dir, "documents").doc_id.isin(kept["benchmark decontamination"]))
+    clean = table(spark, sf_dir, "documents").filter(F.col("doc_id").isin(kept["benchmark decontamination"]))
     assert spaced_seeds.contaminated(clean, table(spark, sf_dir, "benchmark")).count() == 0
     assert set(kept["mixing sources"]) <= set(kept["benchmark decontamination"])
     assert sorted(kept["token files"]) == sorted(kept["mixing sources"])
