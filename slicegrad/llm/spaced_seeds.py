@@ -53,7 +53,7 @@ class WordHasher:
 
         words = text.encode().split()
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for word in {w for w in words if w not in known}:
             plain = SIGNS.sub("", word.decode().lower()) or word.decode()

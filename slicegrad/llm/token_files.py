@@ -45,7 +45,7 @@ BLOCK_IDS = 1 << 20
 #: Ids that one range partition should hold.
 PARTITION_IDS = 64 << 20
 #: Remembered pieces of words per worker; beyond, the memory starts anew.
-MEMORY = 400_000
+MEMORY = 150_000
 #: Letters and number signs below U+0250, as the tokenizer's pattern sees them.
 LETTERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "L")
 NUMBERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
@@ -181,8 +181,8 @@ def _tokenize(path: str, end_id: int, schema: pa.Schema, batches: Iterator[pa.Re
     encoder = process_memory().get(path) or WordEncoder(path)
     process_memory()[path] = encoder  # a worker process remembers its words from task to task
     for batch in batches:
-        for k in range(0, batch.num_rows, 2048):
-            part = batch.slice(k, 2048)
+        for k in range(0, batch.num_rows, 1024):
+            part = batch.slice(k, 1024)
             ids, sizes = encoder(part.column(part.num_columns - 1), end_id)
             columns = [part.column(i) for i in range(part.num_columns - 1)]
             columns += [pa.array(sizes, pa.int64()), binary_slices(ids.astype("<u4", copy=False), sizes)]
@@ -360,8 +360,8 @@ def build_codebook(counts: DataFrame, max_bits: int = MAX_BITS) -> Codebook:
 
 def _encode(book: Codebook, schema: pa.Schema, batches):
     for batch in batches:
-        for k in range(0, batch.num_rows, 2048):
-            part = batch.slice(k, 2048)
+        for k in range(0, batch.num_rows, 1024):
+            part = batch.slice(k, 1024)
             sizes = part.column("n_ids").to_numpy()
             data, run_bytes, segments, per_run = book.encode(np.frombuffer(b"".join(part.column("ids").to_pylist()), "<u4"), sizes)
             columns = [part.column(i) for i in range(part.num_columns - 1)]
