@@ -21,12 +21,9 @@ def keyed_digest(*parts) -> Column:
 def draw_index(n_rows: int, *parts) -> Column:
     """A uniform row number in ``0..n_rows-1``, keyed by ``parts``.
 
-    One 32-bit word covers tables of a few hundred million rows; larger ones combine two words, so that
-    every row stays reachable.
+    Two words make 62 bits for every size of table, so all rows are reachable and equally likely.
     """
     digest = keyed_digest(*parts)
-    if n_rows < 2**28:
-        return hex_word(digest) % F.lit(n_rows).cast("bigint")
     wide = hex_word(digest, 0) * F.lit(2**30).cast("bigint") + hex_word(digest, 1) % F.lit(2**30).cast("bigint")
     return wide % F.lit(n_rows).cast("bigint")
 

@@ -41,7 +41,7 @@ def pagerank(
     With ``normalize`` the ranks are scaled to sum to the number of vertices.
 
     Convergence is looked up only every ``check_every`` rounds, since a round after convergence changes
-    nothing. Each round is cut into the checkpoint folder.
+    nothing. After every ``ROUNDS_PER_JOB`` rounds the state is cut into the checkpoint folder.
     """
     spark = edges.sparkSession
     shares = cut_lineage(weigh_edges(edges))
@@ -51,11 +51,6 @@ def pagerank(
     )
     with loop_settings(spark, partitions):
         cold, hot = _split_hubs(shares, n_edges, partitions)
-        ids = shares.select(F.col("src").alias("id")).union(shares.select(F.col("dst").alias("id")))
-        state = ids.distinct().select(
-            "id", F.lit(float(reset)).alias("rank"), F.lit(float(reset)).alias("delta")
-        )
-        state = cut_lineage(state.repartition(partitions, "id"))
         # Read in every round: from memory, or from the checkpoint where a cached part was lost.
         edges_kept = [cold.persist()] + ([hot[0].persist()] if hot else [])
         ids = shares.select(F.col("src").alias("id")).union(shares.select(F.col("dst").alias("id")))

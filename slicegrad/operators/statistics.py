@@ -42,8 +42,10 @@ def plan_placement(
     A feature is hot when it holds more than ``1 / limit`` of all cells, so there are fewer than ``limit``
     such features. The limit is four per partition, or less if their weights would not fit a broadcast.
     """
-    if fits_broadcast(num_features, columns) or points is None:
+    if fits_broadcast(num_features, columns):
         return Placement(partitions)
+    if points is None:
+        raise ValueError("a model too large to broadcast needs the points, to find its hot features")
     return split_placement(points, columns, partitions)
 
 

@@ -12,6 +12,9 @@ from slicegrad.session import delete_path, scratch_path
 
 #: Samples drawn per pass over the data; as a broadcast table of 40-byte rows they stay below 64 MB.
 SLOTS_PER_PASS = 1_500_000
+#: Slots and points that one task of a shuffled draw should hold.
+SLOTS_PER_TASK = 500_000
+ROWS_PER_TASK = 1_000_000
 ROWS_PER_FILE = 100_000
 
 
@@ -36,9 +39,8 @@ def profile_points(points: DataFrame, classes: int, num_features: int | None = N
         F.min("row_id").alias("low"),
         F.max("row_id").alias("high"),
     ]
-    if num_features is None:
-        indices = F.transform("features", lambda cell: cell["feature"])
-        facts.append(F.max(F.array_max(indices)).alias("top"))
+    indices = F.transform("features", lambda cell: cell["feature"])
+    facts += [F.max(F.array_max(indices)).alias("top"), F.min(F.array_min(indices)).alias("bottom")]
     found = points.agg(*facts).first()
     if not found["n"]:
         raise ValueError("no rows to train on")
@@ -46,19 +48,28 @@ def profile_points(points: DataFrame, classes: int, num_features: int | None = N
         raise ValueError(f"{found['bad']} labels are not one of 0..{classes - 1}")
     if found["low"] != 0 or found["high"] != found["n"] - 1:
         raise ValueError("row ids must be dense, from 0 to the row count minus one")
+    if found["bottom"] is not None and found["bottom"] < 0:
+        raise ValueError(f"feature {found['bottom']} is negative")
+    if num_features is not None and found["top"] is not None and found["top"] >= num_features:
+        raise ValueError(f"feature {found['top']} does not fit into {num_features} features")
     if num_features is None:
         num_features = (found["top"] if found["top"] is not None else 0) + 1
     return Profile(found["n"], num_features)
 
 
-def gather(points: DataFrame, slots: DataFrame, n_slots: int) -> DataFrame:
+def gather(points: DataFrame, slots: DataFrame, n_slots: int, n_rows: int) -> DataFrame:
     """Fetch the drawn rows: ``(t, slot, label, features)``.
 
     Up to ``SLOTS_PER_PASS`` slots, at most 64 MB, are broadcast, so the points are scanned where they lie
-    and only drawn rows move. A larger draw is joined by row id, which is unique in the points.
+    and only drawn rows move. A larger draw is joined by row id, which is unique in the points, over
+    partitions sized by both sides, whatever the setting a loop has made for its model.
     """
     if n_slots <= SLOTS_PER_PASS:
         slots = F.broadcast(slots)
+    else:
+        cores = points.sparkSession.sparkContext.defaultParallelism
+        parts = max(cores, n_slots // SLOTS_PER_TASK + 1, n_rows // ROWS_PER_TASK + 1)
+        points, slots = points.repartition(parts, "row_id"), slots.repartition(parts, "row_id")
     return points.join(slots, "row_id").select("t", "slot", "label", "features")
 
 
@@ -85,7 +96,7 @@ class BatchReader:
         spark = self.points.sparkSession
         count = min(self.group, self.iterations - first)
         slots = draw_slots(spark, self.n_rows, self.batch_size, count, self.seed, first)
-        rows = gather(self.points, slots, count * self.batch_size).repartition(
+        rows = gather(self.points, slots, count * self.batch_size, self.n_rows).repartition(
             min(count * self.files, 1000), "t", F.col("slot") % self.files
         )
         self.close()

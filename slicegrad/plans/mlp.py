@@ -235,7 +235,7 @@ class MlpModel:
         size = max(1, int(valid_ratio * n_rows))
         slots = draw_slots(points.sparkSession, n_rows, size, 1, seed)
         network = Network(self.shape, self.placement, 1)
-        batch = gather(points, slots, size)
+        batch = gather(points, slots, size, n_rows)
         out = network.outputs(network.hidden(batch, self.state), self.state)
         return out.agg(*network.metrics)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slicegrad.operators import statistics as st
 from slicegrad.operators.sampling import draw_slots
-from slicegrad.plans.batches import BatchReader, Profile, gather, profile_points
+from slicegrad.plans.batches import SLOTS_PER_TASK, BatchReader, Profile, gather, profile_points
 from slicegrad.plans.objectives import Adam, Objective, Optimizer, Sgd, make_objective
 from slicegrad.session import cut_lineage, loop_settings
 
@@ -132,10 +132,12 @@ def train(
     if isinstance(model, str) and model.lower() == "mlp":
         from slicegrad.plans.mlp import train_mlp
 
+        if optimizer is not None or (valid_ratio, valid_every) != (0.01, 1000):
+            raise ValueError("the perceptron has plain steps and no sampled loss: no optimizer, valid_ratio or valid_every")
         return train_mlp(
             points, step=step, batch_size=batch_size, iterations=iterations, reg=reg,
             num_features=num_features, classes=k or 2, hidden=hidden, seed=seed, history=history,
-            profile=profile,
+            profile=profile, partitions=partitions, placement=placement,
         )
     objective = make_objective(model, k) if isinstance(model, str) else model
     if optimizer is None:
@@ -150,7 +152,8 @@ def train(
     reader = BatchReader(points, profile.n_rows, batch_size, iterations, seed)
     plan = Plan(objective, optimizer, placement, batch_size, step, reg)
     records = []
-    with loop_settings(spark, partitions):
+    tasks = max(partitions, batch_size // SLOTS_PER_TASK + 1) if placement.small else partitions
+    with loop_settings(spark, tasks):
         state = initial_state(spark, objective, optimizer, profile.num_features, partitions, seed)
         state = cut_lineage(state)
         for t in range(iterations):
@@ -178,7 +181,7 @@ def _sampled_stats(
     plan: Plan, state: DataFrame, points: DataFrame, n_rows: int, size: int, seed: int = EVALUATION_SEED
 ) -> DataFrame:
     slots = draw_slots(points.sparkSession, n_rows, size, 1, seed)
-    return plan.stats(gather(points, slots, size), state)
+    return plan.stats(gather(points, slots, size, n_rows), state)
 
 
 def evaluate(

@@ -32,6 +32,11 @@ def word(key: str, position: int = 0) -> str:
     return f"CAST(('0x' || substr(md5({key}), {1 + 8 * position}, 8)) AS BIGINT)"
 
 
+def drawn(key: str) -> str:
+    """A 62-bit number of two words."""
+    return f"({word(key)} * {2**30} + {word(key, 1)} % {2**30})"
+
+
 def signed(key: str) -> str:
     w = word(key)
     return f"CASE WHEN {w} >= 2147483648 THEN {w} - 4294967296 ELSE {w} END"
@@ -121,7 +126,7 @@ def sizes(batch: str = f"count(*) // {BATCH_SHARE}") -> str:
 def slots(name: str, t: int, seed: int = SEED, count: str = "b") -> str:
     key = f"'{seed}:{t}:' || CAST(slot AS VARCHAR)"
     return (
-        f"{name} AS MATERIALIZED (SELECT slot, {word(key)} % n AS rid "
+        f"{name} AS MATERIALIZED (SELECT slot, {drawn(key)} % n AS rid "
         f"FROM (SELECT unnest(range({count})) AS slot, n FROM sizes))"
     )
 
@@ -421,7 +426,7 @@ def all_queries() -> dict[str, str]:
         f"SELECT p_partkey AS rid, '{i}:' || {name} AS token FROM part"
         for i, name in enumerate(("p_brand", "p_type", "p_name"))
     )
-    everything = "d0 AS (SELECT slot, " + word(f"'{SEED}:0:' || CAST(slot AS VARCHAR)") + (
+    everything = "d0 AS (SELECT slot, " + drawn(f"'{SEED}:0:' || CAST(slot AS VARCHAR)") + (
         " % n AS rid FROM (SELECT event_id AS slot, (SELECT count(*) FROM pts) AS n FROM events))"
     )
     clicks_raw = ", ".join(

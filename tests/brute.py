@@ -11,7 +11,8 @@ def word(key: str, position: int = 0) -> int:
 
 
 def draws(n_rows: int, batch: int, t: int, seed: int = 42) -> list[int]:
-    return [word(f"{seed}:{t}:{slot}") % n_rows for slot in range(batch)]
+    wide = lambda key: word(key) * 2**30 + word(key, 1) % 2**30
+    return [wide(f"{seed}:{t}:{slot}") % n_rows for slot in range(batch)]
 
 
 def gauss(*parts, scale=0.01) -> float:

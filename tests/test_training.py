@@ -224,3 +224,16 @@ def test_chain_from_text(spark, tmp_path):
 
 def test_block_width():
     assert [Shape(1, h, 2).width for h in (4, 500, 7, 17, 64)] == [4, 10, 7, 1, 16]
+
+
+def test_features_beyond_the_given_number_raise(spark):
+    points = make_points(spark, [(1, {0: 1.0}), (0, {7: 2.0})])
+    with pytest.raises(ValueError, match="does not fit"):
+        train(points, "lr", step=0.1, batch_size=2, iterations=1, num_features=5)
+    with pytest.raises(ValueError, match="negative"):
+        train(make_points(spark, [(1, {-1: 1.0})]), "lr", step=0.1, batch_size=2, iterations=1, num_features=5)
+
+
+def test_the_perceptron_refuses_settings_it_lacks(spark):
+    with pytest.raises(ValueError, match="no optimizer"):
+        train(make_points(spark, [(1, {0: 1.0})]), "mlp", step=0.1, batch_size=2, iterations=1, valid_every=1)
