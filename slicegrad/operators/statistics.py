@@ -1,6 +1,7 @@
 """Per-sample statistics and per-feature gradient sums, the two aggregations of an iteration.
 
-``batch`` is always row-wise: ``(t, slot, label, features)``. ``weights`` has one row per feature.
+A batch for a small model, or a whole data set to score, is row-wise: ``(t, slot, label, features)``. A batch for a large
+model is a :class:`SplitBatch`, whose cells already lie where their weights lie. ``weights`` has one row per feature.
 """
 
 from __future__ import annotations
@@ -31,6 +32,19 @@ class Placement:
         return self.hot is None
 
 
+@dataclass
+class SplitBatch:
+    """A batch split by feature.
+
+    ``cold(t, slot, feature, value)`` is stored in the model's partitions, by the same hash of the feature, so neither it
+    nor the model is shuffled; ``hot`` has the same columns, spread evenly; ``samples(slot, label)`` has every slot.
+    """
+
+    samples: DataFrame
+    cold: DataFrame
+    hot: DataFrame
+
+
 HOT_PER_PARTITION = 4
 
 
@@ -69,8 +83,7 @@ def split_cells(batch: DataFrame, placement: Placement, *extra: str) -> tuple[Da
     mark = F.broadcast(placement.hot.withColumn("is_hot", F.lit(True)))
     marked = cells.join(mark, "feature", "left")
     cold = marked.where("is_hot is null").drop("is_hot").repartition(placement.partitions, "feature")
-    # A batch is smaller than a large model: hash the cells and stream the model past them, unsorted.
-    return cold.hint("shuffle_hash"), marked.where("is_hot").drop("is_hot")
+    return cold, marked.where("is_hot").drop("is_hot")
 
 
 def hot_weights(weights: DataFrame, placement: Placement) -> DataFrame:
@@ -96,23 +109,28 @@ class SampleStats:
         self._totals = [F.max("label").alias("label")] + [F.sum(name).alias(name) for name in terms]
         self._cells = ["slot", "label", F.inline_outer("features")]
 
-    def __call__(self, batch: DataFrame, weights: DataFrame) -> DataFrame:
+    def __call__(self, batch: DataFrame | SplitBatch, weights: DataFrame) -> DataFrame:
         placement = self.placement
-        if placement.small:
+        if isinstance(batch, SplitBatch):
+            # A batch is smaller than a large model: hash its cells and stream the model past them, unsorted.
+            samples, cold, hot, model = batch.samples, batch.cold.hint("shuffle_hash"), batch.hot, weights
+        elif placement.small:
             cells = batch.select(*self._cells).join(F.broadcast(weights), "feature", "left")
             return cells.select("slot", "label", *self._filled).groupBy("slot").agg(*self._totals)
-        cold, hot = split_cells(batch, placement)
-        parts = batch.select(*self._own)
-        for cells, table in ((cold, weights), (hot, hot_weights(weights, placement))):
+        else:
+            # Rows of any number: hash the model, whose partitions are of a known size, and stream the cells past it.
+            (cold, hot), samples, model = split_cells(batch, placement), batch, weights.hint("shuffle_hash")
+        parts = samples.select(*self._own)
+        for cells, table in ((cold, model), (hot, hot_weights(weights, placement))):
             parts = parts.unionByName(cells.join(table, "feature").select("slot", *self._met))
         return parts.groupBy("slot").agg(*self._totals)
 
 
 class FeatureSums:
-    """Sum ``sums`` per feature over the batch: ``(feature, t, <sums>)``.
+    """Sum ``sums`` per feature over the batch: ``(feature, t, <sums>)``, as one table or as one of cold and one of hot features.
 
-    The coefficients, one row per slot, are broadcast while the batch is small enough for that. Cold
-    cells already lie in their feature's partition; hot ones are summed per task before they move.
+    The coefficients, one row per slot, are broadcast while the batch is small enough for that. Cold cells already lie in
+    their feature's partition, and so do their sums; hot ones are summed per task before they move, to one row per hot feature.
     """
 
     def __init__(
@@ -126,14 +144,16 @@ class FeatureSums:
     def _grouped(self, cells: DataFrame, coefs: DataFrame) -> DataFrame:
         return cells.join(coefs, "slot").select(*self._addends).groupBy("feature").agg(*self._totals)
 
+    def _factors(self, stats: DataFrame) -> DataFrame:
+        return bounded_broadcast(stats.select(*self._coefs), self.batch_size, self.width)
+
     def __call__(self, batch: DataFrame, stats: DataFrame) -> DataFrame:
-        coefs = bounded_broadcast(stats.select(*self._coefs), self.batch_size, self.width)
-        cold, hot = split_cells(batch, self.placement, "t")
-        sums = self._grouped(hot, coefs)
-        if cold is None:
-            return sums
-        sums = sums.unionByName(self._grouped(cold, coefs))
-        return sums.repartition(self.placement.partitions, "feature")
+        return self._grouped(batch.select("slot", "t", F.inline("features")), self._factors(stats))
+
+    def split(self, batch: SplitBatch, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Sums of the cold and of the hot features."""
+        coefs = self._factors(stats)
+        return self._grouped(batch.cold, coefs), self._grouped(batch.hot, coefs)
 
 
 def sample_stats(batch: DataFrame, weights: DataFrame, terms: dict, placement: Placement) -> DataFrame:

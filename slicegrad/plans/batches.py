@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicegrad.operators.sampling import draw_slots
+from slicegrad.operators.statistics import Placement, SplitBatch
 from slicegrad.session import delete_path, scratch_path
 
 #: Samples drawn per pass over the data; as a broadcast table of 40-byte rows they stay below 64 MB.
@@ -92,21 +94,30 @@ class BatchReader:
         self.group = max(1, min(iterations, SLOTS_PER_PASS // batch_size))
         self._first, self._table, self._paths = None, None, []
 
+    def _tasks(self, count: int) -> int:
+        """Write tasks of ``count`` iterations: enough for the rows, and never more than there are files."""
+        cores = self.points.sparkSession.sparkContext.defaultParallelism
+        return min(count * self.files, cores + count * self.batch_size // ROWS_PER_FILE)
+
     def _write(self, first: int) -> None:
         spark = self.points.sparkSession
         count = min(self.group, self.iterations - first)
         slots = draw_slots(spark, self.n_rows, self.batch_size, count, self.seed, first)
-        rows = gather(self.points, slots, count * self.batch_size, self.n_rows).repartition(
-            min(count * self.files, 1000), "t", F.col("slot") % self.files
-        )
+        rows = gather(self.points, slots, count * self.batch_size, self.n_rows)
         self.close()
-        path = scratch_path(spark, "batches")
-        self._paths.append(path)
-        rows.write.partitionBy("t").parquet(path)
         schema = "slot int, label double, features array<struct<feature:int,value:double>>, t int"
-        self._table = spark.read.schema(schema).parquet(path)
+        self._table = self._by_iteration(rows, "batches", schema, count)
         self._first = first
 
+    def _by_iteration(self, rows: DataFrame, name: str, schema: str, count: int) -> DataFrame:
+        """Write ``rows`` with a folder per iteration and read them back."""
+        spark = self.points.sparkSession
+        path = scratch_path(spark, name)
+        self._paths.append(path)
+        placed = rows.repartition(self._tasks(count), "t", F.col("slot") % self.files)
+        placed.write.partitionBy("t").parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
     def close(self) -> None:
         """Delete the written rows; the caller keeps nothing that still reads them."""
         while self._paths:
@@ -117,3 +128,45 @@ class BatchReader:
         if first != self._first:
             self._write(first)
         return self._table.where(F.col("t") == t)
+
+
+class SplitReader(BatchReader):
+    """Mini-batches split by feature once per group, for models too large to broadcast.
+
+    The cells of a group are stored as a table bucketed by feature into the model's partitions, one file per bucket with
+    its cells sorted by iteration, so that an iteration reads only its own pages. Every iteration of the group then joins
+    cells and model where both lie: what moves is one partial row per (task, slot), and a factor per slot on the way back.
+    The cells of hot features stay spread by slot.
+    """
+
+    def __init__(
+        self, points: DataFrame, n_rows: int, batch_size: int, iterations: int, seed: int, placement: Placement
+    ):
+        super().__init__(points, n_rows, batch_size, iterations, seed)
+        self.placement = placement
+        self._cold = self._hot = self._name = None
+
+    def _write(self, first: int) -> None:
+        super()._write(first)
+        spark, parts = self.points.sparkSession, self.placement.partitions
+        count = min(self.group, self.iterations - first)
+        cells = self._table.select("t", "slot", F.inline("features"))
+        hot = cells.join(F.broadcast(self.placement.hot), "feature", "left_semi")
+        self._hot = self._by_iteration(hot, "hot-cells", "feature int, slot int, value double, t int", count)
+        cold = cells.join(F.broadcast(self.placement.hot), "feature", "left_anti").repartition(parts, "feature")
+        path, name = scratch_path(spark, "cells"), f"sg_cells_{uuid.uuid4().hex}"
+        self._paths.append(path)
+        self._name = name
+        cold.write.option("path", path).bucketBy(parts, "feature").sortBy("t").saveAsTable(name)
+        self._cold = spark.table(name)
+
+    def close(self) -> None:
+        if self._name:
+            self.points.sparkSession.sql(f"DROP TABLE IF EXISTS {self._name}")
+            self._name = None
+        super().close()
+
+    def batch(self, t: int) -> SplitBatch:
+        samples = super().batch(t).select("slot", "label")
+        mine = F.col("t") == t
+        return SplitBatch(samples, self._cold.where(mine), self._hot.where(mine))

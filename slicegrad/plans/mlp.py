@@ -8,6 +8,7 @@ columns in generated code. The long table ``(layer, i, j, w)`` is a projection o
 
 from __future__ import annotations
 
+from contextlib import closing
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -156,6 +157,7 @@ class Network:
             met = cells.join(F.broadcast(weights), ["feature", "block"], "left")
             return met.select(*self._filled).groupBy("slot", "block").agg(*self._z).select(*self._h)
         cold, hot = st.split_cells(batch, self.placement)
+        cold = cold.hint("shuffle_hash")
         near = st.hot_weights(weights, self.placement)
         parts = batch.select(*self._own)
         parts = parts.unionByName(cold.join(weights, "feature").select(*self._terms))
@@ -261,7 +263,7 @@ def train_mlp(
     rows_per_file = max(1, -(-batch_size // tasks))
     reader = BatchReader(points, profile.n_rows, batch_size, iterations, seed, rows_per_file)
     records = []
-    with loop_settings(spark, tasks):
+    with closing(reader), loop_settings(spark, tasks):
         state = cut_lineage(mlp_init(spark, shape, seed, partitions))
         for t in range(iterations):
             batch = reader.batch(t)
@@ -273,7 +275,6 @@ def train_mlp(
                 seen = out.agg(*network.metrics).first()
                 records.append((t, seen["loss"], None, seen["accuracy"]))
             state = cut_lineage(network.step(batch, activations, out, state))
-    reader.close()
     return MlpModel(shape, state, spark.createDataFrame(records, HISTORY_SCHEMA), placement, records)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slicegrad.operators import statistics as st
 from slicegrad.operators.sampling import draw_slots
-from slicegrad.plans.batches import SLOTS_PER_TASK, BatchReader, Profile, gather, profile_points
+from slicegrad.plans.batches import SLOTS_PER_TASK, BatchReader, Profile, SplitReader, gather, profile_points
 from slicegrad.plans.objectives import Adam, Objective, Optimizer, Sgd, make_objective
 from slicegrad.session import cut_lineage, loop_settings
 
@@ -75,28 +75,41 @@ class Plan:
         self.sums_of = st.FeatureSums(objective.coefs(), objective.sums(), placement, batch_size)
         self.mean_loss = F.avg(objective.loss())
         state = [*weights, *optimizer.state(weights)]
+        sums = list(objective.sums())
         self._filled = [
             "feature",
             *state,
             F.coalesce("t", F.lit(0)).alias("t"),
-            *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in objective.sums()],
+            *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in sums],
+        ]
+        self._hot = ["feature", *[F.col(name).alias(f"hot_{name}") for name in ["t", *sums]]]
+        self._either = [
+            "feature",
+            *state,
+            F.coalesce("t", "hot_t", F.lit(0)).alias("t"),
+            *[F.coalesce(name, f"hot_{name}", F.lit(0.0)).alias(name) for name in sums],
         ]
         changed: dict = {}
         for weight, gradient in objective.gradient().items():
             changed.update(optimizer.update(weight, gradient, step, batch_size, 1.0 - reg))
         self._changed = ["feature", *[changed[name].alias(name) for name in state]]
 
-    def stats(self, batch: DataFrame, state: DataFrame) -> DataFrame:
+    def stats(self, batch: DataFrame | st.SplitBatch, state: DataFrame) -> DataFrame:
         return self.stats_of(batch, state.select(*self._weights))
 
     def loss(self, stats: DataFrame) -> float:
         return stats.agg(self.mean_loss).first()[0]
 
-    def step(self, batch: DataFrame, stats: DataFrame, state: DataFrame) -> DataFrame:
+    def step(self, batch: DataFrame | st.SplitBatch, stats: DataFrame, state: DataFrame) -> DataFrame:
         """Weights after one step: shrink all features, move those the batch touches.
 
-        The model is never shuffled: the gradient sums come to its partitions.
+        The model is never shuffled. Sums of a split batch are in its partitions already, but for those of the hot
+        features, of which there are no more than a broadcast takes.
         """
+        if isinstance(batch, st.SplitBatch):
+            cold, hot = self.sums_of.split(batch, stats)
+            met = state.join(cold.hint("shuffle_hash"), "feature", "left")
+            return met.join(F.broadcast(hot.select(*self._hot)), "feature", "left").select(*self._either).select(*self._changed)
         sums = self.sums_of(batch, stats).hint("shuffle_hash")
         return state.join(sums, "feature", "left").select(*self._filled).select(*self._changed)
 
@@ -139,42 +152,90 @@ def train(
             num_features=num_features, classes=k or 2, hidden=hidden, seed=seed, history=history,
             profile=profile, partitions=partitions, placement=placement,
         )
-    objective = make_objective(model, k) if isinstance(model, str) else model
-    if optimizer is None:
-        optimizer = Adam() if isinstance(model, str) and model.lower().startswith("adam") else Sgd()
-    spark = points.sparkSession
-    profile = profile or profile_points(points, objective.classes, num_features)
-    names = objective.weights()
-    width = 1 + len(names) + len(optimizer.state(names))
-    partitions = partitions or model_partitions(spark, profile.num_features, width)
-    if placement is None:
-        placement = st.plan_placement(profile.num_features, width, partitions, points)
-    reader = BatchReader(points, profile.n_rows, batch_size, iterations, seed)
-    plan = Plan(objective, optimizer, placement, batch_size, step, reg)
-    records = []
-    tasks = max(partitions, batch_size // SLOTS_PER_TASK + 1) if placement.small else partitions
-    with loop_settings(spark, tasks):
-        state = initial_state(spark, objective, optimizer, profile.num_features, partitions, seed)
-        state = cut_lineage(state)
-        for t in range(iterations):
+    run = Run(
+        points, model, step=step, batch_size=batch_size, reg=reg, num_features=num_features, k=k, seed=seed,
+        valid_ratio=valid_ratio, valid_every=valid_every, optimizer=optimizer, partitions=partitions, history=history,
+        profile=profile, placement=placement,
+    )
+    return _train_together([run], iterations, seed)[0]
+
+
+class Run:
+    """One model in training: plan, state and history. Settings as in :func:`train`."""
+
+    def __init__(
+        self, points: DataFrame, model: str | Objective, *, step: float, batch_size: int, reg: float = 0.0,
+        num_features: int | None = None, k: int | None = None, seed: int = 42, valid_ratio: float = 0.01,
+        valid_every: int = 1000, optimizer: Optimizer | None = None, partitions: int | None = None,
+        history: bool = True, profile: Profile | None = None, placement: st.Placement | None = None,
+    ):
+        objective = make_objective(model, k) if isinstance(model, str) else model
+        if optimizer is None:
+            optimizer = Adam() if isinstance(model, str) and model.lower().startswith("adam") else Sgd()
+        self.points, self.spark = points, points.sparkSession
+        self.profile = profile or profile_points(points, objective.classes, num_features)
+        names = objective.weights()
+        width = 1 + len(names) + len(optimizer.state(names))
+        partitions = partitions or model_partitions(self.spark, self.profile.num_features, width)
+        if placement is None:
+            placement = st.plan_placement(self.profile.num_features, width, partitions, points)
+        self.placement, self.batch_size, self.history = placement, batch_size, history
+        self.valid_every, self.valid_size = valid_every, sample_size(valid_ratio, self.profile.n_rows)
+        self.plan = Plan(objective, optimizer, placement, batch_size, step, reg)
+        self.tasks = max(partitions, batch_size // SLOTS_PER_TASK + 1) if placement.small else partitions
+        self.records: list = []
+        with loop_settings(self.spark, self.tasks):
+            self.state = cut_lineage(initial_state(self.spark, objective, optimizer, self.profile.num_features, partitions, seed))
+
+    def reader(self, iterations: int, seed: int) -> BatchReader:
+        facts = (self.points, self.profile.n_rows, self.batch_size, iterations, seed)
+        return BatchReader(*facts) if self.placement.small else SplitReader(*facts, self.placement)
+
+    def iterate(self, t: int, reader: BatchReader) -> None:
+        with loop_settings(self.spark, self.tasks):
+            plan, small = self.plan, self.placement.small
             valid_loss = None
-            if history and t % valid_every == 0:
-                size = int(valid_ratio * profile.n_rows)
-                valid_loss = plan.loss(_sampled_stats(plan, state, points, profile.n_rows, size)) if size else None
+            if self.history and t % self.valid_every == 0 and self.valid_size:
+                valid_loss = plan.loss(_sampled_stats(plan, self.state, self.points, self.profile.n_rows, self.valid_size))
             batch = reader.batch(t)
-            stats = plan.stats(batch, state)
-            if not placement.small:
+            stats = plan.stats(batch, self.state)
+            if not small:
                 stats = cut_lineage(stats)  # read by hot cells, cold cells and the loss
-            elif history:
+            elif self.history:
                 stats = stats.persist()
-            if history:
-                records.append((t, plan.loss(stats), valid_loss, None))
-            state = cut_lineage(plan.step(batch, stats, state))
-            if history and placement.small:
+            if self.history:
+                self.records.append((t, plan.loss(stats), valid_loss, None))
+            self.state = cut_lineage(plan.step(batch, stats, self.state))
+            if self.history and small:
                 stats.unpersist()
-    reader.close()
-    table = spark.createDataFrame(records, HISTORY_SCHEMA)
-    return Model(objective, state, table, profile.num_features, placement, records)
+
+    def model(self) -> Model:
+        table = self.spark.createDataFrame(self.records, HISTORY_SCHEMA)
+        return Model(self.plan.objective, self.state, table, self.profile.num_features, self.placement, self.records)
+
+
+def _train_together(runs: list[Run], iterations: int, seed: int) -> list[Model]:
+    """Advance all runs side by side, so that a group of batches is drawn, split and written once for all of them.
+
+    Models of the same placement share a reader: all small ones, and large ones that were given one placement.
+    """
+    readers: dict = {}
+    try:
+        for t in range(iterations):
+            for run in runs:
+                key = None if run.placement.small else id(run.placement)
+                if key not in readers:
+                    readers[key] = run.reader(iterations, seed)
+                run.iterate(t, readers[key])
+    finally:
+        for reader in readers.values():
+            reader.close()
+    return [run.model() for run in runs]
+
+
+def sample_size(ratio: float, n_rows: int) -> int:
+    """Rows of a sampled loss: the share of all rows, but at least one; none for a share of zero."""
+    return max(1, int(ratio * n_rows)) if ratio else 0
 
 
 def _sampled_stats(
@@ -190,16 +251,21 @@ def evaluate(
 ) -> DataFrame:
     """Mean loss over rows sampled with replacement from ``points``: one row ``(n, loss)``."""
     n_rows = n_rows or points.count()
-    size = max(1, int(valid_ratio * n_rows))
+    size = sample_size(valid_ratio, n_rows)
+    if not size:
+        raise ValueError("a loss needs a share of the rows above zero")
     plan = Plan(model.objective, Sgd(), model.placement)
     stats = _sampled_stats(plan, model.state, points, n_rows, size, seed)
     return stats.agg(F.count("*").alias("n"), plan.mean_loss.alias("loss"))
 
 
 def score(model: Model, points: DataFrame) -> DataFrame:
-    """Statistics over all rows instead of a batch."""
+    """Statistics over all rows instead of a batch; for a large model with the hot features of these rows."""
     batch = points.select(F.col("row_id").alias("slot"), "label", "features")
-    stats = Plan(model.objective, Sgd(), model.placement).stats(batch, model.state)
+    placement = model.placement
+    if not placement.small:
+        placement = st.split_placement(points, 1 + len(model.objective.weights()), placement.partitions)
+    stats = Plan(model.objective, Sgd(), placement).stats(batch, model.state)
     scores = [column.alias(name) for name, column in model.objective.scores().items()]
     return stats.select(F.col("slot").alias("row_id"), "label", *scores)
 
@@ -207,15 +273,25 @@ def score(model: Model, points: DataFrame) -> DataFrame:
 def train_all(points: DataFrame, chain: str, **settings) -> dict[str, Model]:
     """Train several models, named as in ``"LR-SVM-FM"``, over the same points.
 
-    The pass that counts and checks the rows is shared. Points that are dear to compute should be written
-    first (:func:`slicegrad.session.written`): drawing reads them once per group of batches.
+    The pass that counts and checks the rows is shared, and so are the batches, since the models advance side by side; a
+    perceptron trains by itself. Points that are dear to compute should be written first
+    (:func:`slicegrad.session.written`): drawing reads them once per group of batches.
     """
     profiles: dict[int, Profile] = {}
-    trained = {}
-    for name in chain.lower().split("-"):
+    runs, trained = {}, {}
+    names = chain.lower().split("-")
+    for name in names:
         k = settings.get("k")
         classes = (k or 2) if name == "mlp" else make_objective(name, k).classes
         if classes not in profiles:
             profiles[classes] = profile_points(points, classes, settings.get("num_features"))
-        trained[name] = train(points, name, **{**settings, "profile": profiles[classes]})
-    return trained
+        own = {**settings, "profile": profiles[classes]}
+        if name == "mlp":
+            trained[name] = train(points, name, **own)
+            continue
+        own.pop("hidden", None)
+        own.pop("iterations")
+        runs[name] = Run(points, name, **own)
+    together = _train_together(list(runs.values()), settings["iterations"], settings.get("seed", 42))
+    trained |= dict(zip(runs, together))
+    return {name: trained[name] for name in names}

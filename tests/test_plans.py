@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slicegrad.operators import statistics as st
 from slicegrad.plans import mlp
-from slicegrad.plans.batches import BatchReader
+from slicegrad.plans.batches import BatchReader, SplitReader
 from slicegrad.plans.objectives import Adam, Logistic, Sgd
 from slicegrad.plans.train import Plan, initial_state
 from slicegrad.session import BROADCAST_BYTES, cut_lineage, fits_broadcast, loop_settings
@@ -40,7 +40,7 @@ def split_setup(spark, partitions=4):
     plan = Plan(objective, Sgd(), placement, 50, 0.1, 0.0)
     with loop_settings(spark, partitions):
         state = cut_lineage(initial_state(spark, objective, Sgd(), 200, partitions, 42))
-    batch = BatchReader(points, 400, 50, 2, 42).batch(1)
+        batch = SplitReader(points, 400, 50, 2, 42, placement).batch(1)
     return points, placement, plan, state, batch
 
 
@@ -54,17 +54,26 @@ def test_hot_features_are_few_and_found(spark):
     assert not st.plan_placement(10**8, 3, 4, points).small
 
 
-def test_statistics_do_not_shuffle_the_model(spark):
+def test_statistics_shuffle_neither_the_model_nor_the_cells(spark):
     _, _, plan, state, batch = split_setup(spark)
     with loop_settings(spark, 4):
         text = executed(plan.stats(batch, state))
-    # Cold cells to the model's partitions, and the statistics to their slots; nothing else.
+    # The statistics go to their slots; nothing else moves.
     exchanges = re.findall(r"Exchange hashpartitioning\(([a-z_]+)", text)
-    assert sorted(exchanges) == ["feature", "slot"]
+    assert exchanges == ["slot"]
     assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
 
 
-def test_an_update_does_not_shuffle_the_model(spark):
+def test_scoring_hashes_the_model_not_the_cells(spark):
+    points, placement, plan, state, _ = split_setup(spark)
+    with loop_settings(spark, 4):
+        text = executed(plan.stats(points.withColumnRenamed("row_id", "slot"), state))
+    exchanges = re.findall(r"Exchange hashpartitioning\(([a-z_]+)", text)
+    assert sorted(exchanges) == ["feature", "slot"]
+    assert re.search(r"ShuffledHashJoin \[feature#\d+\], \[feature#\d+\], Inner, BuildRight", text)
+
+
+def test_an_update_shuffles_neither_the_model_nor_the_cells(spark):
     _, _, plan, state, batch = split_setup(spark)
     with loop_settings(spark, 4):
         stats = cut_lineage(plan.stats(batch, state))
@@ -73,10 +82,21 @@ def test_an_update_does_not_shuffle_the_model(spark):
     before = text[:scan].splitlines()
     assert not any("Exchange" in line for line in before), "the model side of the join must stay in place"
     assert "BroadcastHashJoin" in text
+    # The one exchange by feature carries a task's sums of the hot features.
+    assert re.findall(r"Exchange hashpartitioning\(([a-z_]+)", text) == ["feature"]
+    below = text[text.index("Exchange hashpartitioning(feature") :].splitlines()[1]
+    assert "HashAggregate" in below
 
 
-def test_an_iteration_reads_only_its_own_batch(spark):
+def test_an_iteration_reads_only_its_own_cells(spark):
     _, _, plan, state, batch = split_setup(spark)
+    assert re.search(r"PushedFilters: \[IsNotNull\(t\), EqualTo\(t,1\)\]", executed(batch.cold))
+    assert re.search(r"PartitionFilters: \[isnotnull\(t#\d+\), \(t#\d+ = 1\)\]", executed(batch.hot))
+
+
+def test_an_iteration_reads_only_its_own_batch(spark):
+    points = make_points(spark, skewed_rows())
+    batch = BatchReader(points, 400, 50, 2, 42).batch(1)
     text = executed(batch.select("slot", F.inline("features")))
     assert re.search(r"PartitionFilters: \[isnotnull\(t#\d+\), \(t#\d+ = 1\)\]", text)
     assert "label" not in re.search(r"ReadSchema: (.*)", text).group(1)
