@@ -28,6 +28,29 @@ def draw_index(n_rows: int, *parts) -> Column:
     return wide % F.lit(n_rows).cast("bigint")
 
 
+def unit(*parts) -> Column:
+    """A uniform number in [0, 1) of 32 bits, keyed by ``parts``."""
+    return hex_word(keyed_digest(*parts)).cast("double") / F.lit(4294967296.0)
+
+
+def poisson_steps(mean: float) -> list[float]:
+    """Distribution function of a Poisson variable at 0, 1, 2, ... up to where 32 bits end."""
+    steps, total, k = [], 0.0, 0
+    while k <= mean or 1.0 - total > 2.0**-33:
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        if steps and total == steps[-1] and k > mean:
+            break
+        steps.append(total)
+        k += 1
+    return steps
+
+
+def poisson(mean: float, *parts) -> Column:
+    """A Poisson draw keyed by ``parts``: how many steps of the distribution function lie at or below a uniform number."""
+    u = unit(*parts)
+    return F.size(F.filter(F.array(*[F.lit(step) for step in poisson_steps(mean)]), lambda step: step <= u))
+
+
 def gaussian(*parts, scale: float = 0.01) -> Column:
     """A normal draw with standard deviation ``scale``, keyed by ``parts`` (Box-Muller on two digest words)."""
     digest = keyed_digest(*parts)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slicegrad.session import bounded_broadcast, cut_lineage
+from slicegrad.session import bounded_broadcast, cut_lineage, written
 
 FEATURES_TYPE = "array<struct<feature:int,value:double>>"
 DEFAULT_CHUNK_ROWS = 65_536
@@ -102,11 +102,11 @@ def to_blocks(points: DataFrame, partitions: int, chunk_rows: int = DEFAULT_CHUN
 def with_dense_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows ``0..N-1`` without sorting them or passing them through one task.
 
-    The rows are written to the checkpoint folder first, so the numbering cannot change between the
-    counting pass and the numbering pass. Only one count per partition enters the running total, which
+    The rows are written as a columnar table first, so the numbering cannot change between the counting pass, which
+    reads one column, and the numbering pass, and later readers read only the columns they name. Only one count per partition enters the running total, which
     is itself taken in two levels of at most about a thousand rows each per million partitions.
     """
-    fixed = cut_lineage(df.withColumn("_at", F.monotonically_increasing_id()))
+    fixed = written(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     fixed = fixed.withColumn("_part", F.shiftright("_at", 33))
     counts = fixed.groupBy("_part").agg(F.count("*").alias("_n"))
     counts = cut_lineage(counts.withColumn("_group", F.expr("_part div 1024")))
@@ -119,6 +119,6 @@ def with_dense_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     starts = starts.select("_part", (F.col("_base") + F.col("_inner")).alias("_start"))
     within = F.col("_at").bitwiseAND(F.lit(2**33 - 1))
     # One row per partition of the data: far below the broadcast bound for any real partition count.
-    starts = bounded_broadcast(starts, fixed.rdd.getNumPartitions(), 2)
+    starts = bounded_broadcast(starts, counts.count(), 2)
     numbered = fixed.join(starts, "_part").withColumn(name, F.col("_start") + within)
     return numbered.select(name, *[c for c in df.columns if c != name])

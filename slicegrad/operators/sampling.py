@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicegrad.functions.hashing import draw_index
+from slicegrad.functions.hashing import draw_index, poisson, unit
 
 
 def draw_slots(
@@ -48,16 +48,34 @@ def batch_cells(feats: DataFrame, slots: DataFrame) -> DataFrame:
     return slots.join(feats, "row_id").select("slot", "label", "feature", "value")
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int | None = None) -> DataFrame:
-    """Bernoulli sample without replacement."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def sample_rows(df: DataFrame, fraction: float, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """Bernoulli sample without replacement.
 
+    With ``key`` a row's fate depends only on the seed and its key, whatever the partitioning, so every rerun agrees; rows
+    of equal keys share their fate. Without it Spark's own generator draws for each row.
+    """
+    if key is None:
+        return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+    return df.where(unit(seed, *_key(key)) < fraction)
+
+
+def resample(df: DataFrame, fraction: float, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """Down- or over-sample with replacement: a Poisson number of copies of mean ``fraction`` per row.
 
-def resample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Down- or over-sample with replacement; a fraction of exactly one keeps the rows as they are."""
+    A fraction of exactly one keeps the rows as they are, zero keeps none. ``key`` as in :func:`sample_rows`.
+    """
     if fraction == 1.0:
         return df
-    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+    if fraction <= 0.0:
+        return df.limit(0)
+    if key is None:
+        return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+    copies = F.explode(F.array_repeat(F.lit(0), poisson(fraction, seed, *_key(key))))
+    return df.select("*", copies.alias("_sg_copy")).drop("_sg_copy")
+
+
+def _key(names: list[str]) -> list:
+    return [F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("null")) for name in names]
 
 
 def round_robin(df: DataFrame, n: int) -> DataFrame:

@@ -74,11 +74,16 @@ def order_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hashed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed orders, computed where they are read."""
+    return criteo_features(order_clicks(spark, sf_dir), CLICK_BUCKETS)
+
+
 def click_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed orders: 13 integers and 4,096 buckets. Most categories are missing, so some buckets are in
     every row while a customer's bucket is rare: heavily skewed features. Hashing costs more than reading
     its result, and training passes over the points more than once, so they are written first."""
-    return written(criteo_features(order_clicks(spark, sf_dir), CLICK_BUCKETS), "points")
+    return written(hashed_orders(spark, sf_dir), "points")
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from slicegrad.sources import clicklog, libsvm, texts
 REG, STEP = 0.01, 0.5
 ITERATIONS = 4
 BATCH_SHARE = 20
+SAMPLE_SHARE, RESAMPLE_RATE = 0.1, 1.5
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,13 +46,13 @@ def read_libsvm(spark, sf):
 
 def write_libsvm(spark, sf):
     path = scratch_path(spark, "libsvm")
-    libsvm.write_libsvm(ds.click_points(spark, sf), path)
+    libsvm.write_libsvm(ds.hashed_orders(spark, sf), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 def to_columns(spark, sf):
     cells = co.to_columns(ds.event_points(spark, sf), 4, chunk_rows=1000)
-    return cells.select("part", "local", "row_id", "label", "value")
+    return cells.select("part", "chunk", "local", "row_id", "label", "feature", "value")
 
 
 def to_blocks(spark, sf):
@@ -85,7 +86,7 @@ def read_criteo(spark, sf):
 
 
 def criteo_features(spark, sf):
-    return co.to_feats(ds.click_points(spark, sf))
+    return co.to_feats(ds.hashed_orders(spark, sf))
 
 
 def hash_features(spark, sf):
@@ -93,6 +94,12 @@ def hash_features(spark, sf):
     return clicklog.hash_features(ds.table(spark, sf, "part"), "p_partkey", tokens, 64)
 
 
+def hash_present(spark, sf):
+    """Hashing that leaves missing categories out."""
+    tokens = clicklog.category_tokens(["c1", "c2", "c3", "c26"], hash_missing=False)
+    return clicklog.hash_features(ds.order_clicks(spark, sf), "row_id", tokens, 64)
+
+
 def read_edges(spark, sf):
     path = scratch_path(spark, "edges")
     texts.write_edges(ds.trade_edges(spark, sf), path)
@@ -104,6 +111,18 @@ def rewrite_files(spark, sf):
     keys = ds.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("value"))
     keys.write.text(source)
     texts.rewrite_files(spark, source, target, 8)
+    return _files(spark, target)
+
+
+def merge_files(spark, sf):
+    """Eight partitions merged to three without a shuffle, one file each."""
+    target = scratch_path(spark, "lines")
+    keys = ds.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("value"))
+    sa.merge_partitions(keys.repartition(8), 3).write.text(target)
+    return _files(spark, target)
+
+
+def _files(spark, target):
     lines = spark.read.text(target).select("value", F.input_file_name().alias("file"))
     return lines.agg(
         F.count("*").alias("n_lines"),
@@ -114,26 +133,32 @@ def rewrite_files(spark, sf):
 
 def click_vectors(spark, sf):
     path = scratch_path(spark, "libsvm")
-    libsvm.write_libsvm(ds.click_points(spark, sf), path)
+    libsvm.write_libsvm(ds.hashed_orders(spark, sf), path)
     return texts.load_vectors(spark, path, ds.CLICK_FEATURES, spark.sparkContext.defaultParallelism)
 
 
 def load_vectors(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
-    rows = click_vectors(spark, sf).select("label", vector_to_array("features").alias("x"))
-    total = F.aggregate("x", F.lit(0.0), lambda acc, x: acc + x)
+    rows = click_vectors(spark, sf).select("label", F.unwrap_udt("features").alias("v"))
+    total = F.aggregate("v.values", F.lit(0.0), lambda acc, x: acc + x)
     return rows.groupBy("label").agg(
-        F.count("*").alias("n_rows"), F.max(F.size("x")).alias("width"), F.sum(total).alias("total")
+        F.count("*").alias("n_rows"), F.max("v.size").alias("width"), F.sum(total).alias("total")
     )
 
 
 def sample_rows(spark, sf):
-    return sa.sample_rows(ds.table(spark, sf, "orders"), 0.1, seed=42).select("o_orderkey")
+    return sa.sample_rows(ds.table(spark, sf, "orders"), SAMPLE_SHARE, key=["o_orderkey"]).select("o_orderkey")
+
+
+def sample_text(spark, sf):
+    """A sample of text lines, from text to text."""
+    source, target = scratch_path(spark, "lines"), scratch_path(spark, "lines")
+    ds.table(spark, sf, "part").select(F.concat_ws(" ", "p_partkey", "p_name").alias("value")).write.text(source)
+    texts.sample_text(spark, source, target, SAMPLE_SHARE, keyed=True)
+    return spark.read.text(target).select(F.col("value").alias("line"))
 
 
 def resample(spark, sf):
-    return sa.resample(ds.table(spark, sf, "orders"), 1.5).select("o_orderkey")
+    return sa.resample(ds.table(spark, sf, "orders"), RESAMPLE_RATE, key=["o_orderkey"]).select("o_orderkey")
 
 
 # ------------------------------------------------------------------------------------------- batches
@@ -290,6 +315,40 @@ def train_fm_partitioned(spark, sf):
     return _partitioned(spark, sf, "fm", 4, step=0.01)
 
 
+class Squares(Objective):
+    """Least squares, as a user would define a model of their own."""
+
+    name = "squares"
+
+    def weights(self):
+        return ["w0"]
+
+    def stats(self):
+        return ["s0"]
+
+    def terms(self):
+        return {"s0": F.col("w0") * F.col("value")}
+
+    def loss(self):
+        return F.pow(F.col("s0") - F.col("label"), 2) / 2
+
+    def coefs(self):
+        return {"c0": F.col("s0") - F.col("label")}
+
+    def sums(self):
+        return {"g0": F.col("c0") * F.col("value")}
+
+    def gradient(self):
+        return {"w0": F.col("g0")}
+
+    def scores(self):
+        return {"score": F.col("s0")}
+
+
+def train_own(spark, sf):
+    return _weights(_fit(ds.event_points(spark, sf), Squares(), num_features=ds.EVENT_FEATURES, step=0.05))
+
+
 def train_everything(spark, sf):
     points = ds.event_points(spark, sf)
     n_rows = points.count()
@@ -321,6 +380,25 @@ def score(spark, sf):
     )
 
 
+def _split_lr(spark, sf):
+    """The events and their model, trained and placed as one too large to broadcast."""
+    points = ds.event_points(spark, sf)
+    partitions = spark.sparkContext.defaultParallelism
+    placement = st.split_placement(points, 2, partitions)
+    return points, _fit(points, "lr", num_features=ds.EVENT_FEATURES, partitions=partitions, placement=placement)
+
+
+def evaluate_partitioned(spark, sf):
+    points, model = _split_lr(spark, sf)
+    return evaluate(model, points, valid_ratio=0.5).select("n", rounded(F.col("loss")).alias("loss"))
+
+
+def score_partitioned(spark, sf):
+    points, model = _split_lr(spark, sf)
+    columns = [rounded(F.col(c)).alias(c) for c in ("score", "probability")]
+    return model.score(points).select("row_id", "label", *columns)
+
+
 # ---------------------------------------------------------------------------------------- perceptron
 
 MLP_HIDDEN, MLP_ITERATIONS, MLP_SHARE = 4, 2, 5
@@ -400,6 +478,7 @@ def all_queries() -> dict[str, Query]:
         "read_criteo": read_criteo,
         "criteo_features": criteo_features,
         "hash_features": hash_features,
+        "hash_present": hash_present,
         "minibatch_slots": minibatch_slots,
         "batch_labels": batch_labels,
         "batch_cells": batch_cells,
@@ -429,11 +508,16 @@ def all_queries() -> dict[str, Query]:
         "evaluate": evaluate_model,
         "history": history,
         "score": score,
+        "evaluate_partitioned": evaluate_partitioned,
+        "score_partitioned": score_partitioned,
+        "train_own": train_own,
         "train_all": train_everything,
         "read_edges": read_edges,
         "pagerank": ranks,
         "top_ranks": top,
         "rewrite_files": rewrite_files,
+        "merge_files": merge_files,
+        "sample_text": sample_text,
         "load_vectors": load_vectors,
         "sample_rows": sample_rows,
         "resample": resample,

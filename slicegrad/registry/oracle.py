@@ -7,6 +7,8 @@ gradient. Every iteration is written out in SQL, independent of the wide rows th
 
 from __future__ import annotations
 
+import math
+
 from slicegrad.registry.datasets import (
     CLICK_BUCKETS,
     CLICK_FEATURES,
@@ -21,6 +23,7 @@ SEED, EVAL_SEED = 42, 100_000
 REG, STEP = 0.01, 0.5
 ITERATIONS = 4
 BATCH_SHARE = 20
+SAMPLE_SHARE, RESAMPLE_RATE = 0.1, 1.5
 
 
 def rounded(expression: str, digits: int = 6) -> str:
@@ -37,6 +40,19 @@ def drawn(key: str) -> str:
     return f"({word(key)} * {2**30} + {word(key, 1)} % {2**30})"
 
 
+def unit(key: str) -> str:
+    return f"(CAST({word(key)} AS DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def poisson(mean: float, key: str) -> str:
+    """Copies of a row: one per step of the Poisson distribution function that its uniform number reaches."""
+    parts, step = [], 0.0
+    for k in range(40):
+        step += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        parts.append(f"CASE WHEN {unit(key)} >= {step!r}::DOUBLE THEN 1 ELSE 0 END")
+    return " + ".join(parts)
+
+
 def signed(key: str) -> str:
     w = word(key)
     return f"CASE WHEN {w} >= 2147483648 THEN {w} - 4294967296 ELSE {w} END"
@@ -146,6 +162,8 @@ def coefficients(kind: str, table: str) -> str:
     """Per slot and position: the factor of the gradient."""
     if kind == "lr":
         return f"SELECT slot, k, -(2 * label - 1) / (1 + exp((2 * label - 1) * s)) AS c FROM {table}"
+    if kind == "squares":
+        return f"SELECT slot, k, s - label AS c FROM {table}"
     if kind == "svm":
         return (
             f"SELECT slot, k, CASE WHEN (2 * label - 1) * s < 1 THEN -(2 * label - 1) ELSE 0 END AS c FROM {table}"
@@ -426,6 +444,10 @@ def all_queries() -> dict[str, str]:
         f"SELECT p_partkey AS rid, '{i}:' || {name} AS token FROM part"
         for i, name in enumerate(("p_brand", "p_type", "p_name"))
     )
+    order_tokens = " UNION ALL ".join(
+        f"SELECT o_orderkey AS rid, '{i}:' || nullif(CAST({_CLICK_CATEGORIES[c]} AS VARCHAR), '') AS token FROM orders"
+        for i, c in enumerate((1, 2, 3, 26))
+    )
     everything = "d0 AS (SELECT slot, " + drawn(f"'{SEED}:0:' || CAST(slot AS VARCHAR)") + (
         " % n AS rid FROM (SELECT event_id AS slot, (SELECT count(*) FROM pts) AS n FROM events))"
     )
@@ -447,7 +469,7 @@ def all_queries() -> dict[str, str]:
         "read_libsvm": f"{cells}\nSELECT label, feature, x AS value, count(*) AS n FROM cells GROUP BY ALL",
         "write_libsvm": lines,
         "to_columns": f"{cells}\nSELECT CAST(feature % 4 AS INTEGER) AS part, CAST(feature // 4 AS INTEGER) AS local, "
-        "rid AS row_id, label, x AS value FROM cells",
+        "CAST(rid // 1000 AS INTEGER) AS chunk, rid AS row_id, label, feature, x AS value FROM cells",
         "to_blocks": f"{blocks}\nSELECT part, chunk, count(DISTINCT rid) AS n_rows, count(*) AS n_cells, "
         f"count(*) AS last_offset, {rounded('sum(x)')} AS total FROM placed GROUP BY part, chunk",
         "feature_partition": f"{cells}\nSELECT CAST(feature % 4 AS INTEGER) AS part, "
@@ -459,6 +481,10 @@ def all_queries() -> dict[str, str]:
         "SELECT rid AS row_id, CAST(abs(h) % 64 AS INTEGER) AS bucket, "
         "CAST(sum(CASE WHEN h >= 0 THEN 1 ELSE -1 END) AS BIGINT) AS value FROM hashed "
         "GROUP BY rid, abs(h) % 64 HAVING sum(CASE WHEN h >= 0 THEN 1 ELSE -1 END) <> 0",
+        "hash_present": f"WITH tokens AS ({order_tokens}), hashed AS (SELECT rid, {signed('token')} AS h FROM tokens "
+        "WHERE token IS NOT NULL)\nSELECT rid AS row_id, CAST(abs(h) % 64 AS INTEGER) AS bucket, "
+        "CAST(sum(CASE WHEN h >= 0 THEN 1 ELSE -1 END) AS BIGINT) AS value FROM hashed "
+        "GROUP BY rid, abs(h) % 64 HAVING sum(CASE WHEN h >= 0 THEN 1 ELSE -1 END) <> 0",
         "minibatch_slots": f"WITH {events.strip()}, {everything}\nSELECT CAST(slot AS INTEGER) AS slot, rid AS row_id FROM d0",
         "batch_labels": f"WITH {events.strip()}, {everything}\n"
         "SELECT CAST(slot AS INTEGER) AS slot, rid AS row_id, label FROM d0 JOIN pts USING (rid)",
@@ -494,11 +520,20 @@ def all_queries() -> dict[str, str]:
         "evaluate": evaluate_sql(),
         "history": history_sql(),
         "score": score_sql(),
+        "evaluate_partitioned": evaluate_sql(),
+        "score_partitioned": score_sql(),
+        "train_own": trained_weights("squares", events, EVENT_FEATURES, step=0.05),
         "train_all": chain_sql(),
         "read_edges": f"WITH {EDGES.strip()}\nSELECT src, dst, count(*) AS n FROM edges GROUP BY src, dst",
         "pagerank": f"{ranks}\nSELECT id, {rounded('rank')} AS rank FROM ranks",
         "top_ranks": f"{ranks}\nSELECT id, {rounded('rank')} AS rank FROM ranks ORDER BY ranks.rank DESC, id LIMIT 10",
         "rewrite_files": "SELECT count(*) AS n_lines, 8 AS n_files, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders",
+        "merge_files": "SELECT count(*) AS n_lines, 3 AS n_files, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders",
+        "sample_rows": f"SELECT o_orderkey FROM orders WHERE {unit(f"'{SEED}:' || o_orderkey")} < {SAMPLE_SHARE}::DOUBLE",
+        "sample_text": "SELECT line FROM (SELECT p_partkey || ' ' || p_name AS line FROM part) "
+        f"WHERE {unit(f"'{SEED}:' || line")} < {SAMPLE_SHARE}::DOUBLE",
+        "resample": "SELECT o_orderkey FROM (SELECT o_orderkey, unnest(range("
+        + poisson(RESAMPLE_RATE, f"'{SEED}:' || o_orderkey") + ")) AS copy FROM orders)",
         "load_vectors": f"WITH {CLICK_CELLS.strip()}\nSELECT label, count(DISTINCT rid) AS n_rows, {CLICK_FEATURES} AS "
         "width, CAST(sum(x) AS DOUBLE) AS total FROM cells GROUP BY label",
     }

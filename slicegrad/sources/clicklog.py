@@ -51,16 +51,13 @@ def category_tokens(names: list[str], hash_missing: bool = True) -> list[Column]
 def hash_features(
     df: DataFrame, row_id: str, tokens: list[Column], n_buckets: int, method: str = "md5", shift: int = 0
 ) -> DataFrame:
-    """Signed feature hashing: ``(row_id, bucket, value)`` with the sum of signs per bucket.
+    """Signed feature hashing: ``(row_id, bucket, value)`` with the sum of signs per bucket of a row.
 
-    Buckets whose signs cancel are dropped. A row's own tokens decide the size of a group, so no bucket
-    or token can gather rows from elsewhere.
+    Buckets whose signs cancel are dropped. One narrow pass: sums stay inside a row, so nothing is shuffled.
     """
-    hashed = df.select(F.col(row_id).alias("row_id"), F.explode(F.array(*tokens)).alias("token"))
-    hashed = hashed.where("token is not null")
-    hashed = hashed.withColumn("h", signed_hash(F.col("token"), method))
-    buckets = hashed.groupBy("row_id", (hash_bucket(F.col("h"), n_buckets) + shift).alias("bucket"))
-    return buckets.agg(F.sum(hash_sign(F.col("h"))).alias("value")).where("value <> 0")
+    rows = hash_in_row(df, [F.col(row_id).alias("row_id")], "_cells", tokens, n_buckets, method, shift)
+    cells = rows.select("row_id", F.inline("_cells"))
+    return cells.select("row_id", F.col("feature").alias("bucket"), F.col("value").cast("bigint").alias("value"))
 
 
 def hash_in_row(

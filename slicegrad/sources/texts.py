@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +21,10 @@ def write_edges(edges: DataFrame, path: str) -> None:
 
 
 def sample_text(
-    spark: SparkSession, source: str, target: str, fraction: float, seed: int | None = None
+    spark: SparkSession, source: str, target: str, fraction: float, seed: int = 42, keyed: bool = False
 ) -> None:
-    """Copy a sample of the lines of a text."""
-    sample_rows(spark.read.text(source), fraction, seed).write.text(target)
+    """Copy a sample of the lines of a text; ``keyed`` by the line itself, every run copies the same lines."""
+    sample_rows(spark.read.text(source), fraction, seed, ["value"] if keyed else None).write.text(target)
 
 
 def rewrite_files(spark: SparkSession, source: str, target: str, n: int = 8) -> None:
@@ -42,7 +41,8 @@ def load_vectors(
 ) -> DataFrame:
     """Row-wise ``(label, features VECTOR)`` for the row-partitioned trainers.
 
-    With ``shuffle`` the rows are spread evenly; without it, existing splits are only merged.
+    With ``shuffle`` the rows are spread evenly; without it, existing splits are only merged. The caller keeps and frees
+    them if they are read more than once.
     """
     reader = spark.read.format("libsvm")
     if num_features:
@@ -50,4 +50,4 @@ def load_vectors(
     rows = reader.load(path)
     if partitions:
         rows = round_robin(rows, partitions) if shuffle else merge_partitions(rows, partitions)
-    return rows.persist(StorageLevel.MEMORY_ONLY)
+    return rows

@@ -104,6 +104,12 @@ def test_resample(spark):
     assert sa.resample(df, 1.0).count() == 1000
     over = sa.resample(df, 2.0)
     assert 1700 < over.count() < 2300 and over.distinct().count() < 1000
+    for rate in (0.3, 2.0):
+        one, other = (sa.resample(df.repartition(n), rate, key=["id"]).collect() for n in (2, 5))
+        assert sorted(one) == sorted(other) and abs(len(one) - 1000 * rate) < 200
+    some = {r.id for r in sa.sample_rows(df, 0.3, key=["id"]).collect()}
+    assert some == {r.id for r in sa.sample_rows(df.repartition(3), 0.3, key=["id"]).collect()} and 230 < len(some) < 370
+    assert sa.resample(df, 0.0).count() == 0
     assert sa.round_robin(df, 5).rdd.getNumPartitions() == 5
     assert sa.merge_partitions(df.repartition(6), 2).rdd.getNumPartitions() == 2
 

@@ -21,7 +21,7 @@ def connection(sf_dir):
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     without = set(jobs.all_queries()) - set(entry.oracle_sql())
-    assert all(name in ("sample_rows", "resample") or name.startswith("baseline_") for name in without)
+    assert all(name.startswith("baseline_") for name in without)
 
 
 def test_entry(spark):
