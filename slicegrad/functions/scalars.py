@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,21 +47,37 @@ def largest(columns: list[Column]) -> Column:
     return columns[0] if len(columns) == 1 else F.greatest(*columns)
 
 
-def softmax(scores: list[Column]) -> list[Column]:
-    """Softmax over the score columns of one row; shifted by the row maximum so it cannot overflow."""
-    top = largest(scores)
-    powers = [F.exp(score - top) for score in scores]
-    norm = total(powers)
-    return [power / norm for power in powers]
+def softmax_stages(names: list[str]) -> list[dict[str, Column]]:
+    """Projections to make before the softmax of the columns ``names``: maximum, shifted powers, norm.
 
+    Each is used by many later columns, so each is a projection of its own; written out in place they would be repeated
+    in every class, and the expression would grow with the cube of their number.
+    """
+    powers = [f"_power{k}" for k in range(len(names))]
+    return [
+        {"_top": largest([F.col(name) for name in names])},
+        {power: F.exp(F.col(name) - F.col("_top")) for power, name in zip(powers, names)},
+        {"_norm": total([F.col(power) for power in powers])},
+    ]
 
-def log_sum_exp(scores: list[Column]) -> Column:
-    top = largest(scores)
-    return top + F.log(total([F.exp(score - top) for score in scores]))
+
+def staged(df: DataFrame, stages: list[dict[str, Column]]) -> DataFrame:
+    """``df`` with the columns of each stage added, one projection after the other."""
+    return reduce(DataFrame.withColumns, stages, df)
+
+
+def softmax(classes: int) -> list[Column]:
+    """Softmax after :func:`softmax_stages`; shifted by the row maximum so it cannot overflow."""
+    return [F.col(f"_power{k}") / F.col("_norm") for k in range(classes)]
+
+
+def log_sum_exp() -> Column:
+    """Logarithm of the sum of powers, after :func:`softmax_stages`."""
+    return F.col("_top") + F.log("_norm")
 
 
 def pick(columns: list[Column], label: Column) -> Column:
-    """The column whose position equals ``label``."""
+    """The column whose position equals ``label``, a chain of one test per column."""
     choice = F.when(label == 0, columns[0])
     for position, column in enumerate(columns[1:], start=1):
         choice = choice.when(label == position, column)

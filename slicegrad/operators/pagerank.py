@@ -13,14 +13,25 @@ EDGES_PER_PARTITION = 2_000_000
 ROUNDS_PER_JOB = 2
 
 
-def weigh_edges(edges: DataFrame) -> DataFrame:
-    """``(src, dst, share)``: the share of a vertex's rank that flows along its edges to ``dst``.
+def count_pairs(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``pairs(src, dst, n)`` of the edges, ``degrees(src, degree, fan)`` and the number of pairs.
 
-    Parallel edges count separately in the out-degree and are folded into one row, so later rounds read
-    each pair once. Both sums are combined before they are shuffled.
+    Parallel edges count separately in ``degree`` and are folded into one pair, so later rounds read each pair once. Edges
+    are read once; both sums are combined before they are shuffled, so a hub is a few rows when its degree is summed.
     """
-    pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    degrees = pairs.groupBy("src").agg(F.sum("n").alias("degree"))
+    pairs = cut_lineage(edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    fan = F.count("*").alias("fan")
+    degrees = cut_lineage(pairs.groupBy("src").agg(F.sum("n").alias("degree"), fan))
+    return pairs, degrees, degrees.agg(F.sum("fan")).first()[0] or 0
+
+
+def weigh_edges(edges: DataFrame) -> DataFrame:
+    """``(src, dst, share)``: the share of a vertex's rank that flows along its edges to ``dst``."""
+    pairs, degrees, _ = count_pairs(edges)
+    return _shares(pairs, degrees)
+
+
+def _shares(pairs: DataFrame, degrees: DataFrame) -> DataFrame:
     return pairs.join(degrees, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("share"))
 
 
@@ -44,16 +55,15 @@ def pagerank(
     nothing. After every ``ROUNDS_PER_JOB`` rounds the state is cut into the checkpoint folder.
     """
     spark = edges.sparkSession
-    shares = cut_lineage(weigh_edges(edges))
-    n_edges = shares.count()
+    pairs, degrees, n_edges = count_pairs(edges)
     partitions = partitions or max(
         min(spark.sparkContext.defaultParallelism, n_edges // 20_000 + 1), n_edges // EDGES_PER_PARTITION + 1
     )
     with loop_settings(spark, partitions):
-        cold, hot = _split_hubs(shares, n_edges, partitions)
+        cold, hot = weigh_pairs(pairs, degrees, n_edges, partitions)
         # Read in every round: from memory, or from the checkpoint where a cached part was lost.
         edges_kept = [cold.persist()] + ([hot[0].persist()] if hot else [])
-        ids = shares.select(F.col("src").alias("id")).union(shares.select(F.col("dst").alias("id")))
+        ids = degrees.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id")))
         state = ids.distinct().select(
             "id", F.lit(float(reset)).alias("rank"), F.lit(float(reset)).alias("delta")
         )
@@ -76,23 +86,23 @@ def pagerank(
     return ranks.select("id", (F.col("rank") * total).alias("rank"))
 
 
-def _split_hubs(shares: DataFrame, n_edges: int, partitions: int):
-    """Separate the out-edges of hubs, which would overload the partition of their source.
+def weigh_pairs(pairs: DataFrame, degrees: DataFrame, n_pairs: int, partitions: int):
+    """Weighted pairs ``(src, dst, share)``: those of ordinary vertices by source, and ``(those of hubs, hubs)`` or None.
 
-    A hub holds more than ``1 / (4 * partitions)`` of all edges, so there are at most four per partition
-    and their changes are safe to broadcast. Hub edges are spread evenly instead of by source.
+    A hub holds more than ``1 / (4 * partitions)`` of all pairs and would overload the partition of its source; there are
+    at most four per partition, so their degrees and changes are safe to broadcast, and their pairs stay spread. Hubs are
+    known before the degrees are joined, and ordinary pairs keep the partitioning of that join in every round.
     """
-    if partitions == 1:
-        return cut_lineage(shares.repartition(1, "src")), None
     limit = HOT_PER_PARTITION * partitions
-    degrees = shares.groupBy("src").agg(F.count("*").alias("n"))
-    found = degrees.where(F.col("n") * limit > n_edges).select("src").take(limit)
+    found = degrees.where(F.col("fan") * limit > n_pairs).select("src", "degree").take(limit) if partitions > 1 else []
+    weights = degrees.select("src", "degree").repartition(partitions, "src")
     if not found:
-        return cut_lineage(shares.repartition(partitions, "src")), None
-    hubs = F.broadcast(shares.sparkSession.createDataFrame([(row[0],) for row in found], "src bigint"))
-    cold = cut_lineage(shares.join(hubs, "src", "left_anti").repartition(partitions, "src"))
-    hot = cut_lineage(shares.join(hubs, "src", "left_semi").repartition(partitions))
-    return cold, (hot, hubs)
+        return cut_lineage(_shares(pairs.repartition(partitions, "src"), weights)), None
+    hubs = F.broadcast(pairs.sparkSession.createDataFrame([tuple(row) for row in found], "src bigint, degree bigint"))
+    cold = pairs.join(hubs, "src", "left_anti").repartition(partitions, "src")
+    cold = cut_lineage(_shares(cold, weights))
+    hot = cut_lineage(_shares(pairs, hubs).repartition(partitions))
+    return cold, (hot, hubs.select("src"))
 
 
 def _round(state: DataFrame, cold: DataFrame, hot, tol: float, damping: float) -> DataFrame:
@@ -103,7 +113,7 @@ def _round(state: DataFrame, cold: DataFrame, hot, tol: float, damping: float) -
     )
     if hot is not None:
         hub_edges, hubs = hot
-        changes = F.broadcast(moving.join(hubs, "src", "left_semi"))
+        changes = F.broadcast(moving.join(F.broadcast(hubs), "src", "left_semi"))
         sent = sent.union(
             hub_edges.join(changes, "src").select(
                 F.col("dst").alias("id"), (F.col("delta") * F.col("share")).alias("part")

@@ -113,13 +113,14 @@ class Network:
             F.sum(F.when(F.col("i") == k, F.col("dot")).otherwise(0.0)).alias(name)
             for k, name in enumerate(outputs)
         ]
-        self.loss = S.log_sum_exp(scores) - S.pick(scores, label)
-        self.correct = F.when(S.pick(scores, label) >= S.largest(scores), 1.0).otherwise(0.0)
+        self.stages = S.softmax_stages(outputs)
+        self.loss = S.log_sum_exp() - S.pick(scores, label)
+        self.correct = F.when(S.pick(scores, label) >= F.col("_top"), 1.0).otherwise(0.0)
         self.metrics = [F.avg(self.loss).alias("loss"), F.avg(self.correct).alias("accuracy")]
 
         deltas = [
             (share - F.when(label == k, 1.0).otherwise(0.0)).alias(f"d{k}_out")
-            for k, share in enumerate(S.softmax(scores))
+            for k, share in enumerate(S.softmax(shape.classes))
         ]
         self._out_delta = ["slot", *deltas]
         own_delta = S.pick([F.col(f"d{k}_out") for k in range(shape.classes)], F.col("i"))
@@ -172,7 +173,7 @@ class Network:
     def step(self, batch: DataFrame, hidden: DataFrame, outputs: DataFrame, state: DataFrame) -> DataFrame:
         """Weights of both layers after one step; all gradients use the weights of before the step."""
         shape = self.shape
-        delta = bounded_broadcast(outputs.select(*self._out_delta), self.batch_size, shape.classes + 1)
+        delta = bounded_broadcast(S.staged(outputs, self.stages).select(*self._out_delta), self.batch_size, shape.classes + 1)
         back = hidden.join(delta, "slot").join(self._second_layer(state), "block").select(*self._backward)
         second = back.groupBy("i", "block").agg(*self._second_sums).select(*self._as_second)
         inner = back.groupBy("slot", "block").agg(*self._hidden_sums).select(*self._hidden_delta)
@@ -198,8 +199,8 @@ def mlp_forward(
         placement = st.plan_placement(shape.features, shape.hidden + 3 * shape.blocks, tasks, batch)
     network = Network(shape, placement, 1)
     out = network.outputs(network.hidden(batch, state), state)
-    shares = S.softmax([F.col(f"o{k}") for k in range(shape.classes)])
-    return out.select("slot", "label", *[share.alias(f"p{k}") for k, share in enumerate(shares)])
+    shares = S.softmax(shape.classes)
+    return S.staged(out, network.stages).select("slot", "label", *[share.alias(f"p{k}") for k, share in enumerate(shares)])
 
 
 def mlp_metrics(shares: DataFrame, classes: int) -> DataFrame:
@@ -228,9 +229,9 @@ class MlpModel:
         batch = points.select(F.col("row_id").alias("slot"), "label", "features")
         network = Network(self.shape, self.placement, 1)
         out = network.outputs(network.hidden(batch, self.state), self.state)
-        shares = S.softmax([F.col(f"o{k}") for k in range(self.shape.classes)])
+        shares = S.softmax(self.shape.classes)
         named = [share.alias(f"p{k}") for k, share in enumerate(shares)]
-        return out.select(F.col("slot").alias("row_id"), "label", *named)
+        return S.staged(out, network.stages).select(F.col("slot").alias("row_id"), "label", *named)
 
     def evaluate(self, points: DataFrame, n_rows: int, valid_ratio: float = 0.01, seed: int = 100_000) -> DataFrame:
         """Loss and accuracy over rows sampled with replacement."""
@@ -239,7 +240,7 @@ class MlpModel:
         network = Network(self.shape, self.placement, 1)
         batch = gather(points, slots, size, n_rows)
         out = network.outputs(network.hidden(batch, self.state), self.state)
-        return out.agg(*network.metrics)
+        return S.staged(out, network.stages).agg(*network.metrics)
 
 
 def train_mlp(
@@ -272,7 +273,7 @@ def train_mlp(
             activations = cut_lineage(network.hidden(batch, state))
             out = cut_lineage(network.outputs(activations, state))
             if history:
-                seen = out.agg(*network.metrics).first()
+                seen = S.staged(out, network.stages).agg(*network.metrics).first()
                 records.append((t, seen["loss"], None, seen["accuracy"]))
             state = cut_lineage(network.step(batch, activations, out, state))
     return MlpModel(shape, state, spark.createDataFrame(records, HISTORY_SCHEMA), placement, records)

@@ -43,6 +43,10 @@ class Objective:
         """Per statistic: the addend of one cell, over ``value`` and the weight columns."""
         raise NotImplementedError
 
+    def stages(self) -> list[dict[str, Column]]:
+        """Columns to add to the statistics, stage by stage, before losses, factors and scores are taken; none by default."""
+        return []
+
     def loss(self) -> Column:
         """Loss of one sample, over ``label`` and the statistics."""
         raise NotImplementedError
@@ -133,11 +137,14 @@ class Softmax(Objective):
     def terms(self):
         return {f"s{k}": F.col(f"w{k}") * F.col("value") for k in range(self.classes)}
 
+    def stages(self):
+        return S.softmax_stages(self.stats())
+
     def loss(self):
-        return S.log_sum_exp(self._scores()) - S.pick(self._scores(), F.col("label"))
+        return S.log_sum_exp() - S.pick(self._scores(), F.col("label"))
 
     def coefs(self):
-        shares = S.softmax(self._scores())
+        shares = S.softmax(self.classes)
         return {
             f"c{k}": share - F.when(F.col("label") == k, 1.0).otherwise(0.0)
             for k, share in enumerate(shares)
@@ -150,7 +157,7 @@ class Softmax(Objective):
         return {f"w{k}": F.col(f"g{k}") for k in range(self.classes)}
 
     def scores(self):
-        return {f"p{k}": share for k, share in enumerate(S.softmax(self._scores()))}
+        return {f"p{k}": share for k, share in enumerate(S.softmax(self.classes))}
 
 
 class Factorization(Objective):

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slicegrad.functions.scalars import staged
 from slicegrad.operators import statistics as st
 from slicegrad.operators.sampling import draw_slots
 from slicegrad.plans.batches import SLOTS_PER_TASK, BatchReader, Profile, SplitReader, gather, profile_points
@@ -72,6 +73,7 @@ class Plan:
         weights = objective.weights()
         self._weights = ["feature", *weights]
         self.stats_of = st.SampleStats(objective.terms(), placement)
+        self.stages = objective.stages()
         self.sums_of = st.FeatureSums(objective.coefs(), objective.sums(), placement, batch_size)
         self.mean_loss = F.avg(objective.loss())
         state = [*weights, *optimizer.state(weights)]
@@ -98,7 +100,11 @@ class Plan:
         return self.stats_of(batch, state.select(*self._weights))
 
     def loss(self, stats: DataFrame) -> float:
-        return stats.agg(self.mean_loss).first()[0]
+        return self.mean(stats).first()["loss"]
+
+    def mean(self, stats: DataFrame) -> DataFrame:
+        """One row ``(n, loss)``."""
+        return staged(stats, self.stages).agg(F.count("*").alias("n"), self.mean_loss.alias("loss"))
 
     def step(self, batch: DataFrame | st.SplitBatch, stats: DataFrame, state: DataFrame) -> DataFrame:
         """Weights after one step: shrink all features, move those the batch touches.
@@ -106,6 +112,7 @@ class Plan:
         The model is never shuffled. Sums of a split batch are in its partitions already, but for those of the hot
         features, of which there are no more than a broadcast takes.
         """
+        stats = staged(stats, self.stages)
         if isinstance(batch, st.SplitBatch):
             cold, hot = self.sums_of.split(batch, stats)
             met = state.join(cold.hint("shuffle_hash"), "feature", "left")
@@ -256,7 +263,7 @@ def evaluate(
         raise ValueError("a loss needs a share of the rows above zero")
     plan = Plan(model.objective, Sgd(), model.placement)
     stats = _sampled_stats(plan, model.state, points, n_rows, size, seed)
-    return stats.agg(F.count("*").alias("n"), plan.mean_loss.alias("loss"))
+    return plan.mean(stats)
 
 
 def score(model: Model, points: DataFrame) -> DataFrame:
@@ -267,7 +274,7 @@ def score(model: Model, points: DataFrame) -> DataFrame:
         placement = st.split_placement(points, 1 + len(model.objective.weights()), placement.partitions)
     stats = Plan(model.objective, Sgd(), placement).stats(batch, model.state)
     scores = [column.alias(name) for name, column in model.objective.scores().items()]
-    return stats.select(F.col("slot").alias("row_id"), "label", *scores)
+    return staged(stats, model.objective.stages()).select(F.col("slot").alias("row_id"), "label", *scores)
 
 
 def train_all(points: DataFrame, chain: str, **settings) -> dict[str, Model]:

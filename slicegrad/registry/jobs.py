@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicegrad.functions.hashing import gaussian
+from slicegrad.functions.scalars import staged
 from slicegrad.operators import columns as co
 from slicegrad.operators import sampling as sa
 from slicegrad.operators import statistics as st
@@ -218,7 +219,7 @@ def _stats_query(objective: Objective, multiclass: bool = False) -> Query:
 
 def _loss_query(objective: Objective, multiclass: bool = False) -> Query:
     def query(spark, sf):
-        stats = _fixed_stats(spark, sf, objective, multiclass)
+        stats = staged(_fixed_stats(spark, sf, objective, multiclass), objective.stages())
         return stats.agg(F.count("*").alias("n"), rounded(F.avg(objective.loss())).alias("loss"))
 
     return query

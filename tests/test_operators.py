@@ -22,7 +22,9 @@ def test_log1pexp(spark, x):
 
 def test_softmax_of_large_scores(spark):
     scores = [F.lit(800.0), F.lit(-800.0), F.lit(799.0)]
-    row = spark.range(1).select(*S.softmax(scores), S.log_sum_exp(scores), S.pick(scores, F.lit(2))).first()
+    names = ["s0", "s1", "s2"]
+    rows = S.staged(spark.range(1).select(*[s.alias(n) for s, n in zip(scores, names)]), S.softmax_stages(names))
+    row = rows.select(*S.softmax(3), S.log_sum_exp(), S.pick(scores, F.lit(2))).first()
     assert sum(row[:3]) == pytest.approx(1.0) and row[1] == 0.0
     assert row[3] == pytest.approx(800 + math.log1p(math.exp(-1))) and row[4] == 799.0
 

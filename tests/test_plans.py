@@ -1,15 +1,19 @@
 """Shape of the physical plans: what is read, what is shuffled, what is broadcast."""
 
+import math
 import re
+import time
 
 import pytest
 from conftest import make_points, random_rows
 from pyspark.sql import functions as F
 
+from slicegrad.functions import scalars as S
 from slicegrad.operators import statistics as st
+from slicegrad.operators.pagerank import count_pairs, weigh_pairs
 from slicegrad.plans import mlp
 from slicegrad.plans.batches import BatchReader, SplitReader
-from slicegrad.plans.objectives import Adam, Logistic, Sgd
+from slicegrad.plans.objectives import Adam, Logistic, Sgd, Softmax
 from slicegrad.plans.train import Plan, initial_state
 from slicegrad.session import BROADCAST_BYTES, cut_lineage, fits_broadcast, loop_settings
 
@@ -140,3 +144,28 @@ def test_no_python_in_the_loop(spark):
         stats = plan.stats(batch, state)
         text = executed(stats) + executed(plan.step(batch, cut_lineage(stats), state))
     assert "Python" not in text and "Pandas" not in text and "CartesianProduct" not in text
+
+
+def test_many_classes_plan_quickly(spark):
+    classes = 200
+    objective = Softmax(classes)
+    plan = Plan(objective, Sgd(), st.Placement(1), 50, 0.1, 0.0)
+    stats = spark.createDataFrame(
+        [(0, 3.0, *[0.5] * classes)], ", ".join(["slot int", "label double", *[f"{n} double" for n in objective.stats()]])
+    )
+    started = time.perf_counter()
+    factors = S.staged(stats, plan.stages).select("slot", *[c.alias(n) for n, c in objective.coefs().items()])
+    row = factors.first()
+    assert time.perf_counter() - started < 5
+    assert row.c3 == pytest.approx(1 / classes - 1) and row.c4 == pytest.approx(1 / classes)
+    assert plan.loss(stats) == pytest.approx(math.log(classes))
+
+
+def test_hubs_are_set_apart_before_the_degree_join(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1, 100)], "src long, dst long")
+    pairs, degrees, n_pairs = count_pairs(edges)
+    with loop_settings(spark, 4):
+        cold, (hot, hubs) = weigh_pairs(pairs, degrees, n_pairs, 4)
+        assert [r.src for r in hubs.collect()] == [0]
+        assert {r.src for r in hot.collect()} == {0} and cold.where("src = 0").isEmpty()
+        assert cold.rdd.getNumPartitions() == 4
