@@ -11,7 +11,7 @@ from __future__ import annotations
 from contextlib import closing
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicegrad.functions import scalars as S
@@ -23,11 +23,17 @@ from slicegrad.session import bounded_broadcast, cut_lineage, loop_settings
 
 #: Wider blocks make generated methods too long for the just-in-time compiler.
 MAX_BLOCK = 16
+#: Hidden activations of a batch that one task should hold.
+NUMBERS_PER_TASK = 10_000_000
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Layer sizes and the block width, the largest divisor of ``hidden`` that is at most 16."""
+    """Layer sizes and the block width: at most 16, with blocks of equal width.
+
+    Where they hold more neurons than ``hidden``, the last positions are padding: weights and activations of zero, which
+    stay zero and are no part of the long table.
+    """
 
     features: int
     hidden: int
@@ -35,11 +41,17 @@ class Shape:
 
     @property
     def width(self) -> int:
-        return max(w for w in range(1, min(MAX_BLOCK, self.hidden) + 1) if self.hidden % w == 0)
+        return -(-self.hidden // self.blocks)
 
     @property
     def blocks(self) -> int:
-        return self.hidden // self.width
+        return -(-self.hidden // MAX_BLOCK)
+
+    def real(self, position: int, value: Column) -> Column:
+        """``value`` at a position of a block, zero where that is padding."""
+        if (self.blocks - 1) * self.width + position < self.hidden:
+            return value
+        return F.when(F.col("block") * self.width + position < self.hidden, value).otherwise(F.lit(0.0))
 
     def names(self, prefix: str) -> list[str]:
         return [f"{prefix}{p}" for p in range(self.width)]
@@ -56,7 +68,8 @@ def mlp_init(spark: SparkSession, shape: Shape, seed: int = 42, partitions: int
         )
         neurons = [F.col("block") * shape.width + p for p in range(shape.width)]
         ends = [(F.col("i"), j) if number == 0 else (j, F.col("i")) for j in neurons]
-        weights = [gaussian(seed, number, *pair).alias(name) for pair, name in zip(ends, shape.names("w"))]
+        draws = [shape.real(p, gaussian(seed, number, *pair)) for p, pair in enumerate(ends)]
+        weights = [draw.alias(name) for draw, name in zip(draws, shape.names("w"))]
         return rows.select("layer", "i", "block", *weights)
 
     both = layer(0, shape.features).unionByName(layer(1, shape.classes))
@@ -71,7 +84,7 @@ def mlp_weights(state: DataFrame, shape: Shape) -> DataFrame:
             for p, name in enumerate(shape.names("w"))
         ]
     )
-    rows = state.select("layer", F.col("i").alias("unit"), F.inline(cells))
+    rows = state.select("layer", F.col("i").alias("unit"), F.inline(cells)).where(F.col("neuron") < shape.hidden)
     first = F.col("layer") == 0
     return rows.select(
         "layer",
@@ -104,7 +117,9 @@ class Network:
             F.coalesce(F.col(w[p]) * F.col("value"), F.lit(0.0)).alias(z[p]) for p in positions
         ]
         self._z = [F.max("label").alias("label")] + [F.sum(name).alias(name) for name in z]
-        self._h = ["slot", "label", "block"] + [S.sigmoid(F.col(z[p])).alias(h[p]) for p in positions]
+        self._h = ["slot", "label", "block"] + [
+            shape.real(p, S.sigmoid(F.col(z[p]))).alias(h[p]) for p in positions
+        ]
         self._first = ["i", "block", *w]
 
         dot = S.total([F.col(h[p]) * F.col(w[p]) for p in positions])
@@ -236,20 +251,24 @@ class MlpModel:
     def evaluate(self, points: DataFrame, n_rows: int, valid_ratio: float = 0.01, seed: int = 100_000) -> DataFrame:
         """Loss and accuracy over rows sampled with replacement."""
         size = max(1, int(valid_ratio * n_rows))
-        slots = draw_slots(points.sparkSession, n_rows, size, 1, seed)
-        network = Network(self.shape, self.placement, 1)
-        batch = gather(points, slots, size, n_rows)
-        out = network.outputs(network.hidden(batch, self.state), self.state)
-        return S.staged(out, network.stages).agg(*network.metrics)
+        return _sampled(Network(self.shape, self.placement, 1), self.state, points, n_rows, size, seed)
+
+
+def _sampled(network: Network, state: DataFrame, points: DataFrame, n_rows: int, size: int, seed: int) -> DataFrame:
+    """One row ``(loss, accuracy)`` over rows drawn with replacement."""
+    slots = draw_slots(points.sparkSession, n_rows, size, 1, seed)
+    out = network.outputs(network.hidden(gather(points, slots, size, n_rows), state), state)
+    return S.staged(out, network.stages).agg(*network.metrics)
 
 
 def train_mlp(
     points: DataFrame, *, step: float, batch_size: int, iterations: int, classes: int, hidden: int = 500,
     reg: float = 0.0, num_features: int | None = None, seed: int = 42, history: bool = True,
     profile: Profile | None = None, partitions: int | None = None, placement: st.Placement | None = None,
+    valid_ratio: float = 0.01, valid_every: int = 1000,
 ) -> MlpModel:
     """Train by mini-batch steps; see :func:`slicegrad.plans.train.train` for the shared settings."""
-    from slicegrad.plans.train import HISTORY_SCHEMA, model_partitions
+    from slicegrad.plans.train import EVALUATION_SEED, HISTORY_SCHEMA, model_partitions, sample_size
 
     spark = points.sparkSession
     profile = profile or profile_points(points, classes, num_features)
@@ -258,15 +277,20 @@ def train_mlp(
     if placement is None:
         placement = st.plan_placement(profile.num_features, hidden + 3 * shape.blocks, partitions, points)
     network = Network(shape, placement, batch_size, step, reg)
-    # Every cell meets all hidden neurons, so even a short batch is worth several tasks.
+    # Every cell meets all hidden neurons, so even a short batch is worth several tasks; a long one is cut by its size.
     cores = spark.sparkContext.defaultParallelism
-    tasks = max(partitions, min(cores, batch_size * hidden // 20_000 + 1))
+    by_size = batch_size * hidden // NUMBERS_PER_TASK + 1
+    tasks = max(partitions, min(cores, batch_size * hidden // 20_000 + 1), by_size)
+    valid_size = sample_size(valid_ratio, profile.n_rows)
     rows_per_file = max(1, -(-batch_size // tasks))
     reader = BatchReader(points, profile.n_rows, batch_size, iterations, seed, rows_per_file)
     records = []
     with closing(reader), loop_settings(spark, tasks):
         state = cut_lineage(mlp_init(spark, shape, seed, partitions))
         for t in range(iterations):
+            valid_loss = None
+            if history and t % valid_every == 0 and valid_size:
+                valid_loss = _sampled(network, state, points, profile.n_rows, valid_size, EVALUATION_SEED).first()["loss"]
             batch = reader.batch(t)
             # Written out rather than cached: both passes read them, and a plan that starts from plain
             # rows stays small enough for its compiled code to be reused in the next iteration.
@@ -274,7 +298,7 @@ def train_mlp(
             out = cut_lineage(network.outputs(activations, state))
             if history:
                 seen = S.staged(out, network.stages).agg(*network.metrics).first()
-                records.append((t, seen["loss"], None, seen["accuracy"]))
+                records.append((t, seen["loss"], valid_loss, seen["accuracy"]))
             state = cut_lineage(network.step(batch, activations, out, state))
     return MlpModel(shape, state, spark.createDataFrame(records, HISTORY_SCHEMA), placement, records)
 

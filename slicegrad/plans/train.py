@@ -152,12 +152,12 @@ def train(
     if isinstance(model, str) and model.lower() == "mlp":
         from slicegrad.plans.mlp import train_mlp
 
-        if optimizer is not None or (valid_ratio, valid_every) != (0.01, 1000):
-            raise ValueError("the perceptron has plain steps and no sampled loss: no optimizer, valid_ratio or valid_every")
+        if optimizer is not None:
+            raise ValueError("the perceptron has plain steps: no optimizer")
         return train_mlp(
             points, step=step, batch_size=batch_size, iterations=iterations, reg=reg,
             num_features=num_features, classes=k or 2, hidden=hidden, seed=seed, history=history,
-            profile=profile, partitions=partitions, placement=placement,
+            profile=profile, partitions=partitions, placement=placement, valid_ratio=valid_ratio, valid_every=valid_every,
         )
     run = Run(
         points, model, step=step, batch_size=batch_size, reg=reg, num_features=num_features, k=k, seed=seed,

@@ -432,6 +432,16 @@ def train_mlp(spark, sf):
     return model.weights().select("layer", "i", "j", rounded(F.col("w")).alias("w"))
 
 
+def history_mlp(spark, sf):
+    """Batch loss, sampled loss and accuracy of a perceptron's iterations."""
+    model = _fit(
+        ds.embedding_points(spark, sf), "mlp", ds.EMBEDDING_CLASSES, MLP_SHARE, num_features=ds.EMBEDDING_SIZE, reg=0.0,
+        iterations=MLP_ITERATIONS, hidden=MLP_HIDDEN, history=True, valid_every=1, valid_ratio=0.5,
+    )
+    seen = [rounded(F.col(c)).alias(c) for c in ("batch_loss", "valid_loss", "accuracy")]
+    return model.history.select("iter", *seen)
+
+
 # --------------------------------------------------------------------------------------------- graph
 
 
@@ -506,6 +516,7 @@ def all_queries() -> dict[str, Query]:
         "mlp_forward": mlp_forward,
         "mlp_metrics": mlp_metrics,
         "train_mlp": train_mlp,
+        "history_mlp": history_mlp,
         "evaluate": evaluate_model,
         "history": history,
         "score": score,

@@ -404,15 +404,17 @@ def mlp_unrolled(iterations: int = MLP_ITERATIONS, step: float = STEP) -> str:
     return "WITH " + ",\n".join(parts)
 
 
-def mlp_forward_ctes(t: int) -> list[str]:
+def mlp_forward_ctes(t: int, tag: str = "", rows: str | None = None) -> list[str]:
+    """Draw and forward pass with the weights of iteration ``t``; ``tag`` names a second set, over the drawn ``rows``."""
+    d, b, h, z, p = (f"{name}{tag}{t}" for name in "dbhzp")
     return [
-        slots(f"d{t}", t),
-        f"b{t} AS MATERIALIZED (SELECT slot, label, feature, x FROM d{t} JOIN cells USING (rid))",
-        f"h{t} AS MATERIALIZED (SELECT slot, label, j, 1 / (1 + exp(-sum(w * x))) AS a FROM b{t} "
+        f"{d} AS (SELECT * FROM {rows})" if rows else slots(d, t),
+        f"{b} AS MATERIALIZED (SELECT slot, label, feature, x FROM {d} JOIN cells USING (rid))",
+        f"{h} AS MATERIALIZED (SELECT slot, label, j, 1 / (1 + exp(-sum(w * x))) AS a FROM {b} "
         f"JOIN u{t} ON i = feature GROUP BY slot, label, j)",
-        f"z{t} AS MATERIALIZED (SELECT slot, label, v.j AS k, sum(a * w) AS z FROM h{t} h JOIN v{t} v ON v.i = h.j "
+        f"{z} AS MATERIALIZED (SELECT slot, label, v.j AS k, sum(a * w) AS z FROM {h} h JOIN v{t} v ON v.i = h.j "
         "GROUP BY slot, label, v.j)",
-        f"p{t} AS MATERIALIZED (SELECT slot, label, k, exp(z) / sum(exp(z)) OVER (PARTITION BY slot) AS p FROM z{t})",
+        f"{p} AS MATERIALIZED (SELECT slot, label, k, exp(z) / sum(exp(z)) OVER (PARTITION BY slot) AS p FROM {z})",
     ]
 
 
@@ -427,6 +429,21 @@ def mlp_all_rows() -> str:
     return "WITH " + ",\n".join(parts + [start] + mlp_forward_ctes(0)[2:])
 
 
+def history_mlp_sql() -> str:
+    """The sampled rows pass through the network before each iteration."""
+    valid, rows = [slots("drawn", 0, EVAL_SEED, "CAST(floor(n * 0.5::DOUBLE) AS BIGINT)")], []
+    own = "max(CASE WHEN k = label THEN p END)"
+    for t in range(MLP_ITERATIONS):
+        valid += mlp_forward_ctes(t, "v", "drawn")
+        loss = f"SELECT avg(-ln(own)) FROM (SELECT slot, {own} AS own FROM pv{t} GROUP BY slot)"
+        rows.append(
+            f"SELECT CAST({t} AS INTEGER) AS iter, {rounded('avg(-ln(own))')} AS batch_loss, {rounded(f'({loss})')} AS valid_loss, "
+            f"{rounded('avg(CASE WHEN own >= top THEN 1.0 ELSE 0.0 END)')} AS accuracy "
+            f"FROM (SELECT slot, {own} AS own, max(p) AS top FROM p{t} GROUP BY slot)"
+        )
+    return ",\n".join([mlp_unrolled(), *valid]) + "\n" + " UNION ALL ".join(rows)
+
+
 def mlp_weights_sql() -> str:
     t = MLP_ITERATIONS
     return (
@@ -517,6 +534,7 @@ def all_queries() -> dict[str, str]:
         f"{rounded('avg(CASE WHEN own >= top THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM "
         "(SELECT slot, max(CASE WHEN k = label THEN p END) AS own, max(p) AS top FROM p0 GROUP BY slot)",
         "train_mlp": mlp_weights_sql(),
+        "history_mlp": history_mlp_sql(),
         "evaluate": evaluate_sql(),
         "history": history_sql(),
         "score": score_sql(),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slicegrad.operators import statistics as st
 from slicegrad.plans.mlp import Shape, train_mlp
-from slicegrad.plans.objectives import Objective
+from slicegrad.plans.objectives import Adam, Objective
 from slicegrad.plans.train import evaluate, train, train_all
 from slicegrad.sources.libsvm import read_libsvm, write_libsvm
 
@@ -65,8 +65,9 @@ def test_numpy_gradient_is_the_slope_of_the_loss(kind, classes, width):
         assert slope == pytest.approx(grad[f, k], abs=1e-5)
 
 
+@pytest.mark.parametrize("hidden", [6, 17])
 @pytest.mark.parametrize("layout", ["small", "split"])
-def test_perceptron_equals_numpy(spark, layout):
+def test_perceptron_equals_numpy(spark, layout, hidden):
     rows = random_rows(classes=3, n=30)
     rows[4] = (1, {})
     points = make_points(spark, rows)
@@ -74,9 +75,9 @@ def test_perceptron_equals_numpy(spark, layout):
     if layout == "split":
         extra = {"placement": split(points, 6), "partitions": 3}
     model = train_mlp(
-        points, step=2.0, batch_size=15, iterations=2, classes=3, hidden=6, num_features=FEATURES, **extra
+        points, step=2.0, batch_size=15, iterations=2, classes=3, hidden=hidden, num_features=FEATURES, **extra
     )
-    w1, w2, seen = brute.train_mlp(rows, FEATURES, 6, 3, 15, 2, 2.0)
+    w1, w2, seen = brute.train_mlp(rows, FEATURES, hidden, 3, 15, 2, 2.0)
     got = {(r.layer, r.i, r.j): r.w for r in model.weights().collect()}
     for layer, w in ((0, w1), (1, w2)):
         for (i, j), value in np.ndenumerate(w):
@@ -223,7 +224,7 @@ def test_chain_from_text(spark, tmp_path):
 
 
 def test_block_width():
-    assert [Shape(1, h, 2).width for h in (4, 500, 7, 17, 64)] == [4, 10, 7, 1, 16]
+    assert [Shape(1, h, 2).width for h in (4, 500, 7, 17, 64)] == [4, 16, 7, 9, 16]
 
 
 def test_features_beyond_the_given_number_raise(spark):
@@ -236,4 +237,4 @@ def test_features_beyond_the_given_number_raise(spark):
 
 def test_the_perceptron_refuses_settings_it_lacks(spark):
     with pytest.raises(ValueError, match="no optimizer"):
-        train(make_points(spark, [(1, {0: 1.0})]), "mlp", step=0.1, batch_size=2, iterations=1, valid_every=1)
+        train(make_points(spark, [(1, {0: 1.0})]), "mlp", step=0.1, batch_size=2, iterations=1, optimizer=Adam())
