@@ -23,7 +23,8 @@ ITERATIONS = 20
 QUERIES = [
     "read_libsvm", "to_columns", "to_blocks", "criteo_features", "hash_features", "batch_dot", "batch_grad",
     "train_lr", "train_svm", "train_mlr", "train_fm", "train_adamlr", "train_adamsvm", "train_lr_clicks",
-    "train_lr_partitioned", "train_mlp", "evaluate", "score", "train_all", "pagerank",
+    "train_lr_partitioned", "train_fm_partitioned", "train_mlp", "evaluate", "score", "score_partitioned", "train_all",
+    "hash_present", "load_vectors", "resample", "pagerank",
     "baseline_svm", "baseline_lr", "baseline_mlr", "baseline_svm_sgd", "baseline_lr_sgd", "baseline_mlp",
 ]
 
