@@ -181,62 +181,67 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 # -- copies with more changes --------------------------------------------------------------------------------------
 
-#: Lanes of 64 bits in a print of words and in one of shingles, segments on the words' ring, greatest distances of copies.
-LANES = 4
-SHINGLE_LANES = 8
-WIDE_SEGMENTS = 16
-WORD_BITS = 32
-SHINGLE_BITS = 100
+#: Least hashes in the sketch of a set of shingles, and how they form bands. Sets that are ``ALIKE`` miss all bands with
+#: a chance of (1 - 0.8 ** 3) ** 21 = 3e-7.
+SKETCH = 64
+BANDS = 21
+BAND_ROWS = 3
+#: Share of equal bytes between sketches from which two sets may be alike; below it are under 7e-7 of the sets of 0.8.
+LIKELY = 0.5
 #: Buckets up to this size are compared by offsets, larger ones by a search that shrinks as it finds copies.
 SMALL_BUCKET = 32
 #: Rows of a bucket that one task compares; larger buckets are cut into blocks, and each two blocks meet in a task.
 BLOCK = 50_000
-SPREAD = np.random.default_rng(7).integers(1 << 62, 1 << 63, SHINGLE_LANES, dtype=np.uint64) | np.uint64(1)
+SPREAD = np.random.default_rng(7).integers(1 << 62, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
-def wide_print(features: list[bytes], lanes: int) -> np.ndarray:
-    """A print of so many lanes; each feature's hash is spread over them by multiplication."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct XXH64 hashes (seed 42) of a text's word shingles, ascending; a text of fewer words is one shingle."""
     import xxhash
 
-    counts = np.zeros(BITS * lanes, np.int64)
-    for k in range(0, len(features), PIECE):
-        h = np.array([xxhash.xxh64_intdigest(f, 42) for f in features[k : k + PIECE]], np.uint64)[:, None] * SPREAD[:lanes]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        counts += set_bits((h ^ (h >> np.uint64(32))).astype(">u8"))
-    return np.packbits(2 * counts > len(features)).view(">u8").astype(np.int64)
+    words = text.lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    line, hash_of = b" ".join(words), xxhash.xxh64_intdigest
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    ends = (starts + sizes)[min(shingle, len(words)) - 1 :].tolist() if n else []
+    return np.unique(np.array([hash_of(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends)], np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The least hash of a set under each of ``SKETCH`` hash functions; two sets agree in a place with chance Jaccard."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max)
+    for k in range(0, len(hashes), 2048):
+        h = hashes[k : k + 2048] * SPREAD[:, None]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, h.min(1), out=least)
+    return least
 
 
-def _wide_prints(shingle, batches):
+def _sketches(shingle, batches):
+    import xxhash
+
     for batch in batches:
-        rows = []
-        for text in batch.column("text"):
-            words = text.as_buffer().to_pybytes().lower().split()
-            shingles = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-            rows.append(np.concatenate([wide_print(list(set(words)), LANES), wide_print(list(shingles), SHINGLE_LANES)]))
-        lanes = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-        cells = pa.FixedSizeListArray.from_arrays(lanes, LANES + SHINGLE_LANES).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), cells], names=["key", "lanes"])
+        nodes, least = [], np.zeros((batch.num_rows, SKETCH), np.uint64)
+        for k, text in enumerate(batch.column("text")):
+            hashes = shingle_set(text.as_buffer().to_pybytes(), shingle)
+            nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
+            least[k] = sketch(hashes)
+        lanes = ((least >> np.uint64(16)) & np.uint64(255)).astype(np.uint8).view(np.int64)
+        parts = np.zeros((batch.num_rows, BANDS), np.uint64)
+        for k in range(BAND_ROWS):
+            parts = (parts ^ least[:, k : BANDS * BAND_ROWS : BAND_ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+            parts ^= parts >> np.uint64(32)
+        cells = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (lanes, parts)]
+        columns = [*(batch.column(c) for c in ("key", "k1", "k2")), pa.array(np.array(nodes, np.uint64).view(np.int64)), *cells]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "k1", "k2", "node", "lanes", "parts"])
 
 
 def near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Which rows are copies of one row (or of the row beside, for equal shapes); lanes of words, then of shingles.
-
-    The words' lanes form a ring: some start must keep all chains of lanes within their share of ``WORD_BITS``. Only
-    rows that pass are compared in full.
-    """
-    diff = np.bitwise_count(one[..., :LANES] ^ many[..., :LANES]).astype(np.int64)
-    passed = np.zeros(len(diff), bool)
-    for start in range(LANES):
-        chain, good = np.zeros(len(diff), np.int64), np.ones(len(diff), bool)
-        for length in range(1, LANES + 1):
-            chain = chain + diff[:, (start + length - 1) % LANES]
-            good &= chain * LANES <= length * WORD_BITS
-        passed |= good
-    at = np.flatnonzero(passed)
-    if len(at):
-        left = one[at] if one.ndim > 1 else one
-        passed[at] = np.bitwise_count(left[..., LANES:] ^ many[at][:, LANES:]).sum(1, dtype=np.int64) <= SHINGLE_BITS
-    return passed
+    """Which sketches may be of sets as alike as one (or as that of the row beside, for equal shapes)."""
+    equal = one.view(np.uint8) == many.view(np.uint8)
+    return np.count_nonzero(equal, axis=1) >= LIKELY * equal.shape[1]
 
 
 def bucket_links(buckets: np.ndarray, nodes: np.ndarray, lanes: np.ndarray) -> np.ndarray:
@@ -272,7 +277,7 @@ def _links(batches):
     held = None
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
-            lanes = batch.column("lanes").flatten().to_numpy().view(np.uint64).reshape(-1, LANES + SHINGLE_LANES)  # bits count unsigned
+            lanes = batch.column("lanes").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH // 8)
             rows = [np.stack([batch.column(c).to_numpy() for c in ("seg", "part", "pair")], 1), batch.column("node").to_numpy(), lanes]
             held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
             if not len(held[1]):
@@ -289,16 +294,13 @@ def _links(batches):
 
 
 def copy_links(classes: DataFrame) -> DataFrame:
-    """``a, b``: links that connect all copies among ``classes(node, lanes)`` which share a segment of the words' ring.
+    """``a, b``: links that connect all likely copies among ``classes(node, lanes, parts)`` which share a band.
 
-    A row goes to one bucket per segment. Within a bucket only links that join something new are kept, so a large group
+    A row goes to one bucket per band. Within a bucket only links that join something new are kept, so a large group
     of copies gives about one link per copy and bucket, not one per pair.
     """
     spark = classes.sparkSession
-    width = BITS * LANES // WIDE_SEGMENTS
-    per_lane = BITS // width
-    segment = lambda k: F.shiftrightunsigned(F.get("lanes", F.lit(k // per_lane)), width * (k % per_lane)).bitwiseAND(F.lit((1 << width) - 1))
-    rows = classes.select("node", "lanes", F.posexplode(F.array(*[segment(k) for k in range(WIDE_SEGMENTS)])).alias("seg", "part"))
+    rows = classes.select("node", "lanes", F.posexplode("parts").alias("seg", "part"))
     sizes, sizes_path = saved(rows.groupBy("seg", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK), "large-buckets")
     n_large = sizes.count()
     if n_large:
@@ -319,19 +321,20 @@ def copy_links(classes: DataFrame) -> DataFrame:
 
 
 def copy_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """``key, component_id``: groups of copies whose word shingles are at least about 0.8 alike.
+    """``key, component_id``: groups of copies whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
-    Such copies differ in some 15 % of the bits of a shingle print, too many for exact segments of 64 bits. Two prints of
-    more bits are used instead: one of the distinct words, which differs far less, for the segments and the ring, and one
-    of the shingles for the full check; its bound of a fifth of the bits takes in nearly all copies of 0.8 and some from 0.7 on. Segments of 16 bits miss a copy only if each of them has a changed bit.
+    Such copies differ in some 15 % of a SimHash's bits, too many for exact segments. Candidates come from least hashes
+    of the set, whose chance to agree is the similarity itself, whether words were exchanged, cut or added: texts that
+    share a band and half of their sketches are linked. They contain all copies, and less alike texts too.
     """
     slim = docs.select(F.col(f"`{key}`").alias("key"), text_of(text).alias("text"))
+    slim = slim.withColumn("k1", F.xxhash64("key", "text")).withColumn("k2", F.xxhash64(F.lit(1), "key", "text"))
     kind = slim.schema["key"].dataType.simpleString()
-    prints = slim.mapInArrow(lambda batches: _wide_prints(shingle, batches), f"key {kind}, lanes array<long>")
-    prints, _ = saved(prints.withColumn("node", F.xxhash64("lanes")), "prints")
-    classes = prints.groupBy("node").agg(F.min("key").alias("least"), F.any_value("lanes").alias("lanes"))
-    classes, classes_path = saved(classes, "classes")
-    groups, groups_path = saved(components(copy_links(classes.select("node", "lanes"))), "groups")
+    prints = slim.mapInArrow(lambda batches: _sketches(shingle, batches), f"key {kind}, k1 long, k2 long, node long, lanes array<long>, parts array<long>")
+    prints, _ = saved(prints, "sketches")
+    one = [F.min("key").alias("least"), F.min(F.struct("k1", "k2")).alias("row"), F.any_value("lanes").alias("lanes"), F.any_value("parts").alias("parts")]
+    classes, classes_path = saved(prints.groupBy("node").agg(*one), "classes")
+    groups, groups_path = saved(components(copy_links(classes.select("node", "lanes", "parts"))), "groups")
     rooted = classes.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels, _ = saved(rooted.join(ids, "root").select("node", "component_id"), "labels")

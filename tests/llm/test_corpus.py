@@ -338,6 +338,43 @@ def test_bucket_links_join_large_and_small_buckets():
     assert roots.tolist() == [0] * 20 + [20] * 20 + [40] * 20 + [60, 61, 61, 63]
 
 
+def shares(a, b, n=5):
+    a, b = ({tuple(x[i : i + n]) for i in range(len(x) - n + 1)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_copies_down_to_the_bound_are_found(spark):
+    """Cut, appended, inserted and exchanged words: pairs at or above 0.8 are grouped."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows, alike, n_close = [], {}, 0
+    for g in range(320):
+        n = rng.randrange(60, 300)
+        words, kind = [word() for _ in range(n)], g % 4
+        if g % 8 < 4:  # as near to 0.8 from above as the lengths allow, or a little more alike
+            parts = int(n * rng.uniform(0.05, 0.199))
+        else:
+            parts = int(n * rng.uniform(0.26, 0.4))
+        if kind == 0:
+            copy = words[: n - parts]
+        elif kind == 1:
+            copy = words + [word() for _ in range(parts)]
+        elif kind == 2:
+            at = rng.randrange(n)
+            copy = words[:at] + [word() for _ in range(parts)] + words[at:]
+        else:
+            copy = list(words)
+            for k in rng.sample(range(n), max(1, parts // 10)):
+                copy[k] = word()
+        alike[g] = shares(words, copy)
+        n_close += 0.8 <= alike[g] < 0.85
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+    kept = {r.doc_id for r in simhash_rings.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert n_close >= 20 and sum(x < 0.8 for x in alike.values()) >= 80
+    assert all(2 * g + 1 not in kept for g, x in alike.items() if x >= 0.8)
+    assert all(2 * g in kept for g in alike)
+
+
 # -- lines
 
 
