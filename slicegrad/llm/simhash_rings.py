@@ -188,10 +188,15 @@ BANDS = 21
 BAND_ROWS = 3
 #: Share of equal bytes between sketches from which two sets may be alike; below it are under 7e-7 of the sets of 0.8.
 LIKELY = 0.5
+#: Jaccard similarity of copies, as numerator and denominator.
+ALIKE = (4, 5)
 #: Buckets up to this size are compared by offsets, larger ones by a search that shrinks as it finds copies.
 SMALL_BUCKET = 32
 #: Rows of a bucket that one task compares; larger buckets are cut into blocks, and each two blocks meet in a task.
 BLOCK = 50_000
+#: The same for texts that are compared in full, with a bound for their bytes.
+TEXT_BLOCK = 200
+TEXT_BLOCK_BYTES = 4 << 20
 SPREAD = np.random.default_rng(7).integers(1 << 62, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
@@ -320,12 +325,108 @@ def copy_links(classes: DataFrame) -> DataFrame:
     return links
 
 
+def alike_links(nodes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Links that connect the sets whose Jaccard similarity is at least ``ALIKE``."""
+    found, sizes = [np.zeros((0, 2), np.int64)], np.array([len(s) for s in sets], np.int64)
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    mark = np.zeros(sum(map(len, sets)), np.uint8)
+    live = np.ones(len(sets), bool)  # not reached yet
+    rows = np.flatnonzero(sizes)  # empty sets are equal, and so one class already
+    for first in rows.tolist():
+        if not live[first]:
+            continue
+        live[first], queue = False, [first]
+        while queue:
+            row = queue.pop()
+            rows = rows[live[rows]]
+            fits = (ALIKE[0] * sizes[rows] <= ALIKE[1] * sizes[row]) & (ALIKE[0] * sizes[row] <= ALIKE[1] * sizes[rows])
+            others = rows[fits]
+            if not len(others):
+                continue
+            mark[codes[row]] = 1
+            starts = np.cumsum(sizes[others]) - sizes[others]
+            both = np.add.reduceat(mark[np.concatenate([codes[k] for k in others])], starts, dtype=np.int64)
+            mark[codes[row]] = 0
+            hit = others[ALIKE[1] * both >= ALIKE[0] * (sizes[row] + sizes[others] - both)]
+            live[hit] = False
+            found.append(np.stack([np.full(len(hit), nodes[row]), nodes[hit]], 1))
+            queue.extend(hit.tolist())
+    return np.concatenate(found)
+
+
+def _alike(shingle, batches):
+    """Rows arrive sorted by group and pair of blocks; a unit that a batch cuts waits for the rest."""
+    import itertools
+
+    unit, nodes, sets = None, [], []
+    for batch in itertools.chain(batches, [None]):
+        rows = zip(*(batch.column(c).to_pylist() for c in ("root", "pair", "node")), batch.column("text")) if batch is not None else [(None,) * 4]
+        for root, pair, node, text in rows:
+            if (root, pair) != unit and sets:
+                links = alike_links(np.array(nodes, np.int64), sets)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+                nodes, sets = [], []
+            if text is not None:
+                unit = (root, pair)
+                nodes.append(node), sets.append(shingle_set(text.as_buffer().to_pybytes(), shingle))
+
+
+def _beside(shingle, batches):
+    """Whether each text is a copy of the first of its group."""
+    last, first = None, None
+    for batch in batches:
+        close = []
+        for text, beside in zip(batch.column("text"), batch.column("first")):
+            beside = beside.as_buffer().to_pybytes()
+            if beside != last:
+                last, first = beside, shingle_set(beside, shingle)
+            own = shingle_set(text.as_buffer().to_pybytes(), shingle)
+            both = len(np.intersect1d(own, first, assume_unique=True))
+            close.append(ALIKE[1] * both >= ALIKE[0] * (len(own) + len(first) - both))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "node", "text")), pa.array(close, pa.bool_())], names=["root", "node", "text", "close"])
+
+
+def exact_links(members: DataFrame, shingle: int) -> DataFrame:
+    """``a, b``: links that connect all copies within each group of ``members(root, node, text)``; shingles are compared.
+
+    The text of node ``root`` is compared with all of its group first. Its copies are connected then, and only the rest
+    meets all others. If these are many or long, both are cut into blocks, and each two blocks of which one holds a
+    part of the rest meet in a task.
+    """
+    first = members.filter("node = root").select("root", F.col("text").alias("first"))
+    checked = members.join(first, "root").mapInArrow(lambda batches: _beside(shingle, batches), "root long, node long, text string, close boolean")
+    checked, checked_path = saved(checked, "beside")
+    known = checked.filter("close and node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+    blocks = lambda n, size: F.greatest(F.ceil(n / TEXT_BLOCK), F.ceil(size / TEXT_BLOCK_BYTES)).cast("int")
+    size, left = F.octet_length("text"), (~F.col("close")).cast("int")
+    totals = [F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"), F.sum(left).alias("n_left"), F.sum(left * size).alias("left_size")]
+    groups = checked.groupBy("root").agg(*totals).filter("n_left > 0")
+    whole = blocks(F.col("n"), F.col("size")) == 1
+    groups = groups.select(
+        "root", F.when(whole, 1).otherwise(blocks(F.col("n_left"), F.col("left_size"))).alias("rest"),
+        F.when(whole, 0).otherwise(blocks(F.col("n") - F.col("n_left"), F.col("size") - F.col("left_size"))).alias("more"),
+    )
+    groups, groups_path = saved(groups, "unsettled")
+    cut = checked.join(bounded_broadcast(groups, groups.count(), 3), "root")
+    late = F.col("close") & (F.col("more") > 0)
+    mine = F.when(late, F.col("rest") + F.pmod(F.xxhash64("node"), F.greatest("more", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest")))
+    other = F.explode(F.sequence(F.lit(0), F.when(late, F.col("rest")).otherwise(F.col("rest") + F.col("more")) - 1))
+    cut = cut.select("root", "node", "text", "rest", "more", mine.alias("mine"), other.alias("other"))
+    pair = F.least("mine", "other") * (F.col("rest") + F.col("more")) + F.greatest("mine", "other")
+    placed = cut.select("root", pair.alias("pair"), "node", "text").repartition("root", "pair").sortWithinPartitions("root", "pair")
+    links, _ = saved(placed.mapInArrow(lambda batches: _alike(shingle, batches), "a long, b long").dropDuplicates().union(known), "copies")
+    drop_saved(members.sparkSession, groups_path, checked_path)
+    return links
+
+
 def copy_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """``key, component_id``: groups of copies whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
     Such copies differ in some 15 % of a SimHash's bits, too many for exact segments. Candidates come from least hashes
     of the set, whose chance to agree is the similarity itself, whether words were exchanged, cut or added: texts that
-    share a band and half of their sketches are linked. They contain all copies, and less alike texts too.
+    share a band and half of their sketches are linked. Groups of such links contain all groups of copies; within them
+    the texts are compared by their shingles, and only pairs of 0.8 or more stay linked.
     """
     slim = docs.select(F.col(f"`{key}`").alias("key"), text_of(text).alias("text"))
     slim = slim.withColumn("k1", F.xxhash64("key", "text")).withColumn("k2", F.xxhash64(F.lit(1), "key", "text"))
@@ -334,11 +435,15 @@ def copy_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     prints, _ = saved(prints, "sketches")
     one = [F.min("key").alias("least"), F.min(F.struct("k1", "k2")).alias("row"), F.any_value("lanes").alias("lanes"), F.any_value("parts").alias("parts")]
     classes, classes_path = saved(prints.groupBy("node").agg(*one), "classes")
-    groups, groups_path = saved(components(copy_links(classes.select("node", "lanes", "parts"))), "groups")
+    likely, likely_path = saved(components(copy_links(classes.select("node", "lanes", "parts"))), "likely")
+    chosen = classes.join(likely, "node").select("root", "node", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"))
+    members = slim.select("k1", "k2", "text").join(chosen, ["k1", "k2"]).select("root", "node", "text").dropDuplicates(["node"])
+    members, members_path = saved(members, "members")
+    groups, groups_path = saved(components(exact_links(members, shingle)), "groups")
     rooted = classes.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels, _ = saved(rooted.join(ids, "root").select("node", "component_id"), "labels")
-    drop_saved(docs.sparkSession, classes_path, groups_path)
+    drop_saved(docs.sparkSession, classes_path, likely_path, members_path, groups_path)
     return prints.join(labels, "node").select("key", "component_id")
 
 

@@ -343,8 +343,8 @@ def shares(a, b, n=5):
     return len(a & b) / len(a | b)
 
 
-def test_copies_down_to_the_bound_are_found(spark):
-    """Cut, appended, inserted and exchanged words: pairs at or above 0.8 are grouped."""
+def test_copies_down_to_the_bound_are_found_and_no_others(spark):
+    """Cut, appended, inserted and exchanged words: pairs at or above 0.8 are grouped, pairs below are not."""
     rng = random.Random(21)
     word = lambda: f"w{rng.randrange(10**7)}"
     rows, alike, n_close = [], {}, 0
@@ -371,10 +371,24 @@ def test_copies_down_to_the_bound_are_found(spark):
         rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
     kept = {r.doc_id for r in simhash_rings.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert n_close >= 20 and sum(x < 0.8 for x in alike.values()) >= 80
-    assert all(2 * g + 1 not in kept for g, x in alike.items() if x >= 0.8)
+    assert {g: 2 * g + 1 not in kept for g in alike} == {g: x >= 0.8 for g, x in alike.items()}
     assert all(2 * g in kept for g in alike)
 
 
+def test_blocks_of_large_groups_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash_rings, "TEXT_BLOCK", 7)
+    words = [f"w{i}" for i in range(900)]
+    chain = [(i, " ".join(words[i * 10 : i * 10 + 300])) for i in range(60)]  # each 0.93 like the next, the ends not at all
+    groups = {r.key: r.component_id for r in simhash_rings.copy_groups(spark.createDataFrame(chain, "doc_id long, text string")).collect()}
+    assert groups == {i: 0 for i in range(60)}
+    near = [(i, " ".join([*words[:300], *words[300 + i : 300 + i + 5]])) for i in range(60)]  # one first text, many copies
+    far = [(100 + i, " ".join([*words[:300], *[f"x{i}y{k}" for k in range(90 + i % 2 * 150)]])) for i in range(20)]
+    got = {r.key: r.component_id for r in simhash_rings.copy_groups(spark.createDataFrame(near + far, "doc_id long, text string")).collect()}
+    texts = {i: t.split() for i, t in near + far}
+    assert {i: c for i, c in got.items() if i < 100} == {i: 0 for i in range(60)}
+    assert {i for i, c in got.items() if c == i} == {0} | {i for i, t in texts.items() if i >= 100 and all(shares(t, u) < 0.8 for j, u in texts.items() if i != j)}
+
+
 # -- lines
 
 
