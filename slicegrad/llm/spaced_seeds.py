@@ -1,14 +1,15 @@
 """Benchmark decontamination with spaced seeds: overlaps are found although some words were exchanged.
 
-A seed is a window of ``SPAN`` words of which a fixed mask looks at some positions and ignores the rest. All windows
+A seed is a window of up to ``SPAN`` words of which a fixed mask looks at some positions and ignores the rest. All windows
 of the benchmark and of the documents are hashed under each mask. A filter of the benchmark's hashes, of bounded size,
 travels to the documents, so that only documents with a likely hit go on; their hashes are joined with the
 benchmark's. A joined pair names a document, an item and the offset between them. On that diagonal all words are
 compared: the best stretch with one point for an equal word and two off for another is the overlap, and a pair counts
 if its stretch holds enough equal words. Nothing depends on the filter but the number of rows shuffled.
 
-Words are runs of other than ASCII white space, lower-cased and stripped of signs at both ends. Items shorter than a
-window are hashed whole, with all windows of that length; items below ``MIN_WORDS`` words never match.
+Words are runs of other than ASCII white space, lower-cased and stripped of signs at both ends. The masks are a cover:
+whichever words of a stretch are exchanged, if it counts then one of its windows has a seed. Items of five and six words
+have masks of their own; items below ``MIN_WORDS`` words never match.
 
 Defined results: null and empty texts match nothing; repeated rows give one result per id and item; a null id is kept
 as null; empty tables give an empty result; other columns are ignored; texts are read whole.
@@ -16,6 +17,7 @@ as null; empty tables give an empty result; other columns are ignored; texts are
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -26,8 +28,14 @@ from pyspark.sql import functions as F
 from slicegrad.llm.common import fresh, saved, text_of
 from slicegrad.session import bounded_broadcast
 
-#: Fixed masks; each looks at eight of twelve words, and any three exchanged words leave many windows untouched.
-MASKS = ("110110110110", "111010011011", "101111001101", "110011101011")
+#: Fixed masks, each of which looks at six words. Every stretch that ``overlap`` finds with enough equal words, in an item
+#: of any length from seven words, has a window in which all words one of them looks at are equal.
+MASKS = (
+    "11101011", "11100100011", "1101100101", "111001001001", "11011000101", "1101111", "11110011", "11101101", "1110111",
+    "111111", "1111101", "1111011",
+)
+#: The same for shorter items, by their number of words.
+SHORT_MASKS = {5: ("1111", "11101", "11011"), 6: ("11111", "111101", "111011", "110111")}
 SPAN = 12
 MIN_WORDS = 5
 #: Equal words that the best stretch must hold, and the share of the item that suffices for short items.
@@ -66,17 +74,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def seeds(words: np.ndarray, masks: tuple[str, ...], short: list[int]) -> list[tuple[int, np.ndarray]]:
-    """Hash arrays by seed number: one per mask, then one per short length (numbered from minus that length)."""
+def enough(n_words: int) -> int:
+    """Equal words with which a stretch counts in an item of so many words."""
+    return MIN_EQUAL if n_words >= SPAN + 4 else math.ceil(SHORT_SHARE * n_words)
+
+
+def seeds(words: np.ndarray, masks: tuple[str, ...]) -> list[tuple[str, np.ndarray]]:
+    """Hashes of all windows by mask."""
     out = []
-    for number, mask in [*enumerate(masks), *[(-n, "1" * n) for n in short]]:
+    for mask in masks:
         n = len(words) - len(mask) + 1
         if n > 0:
-            total = np.full(n, number & 0xFFFF, np.uint64)
+            total = np.full(n, int("1" + mask, 2), np.uint64)
             for place, looks in enumerate(mask):
                 if looks == "1":
                     total += words[place : place + n] * ODD[place]
-            out.append((number, mix(total)))
+            out.append((mask, mix(total)))
     return out
 
 
@@ -88,8 +101,7 @@ def item_seeds(batches, masks):
             words = hasher(text)
             if len(words) < MIN_WORDS:
                 continue
-            short = [len(words)] if len(words) < SPAN else []
-            for _, hashes in seeds(words, masks, short):
+            for _, hashes in seeds(words, SHORT_MASKS.get(len(words), masks)):
                 rows += [(key, h, p) for p, h in enumerate(hashes.view(np.int64).tolist())]
         columns = list(zip(*rows)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item_key", "hash", "item_at"])
@@ -128,7 +140,7 @@ def in_filter(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return live
 
 
-def _hits(flags, masks, short, batches):
+def _hits(flags, masks, batches):
     """Documents with likely hits; the words of a few hundred documents are hashed as one array."""
     hasher = WordHasher()
     for whole in batches:
@@ -139,9 +151,9 @@ def _hits(flags, masks, short, batches):
             line = np.concatenate(words)
             room = np.repeat(ends, [len(w) for w in words]) - np.arange(len(line))  # words from here to the document's end
             found, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for number, hashes in seeds(line, masks, short):
+            for mask, hashes in seeds(line, masks):
                 live = in_filter(flags, hashes)
-                live = live[room[live] >= (-number if number < 0 else SPAN)]
+                live = live[room[live] >= len(mask)]
                 found.append(hashes[live]), at.append(live)
             found, at = np.concatenate(found).view(np.int64), np.concatenate(at)
             owner = np.searchsorted(ends, at, side="right")
@@ -177,8 +189,7 @@ def _verify(batches):
         for k in range(batch.num_rows):
             doc, item = np.frombuffer(docs[k].as_buffer(), "<u8"), np.frombuffer(items[k].as_buffer(), "<u8")
             equal, start, length = overlap(doc, item, shifts[k].as_py())
-            enough = MIN_EQUAL if len(item) >= SPAN + 4 else int(np.ceil(SHORT_SHARE * len(item)))
-            rows.append((equal >= enough, equal, start, length))
+            rows.append((equal >= enough(len(item)), equal, start, length))
         good, equal, start, length = zip(*rows) if rows else ([], [], [], [])
         table = pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("item_id"), pa.array(equal, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64())],
@@ -206,15 +217,15 @@ def contaminated(
     item_table, _ = saved(items.mapInArrow(words_of, f"item_key long, item_id {kind}, item_words binary"), "items")
     seed_table, _ = saved(items.mapInArrow(lambda b: item_seeds(b, masks), "item_key long, hash long, item_at long"), "seeds")
     n_seeds, n_items = seed_table.count(), item_table.count()
-    lengths = item_table.select((F.octet_length("item_words") / 8).cast("int").alias("n")).filter(F.col("n").between(MIN_WORDS, SPAN - 1))
-    short = sorted(r.n for r in lengths.distinct().toLocalIterator())  # fewer than SPAN different lengths
+    lengths = item_table.select((F.octet_length("item_words") / 8).cast("int").alias("n")).filter(F.col("n").isin(*SHORT_MASKS))
+    used = (*masks, *[m for r in lengths.distinct().toLocalIterator() for m in SHORT_MASKS[r.n]])  # two lengths at most
     flags = spark.sparkContext.broadcast(build_filter(spark, seed_table, n_seeds))  # MAX_FILTER_BITS at most
 
     slim = docs.select(F.col(f"`{key}`").alias("doc_id"), text_of(text).alias("text"))
     slim = slim.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit(1), "doc_id", "text"))
     doc_kind = slim.schema["doc_id"].dataType.simpleString()
     likely = slim.mapInArrow(
-        lambda b: _hits(flags.value, masks, short, b),
+        lambda b: _hits(flags.value, used, b),
         f"doc_id {doc_kind}, k1 long, k2 long, words binary, hashes array<long>, places array<long>",
     )
     likely, _ = saved(likely, "likely")

@@ -280,6 +280,35 @@ def test_passages_with_exchanged_words(spark, odd, nothing):
     assert spaced_seeds.clean_documents(odd, bench).count() == len(ODD_ROWS) - 1
 
 
+@pytest.mark.parametrize("n", range(5, 22))
+def test_every_accepted_exchange_has_a_seed(n):
+    """All choices of exchanged words; of long items only those up to seven in number, and a part of them."""
+    import itertools
+
+    item, rng = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), random.Random(n)
+    masks = spaced_seeds.SHORT_MASKS.get(n, spaced_seeds.MASKS)
+    own, accepted = dict(spaced_seeds.seeds(item, masks)), 0
+    choices = [c for k in range(min(n, 8)) for c in itertools.combinations(range(n), k)] if n < 17 else [rng.sample(range(n), rng.randrange(1, 8)) for _ in range(8000)]
+    for out in choices:
+        doc = item.copy()
+        doc[list(out)] += np.uint64(1)
+        if spaced_seeds.overlap(doc, item, 0)[0] < (13 if n >= 16 else -(-n * 4 // 5)):
+            continue
+        accepted += 1
+        assert any((hashes == own[mask]).any() for mask, hashes in spaced_seeds.seeds(doc, masks)), out
+    assert accepted > 2
+
+
+def test_short_items_with_an_exchanged_word_are_found(spark):
+    rows = [(1, "x y one other three four five six seven z"), (2, "x one two three four other y"), (3, "one other three other five six seven")]
+    bench = spark.createDataFrame([(7, "one two three four five six seven"), (5, "one two three four five")], "item_id long, text string")
+    got = {tuple(r) for r in spaced_seeds.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).select("doc_id", "item_id", "n_equal").collect()}
+    assert got == {(2, 5, 4)}
+    rows = [(1, "x y one two three other five six seven z"), (2, "one two three four other six seven")]
+    got = {tuple(r) for r in spaced_seeds.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench.filter("item_id = 7")).select("doc_id", "n_equal").collect()}
+    assert got == {(1, 6)}  # the other's best stretch ends before its exchanged word
+
+
 # -- near copies
 
 
