@@ -30,11 +30,11 @@ STEP = 8.0
 TABLE = 48
 
 
-def source_rates(docs: DataFrame, *, source: str = "source", text: str = "text", alpha: float = 0.7, max_rate: float = 4.0, weights: dict | None = None) -> DataFrame:
+def source_rates(docs: DataFrame, *, source: str = "source", text: str = "text", alpha: float = 0.7, max_rate: float | None = None, weights: dict | None = None) -> DataFrame:
     """``src, size, rate``: repetition rates that keep the corpus's size and give source ``s`` its target weight.
 
-    Targets are ``weights`` (sources not named get none) or proportional to ``size ** alpha``. No document is repeated
-    more than ``max_rate`` times on average.
+    Targets are ``weights`` (sources not named get none) or proportional to ``size ** alpha``. A ``max_rate``
+    caps the rates; what it cuts off is missing from the source and from the corpus.
     """
     sizes = docs.groupBy(F.col(f"`{source}`").alias("src")).agg(F.sum(F.char_length(text_of(text))).alias("size"))
     if weights is None:
@@ -45,7 +45,9 @@ def source_rates(docs: DataFrame, *, source: str = "source", text: str = "text",
     sizes, _ = saved(sizes, "sizes")
     sized = sizes.withColumn("wanted", wanted)
     total = sized.agg(F.sum("size").cast("double").alias("total"), F.sum("wanted").alias("all_wanted"))
-    rate = F.least(F.lit(float(max_rate)), F.col("wanted") / F.col("all_wanted") * F.col("total") / F.col("size"))
+    rate = F.col("wanted") / F.col("all_wanted") * F.col("total") / F.col("size")
+    if max_rate is not None:
+        rate = F.least(F.lit(float(max_rate)), rate)
     both = sized.crossJoin(F.broadcast(total))  # one row of totals
     return both.select("src", "size", F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)).alias("rate"))
 

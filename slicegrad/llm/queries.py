@@ -42,9 +42,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus mixed to tempered source weights, in shuffled order."""
+    """The corpus mixed to tempered source weights, in shuffled order; rates end at four, as in the query's SQL."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    return mixing.mix(docs, mixing.source_rates(docs))
+    return mixing.mix(docs, mixing.source_rates(docs, max_rate=4.0))
 
 
 def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

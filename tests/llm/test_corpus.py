@@ -216,6 +216,17 @@ def test_mixing_rates_and_order(spark):
     assert abs(np.mean(counts) - 20) < 0.6 and abs(np.var(counts) - 20) < 3
 
 
+def test_mixing_keeps_targets_of_small_sources(spark):
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("0123456789").alias("text"), F.when(F.col("id") < 100, "a").otherwise("b").alias("source"))
+    rates = mixing.source_rates(docs, weights={"a": 1.0, "b": 1.0})
+    assert {r.src: round(r.rate, 6) for r in rates.collect()} == {"a": 50.0, "b": round(5000 / 9900, 6)}
+    n = {r.source: r.n for r in mixing.mix(docs, rates).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert abs(n["a"] - 5000) < 5 * 5000**0.5 and abs(n["b"] - 5000) < 5 * 5000**0.5
+    skewed = docs.filter("doc_id % 100 < 2 or doc_id >= 100").withColumn("text", F.when(F.col("source") == "a", "0").otherwise(F.repeat("text", 10)))
+    rates = {r.src: (r.size, r.rate) for r in mixing.source_rates(skewed).collect()}
+    assert rates["a"][1] > 4 and abs(sum(s * r for s, r in rates.values()) / sum(s for s, _ in rates.values()) - 1) < 1e-9
+
+
 def test_mixing_odd_rows(odd, nothing):
     assert mixing.mix(odd, mixing.source_rates(odd)).columns[:-2] == odd.columns
     assert mixing.mix(nothing, mixing.source_rates(nothing)).count() == 0
