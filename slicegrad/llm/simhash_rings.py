@@ -449,7 +449,7 @@ def copy_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """One document of each group of copies: the one of smallest id (ids before nulls), then of smallest text hash."""
-    (rank,) = fresh(docs, "sg_rank")
+    rank, one, two = fresh(docs, "sg_rank", "sg_k1", "sg_k2")
     own = [F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id")]
     hashes = [F.xxhash64(F.lit(seed), f"`{key}`", f"`{text}`").alias(f"k{seed}") for seed in (1, 2)]
     ranked = docs.withColumn(rank, F.struct(*own, *hashes))
@@ -457,7 +457,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingl
     firsts = groups.filter(F.col("key") == F.col("component_id")).groupBy("key.k1", "key.k2").agg(F.count(F.lit(1)).alias("n"))
     firsts, _ = saved(firsts, "firsts")
     k1, k2 = F.col(f"`{rank}`.k1"), F.col(f"`{rank}`.k2")
-    kept = ranked.withColumns({"sg_k1": k1, "sg_k2": k2}).join(firsts.selectExpr("k1 sg_k1", "k2 sg_k2"), ["sg_k1", "sg_k2"], "left_semi")
+    kept = ranked.withColumns({one: k1, two: k2}).join(firsts.select(F.col("k1").alias(one), F.col("k2").alias(two)), [one, two], "left_semi")
     if not firsts.filter("n > 1").isEmpty():  # equal rows, of which one stays
-        kept = kept.dropDuplicates(["sg_k1", "sg_k2"])
+        kept = kept.dropDuplicates([one, two])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ if its stretch holds enough equal words. Nothing depends on the filter but the n
 
 Words are runs of other than ASCII white space, lower-cased and stripped of signs at both ends. The masks are a cover:
 whichever words of a stretch are exchanged, if it counts then one of its windows has a seed. Items of five and six words
-have masks of their own; items below ``MIN_WORDS`` words never match.
+have masks of their own; an item below ``MIN_WORDS`` words is found as a whole only, in a document of the same words.
 
 Defined results: null and empty texts match nothing; repeated rows give one result per id and item; a null id is kept
 as null; empty tables give an empty result; other columns are ignored; texts are read whole.
@@ -37,6 +37,7 @@ MASKS = (
 #: The same for shorter items, by their number of words.
 SHORT_MASKS = {5: ("1111", "11101", "11011"), 6: ("11111", "111101", "111011", "110111")}
 SPAN = 12
+#: Items of fewer words are found as whole texts only: a document of the same words.
 MIN_WORDS = 5
 #: Equal words that the best stretch must hold, and the share of the item that suffices for short items.
 MIN_EQUAL = 13
@@ -93,15 +94,21 @@ def seeds(words: np.ndarray, masks: tuple[str, ...]) -> list[tuple[str, np.ndarr
     return out
 
 
+def whole_seed(words: np.ndarray) -> np.ndarray:
+    """Hash of a text shorter than ``MIN_WORDS``, apart from the hashes of windows."""
+    return mix(np.array([np.uint64(len(words)) + (words * ODD[: len(words)]).sum(dtype=np.uint64)]))
+
+
 def item_seeds(batches, masks):
     hasher = WordHasher()
     for batch in batches:
         rows = []
         for key, text in zip(batch.column("item_key").to_pylist(), batch.column("text").to_pylist()):
             words = hasher(text)
-            if len(words) < MIN_WORDS:
+            if not len(words):
                 continue
-            for _, hashes in seeds(words, SHORT_MASKS.get(len(words), masks)):
+            found = [hashes for _, hashes in seeds(words, SHORT_MASKS.get(len(words), masks))]
+            for hashes in found if len(words) >= MIN_WORDS else [whole_seed(words)]:
                 rows += [(key, h, p) for p, h in enumerate(hashes.view(np.int64).tolist())]
         columns = list(zip(*rows)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item_key", "hash", "item_at"])
@@ -155,6 +162,11 @@ def _hits(flags, masks, batches):
                 live = in_filter(flags, hashes)
                 live = live[room[live] >= len(mask)]
                 found.append(hashes[live]), at.append(live)
+            short = np.flatnonzero([0 < len(w) < MIN_WORDS for w in words])
+            if len(short):
+                hashes = np.concatenate([whole_seed(words[r]) for r in short])
+                live = in_filter(flags, hashes)
+                found.append(hashes[live]), at.append(ends[short[live]] - [len(words[r]) for r in short[live]])
             found, at = np.concatenate(found).view(np.int64), np.concatenate(at)
             owner = np.searchsorted(ends, at, side="right")
             order = np.argsort(owner, kind="stable")

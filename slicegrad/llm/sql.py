@@ -69,8 +69,8 @@ def mixing_sql() -> str:
     entries = f"range(0, {mixing.TABLE})"
     return f"""
       WITH sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source),
-      rates AS (SELECT source, least(4.0, pow(size::DOUBLE, 0.7) / (SELECT sum(pow(size::DOUBLE, 0.7)) FROM sizes)
-                  * (SELECT sum(size)::DOUBLE FROM sizes) / size) AS rate FROM sizes),
+      rates AS (SELECT source, pow(size::DOUBLE, 0.7) / (SELECT sum(pow(size::DOUBLE, 0.7)) FROM sizes)
+                  * (SELECT sum(size)::DOUBLE FROM sizes) / size AS rate FROM sizes),
       drawn AS (SELECT source, rate, greatest(1, ceil(rate / {mixing.STEP}))::INT AS parts FROM rates),
       steps AS (SELECT source, parts, k, exp(-rate / parts)
                   * list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(1, k + 1), lambda i: rate / parts / i)), lambda a, b: a * b) AS p

@@ -9,12 +9,11 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
-import brute  # noqa: E402
 import check  # noqa: E402
+import corpus_brute as brute  # noqa: E402
 
 from slicegrad.llm import (  # noqa: E402
     divergence_rules, line_runs, mixing, pu_quality, queries, revisits, secret_scan, simhash_rings, spaced_seeds, sql,
@@ -235,12 +234,38 @@ def test_mixing_odd_rows(odd, nothing):
 # -- classifier
 
 
-def test_prior_and_scores():
+def features_table(spark, rows):
+    return spark.createDataFrame([(r.tolist(),) for r in rows], "x array<double>").repartition(3).persist()
+
+
+def plain_risk(w, prior, xp, xu, ridge=1e-2):
+    loss = lambda z: np.logaddexp(0, -z).mean()
+    return prior * loss(xp @ w) + max(0.0, loss(-(xu @ w)) - prior * loss(-(xp @ w))) + ridge / 2 * w @ w
+
+
+@pytest.mark.parametrize("prior", [None, 0.99])
+def test_prior_scores_and_least_risk(spark, monkeypatch, prior):
+    """With a prior that is too high the bracket would be negative; the risk is least there too."""
     rng = np.random.default_rng(1)
     good, bad = rng.normal(0, 1, (3000, 8)), rng.normal(4, 1, (600, 8))
-    scorer = pu_quality.fit(good[:1000], np.vstack([good[1000:], bad]))
-    assert abs(scorer.prior - 2000 / 2600) < 0.07
-    assert (scorer(good) >= 0.3).mean() > 0.98 and (scorer(bad) < 0.3).mean() > 0.98
+    web = np.vstack([good[1000:], bad])
+    if prior:
+        monkeypatch.setattr(pu_quality, "estimate_prior", lambda p, u: prior)
+    scorer = pu_quality.fit(good[:1000], features_table(spark, web))
+    xp, xu = scorer.inputs(good[:1000]), scorer.inputs(web)
+    found = plain_risk(scorer.w, scorer.prior, xp, xu)
+    for size in (1e-3, 1e-2, 0.1):
+        assert all(plain_risk(scorer.w + rng.normal(0, size, len(scorer.w)), scorer.prior, xp, xu) > found - 1e-4 for _ in range(50))
+    if not prior:
+        assert abs(scorer.prior - 2000 / 2600) < 0.07
+        assert (scorer(good) >= 0.3).mean() > 0.98 and (scorer(bad) < 0.3).mean() > 0.98
+
+
+def test_prior_follows_all_unlabelled_rows(spark):
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(0, 1, (26_000, 8)), rng.normal(4, 1, (25_000, 8))
+    assert abs(pu_quality.fit(good[:1000], features_table(spark, good[1000:])).prior - 1) < 0.07
+    assert abs(pu_quality.fit(good[:1000], features_table(spark, np.vstack([good[1000:], bad]))).prior - 0.5) < 0.05
 
 
 def test_scores_of_odd_rows(spark, odd, nothing):
@@ -485,3 +510,17 @@ def test_one_url_over_many_ranges(spark):
     captures = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, headers map<string,string>, digest string")
     got = revisits.resolve(captures, ranges=13).collect()
     assert len(got) == 1960 and all(r.response_id == r.record_id // 50 * 50 and r.outcome == "resolved" for r in got)
+
+
+def test_keep_one_carries_columns_of_its_own_helper_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 7, 8, 9), (2, text, 7, 8, 9), (3, text + " x", 5, 5, 5), (4, "another text of its own", 6, 6, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sg_k1 long, SG_K2 long, sg_rank long")
+    assert sorted(rows_of(simhash_rings.keep_one(docs))) == [rows[0], rows[3]]
+
+
+def test_short_items_are_found_as_whole_texts(spark):
+    items = spark.createDataFrame([(1, "Two words"), (2, "one two three four"), (3, ""), (4, "alone")], "item_id long, text string")
+    rows = [(1, " two WORDS. "), (2, "two words more"), (3, "one two three four five"), (4, "one two three four"), (5, "Alone!"), (6, ""), (7, None), (8, "words two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in spaced_seeds.contaminated(docs, items).collect()} == {(1, 1), (4, 2), (5, 4)}
