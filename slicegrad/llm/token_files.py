@@ -2,9 +2,10 @@
 
 A corpus is encoded in four steps:
 
-1. every text is tokenised once and its ids are kept in a scratch table;
-2. the ids are counted per task and summed over all tasks, so at most one row per vocabulary entry reaches the
-   driver, which builds code lengths by package-merge and from them the canonical code;
+1. every text is tokenised once and its ids are kept in a scratch table, at the end of each task with one row of the
+   task's counts;
+2. the tasks' counts are summed, so at most one row per vocabulary entry reaches the driver, which builds code lengths
+   by package-merge and from them the canonical code;
 3. each document's ids become a byte-aligned bit string; bit strings are range-partitioned by the wanted order, and
    runs of documents are packed into blocks;
 4. readers decode blocks independently of each other.
@@ -44,8 +45,10 @@ CHECKPOINT = 256
 BLOCK_IDS = 1 << 20
 #: Ids that one range partition should hold.
 PARTITION_IDS = 64 << 20
+#: Bytes of text that are tokenised as one array; a longer text makes one by itself.
+SLICE_BYTES = 4 << 20
 #: Remembered pieces of words per worker; beyond, the memory starts anew.
-MEMORY = 150_000
+MEMORY = 250_000
 #: Letters and number signs below U+0250, as the tokenizer's pattern sees them.
 LETTERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "L")
 NUMBERS = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
@@ -180,13 +183,30 @@ def _tokenize(path: str, end_id: int, schema: pa.Schema, batches: Iterator[pa.Re
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     encoder = process_memory().get(path) or WordEncoder(path)
     process_memory()[path] = encoder  # a worker process remembers its words from task to task
+    total = np.zeros(0, np.int64)
     for batch in batches:
-        for k in range(0, batch.num_rows, 1024):
-            part = batch.slice(k, 1024)
+        for part in slices(batch):
             ids, sizes = encoder(part.column(part.num_columns - 1), end_id)
+            got = np.bincount(ids, minlength=len(total))
+            got[: len(total)] += total
+            total = got
             columns = [part.column(i) for i in range(part.num_columns - 1)]
             columns += [pa.array(sizes, pa.int64()), binary_slices(ids.astype("<u4", copy=False), sizes)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
+    met = np.flatnonzero(total)
+    counts = np.stack([met, total[met]], 1).astype("<i8").tobytes()
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in schema)][:-1] + [pa.array([counts], pa.binary())], schema=schema)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``SLICE_BYTES`` of text each, which is its last column."""
+    ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy().astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
 
 
 def binary_slices(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -196,7 +216,10 @@ def binary_slices(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def tokenized(docs: DataFrame, keys: list[str], text: str, path: str, end_id: int) -> DataFrame:
-    """``keys``, ``n_ids`` and ``ids`` (little-endian 32-bit integers) of each document, the end id included."""
+    """``keys``, ``n_ids`` and ``ids`` (little-endian 32-bit integers) of each document, the end id included.
+
+    A row without ``n_ids`` holds a task's counts instead, as pairs of an id and its count.
+    """
     slim = docs.select(*[F.col(f"`{k}`") for k in keys], text_of(text).alias("text"))
     out = T.StructType([*slim.schema.fields[:-1], T.StructField("n_ids", T.LongType()), T.StructField("ids", T.BinaryType())])
     return slim.mapInArrow(partial(_tokenize, path, end_id, _arrow(out)), out)
@@ -212,20 +235,16 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def count_ids(tokens: DataFrame) -> DataFrame:
-    """``id, n``: how often each id occurs; summed per task before the shuffle."""
+    """``id, n``: how often each id occurs, from the counts of the tasks that made ``tokens``."""
 
-    def count(batches):
-        total = np.zeros(0, np.int64)
+    def pairs(batches):
         for batch in batches:
             for cell in batch.column(0):
-                got = np.bincount(np.frombuffer(cell.as_buffer(), "<u4"))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], names=["id", "n"])
+                found = np.frombuffer(cell.as_buffer(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.filter("n_ids is null").select("ids")
+    return counts.mapInArrow(pairs, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -348,11 +367,11 @@ class Codebook:
         return out
 
 
-def build_codebook(counts: DataFrame, max_bits: int = MAX_BITS) -> Codebook:
-    """The code for these global counts; the table has one row per vocabulary entry at most."""
-    rows = counts.orderBy("id").toArrow()
+def build_codebook(counts: DataFrame, max_bits: int = MAX_BITS) -> tuple[Codebook, int]:
+    """The code for these global counts, and their sum; the table has one row per vocabulary entry at most."""
+    rows = counts.toArrow().sort_by("id")
     symbols, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
-    return Codebook(symbols, code_lengths(n, max_bits))
+    return Codebook(symbols, code_lengths(n, max_bits)), int(n.sum())
 
 
 # -- files ---------------------------------------------------------------------------------------------------------
@@ -404,8 +423,8 @@ def write_token_files(
     order = order_by or [key]
     carried = list(dict.fromkeys([key, *order]))
     tokens, tokens_path = saved(tokenized(docs, carried, text, tokenizer, end_id), "ids", compression="zstd")
-    book = build_codebook(count_ids(tokens), max_bits)
-    total = tokens.agg(F.sum("n_ids")).first()[0] or 0
+    book, total = build_codebook(count_ids(tokens), max_bits)
+    tokens = tokens.filter("n_ids is not null")
     symbols = [(int(s), int(b)) for s, b in zip(book.symbols, book.lengths)]
     spark.createDataFrame(symbols, "id long, bits long").coalesce(1).write.parquet(f"{path}/codebook")
 
