@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicegrad.llm import divergence_rules, line_runs, mixing, pu_quality, revisits, secret_scan, simhash_rings, spaced_seeds, token_counts, token_files
+from slicegrad.llm import chat_windows, divergence_rules, line_runs, merkle, mixing, phrase_graph, pu_quality, revisits, secret_scan, simhash_rings, spaced_seeds, token_counts, token_files
+from slicegrad.session import scratch_path
 
 TOKEN_LIMIT = 4096
 
@@ -93,9 +94,38 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "url_key", "response_id", "outcome", F.array_join(written, "\n").alias("headers"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of the documents, and what the proofs give for rows of which every seventh was tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    forged = merkle.leaf_digest(*[F.col(f) + 1 if f == "n_chars" else F.col(f) for f in fields])
+    rows, levels = merkle.manifest(docs, fields, key="doc_id", group="lang", carried={"forged": F.when(chosen, forged)})
+    places = [(F.col("i"), F.col("n")), (F.col("g"), F.col("groups"))]
+    folded = merkle.fold(F.coalesce("forged", "leaf"), F.col("proof"), places, levels)
+    found = rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, and one that holds marks of the template, in budgeted windows, described as read back from them."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = r"\### Assistant: </turn> ok"
+    marks = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    path = scratch_path(spark, "chat-windows")
+    chat_windows.write_windows(turns.unionByName(marks), path, tokenizer("byte_bpe_50k.tiktoken"))
+    return chat_windows.digests(spark, path)
+
+
+def op13_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
+    return phrase_graph.phrases_of(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_token_files, op2_secret_scan, op3_poisson_mixing, op4_pu_quality, op5_divergence_rules, op6_spaced_seeds,
-        op7_simhash_rings, op8_token_counts, op9_line_runs, op10_revisits,
+        op7_simhash_rings, op8_token_counts, op9_line_runs, op10_revisits, op11_merkle_manifest,
+        op12_chat_windows, op13_phrase_graph,
     )
     return {query.__name__: query for query in named}

@@ -1,12 +1,14 @@
 """The queries of this folder that SQL can express, as DuckDB SQL.
 
-Not here: op1 and op8 (tokenizer libraries), op4 (a fitted model), op6 (alignment of words on diagonals) and op7 (XXH64).
+Not here: op1, op8 and op12 (tokenizer libraries), op4 (a fitted model), op6 (alignment of words on diagonals) and op7
+(XXH64).
 """
 
 from __future__ import annotations
 
 from slicegrad.llm import divergence_rules as rules
 from slicegrad.llm import mixing
+from slicegrad.llm import phrase_graph
 from slicegrad.llm import revisits
 from slicegrad.llm import secret_scan as secrets
 
@@ -177,6 +179,72 @@ def revisits_sql() -> str:
       FROM merged"""
 
 
+def merkle_sql() -> str:
+    field = lambda x: f"coalesce(strlen(({x})::VARCHAR) || ':' || ({x})::VARCHAR, '-')"
+    leaf = lambda size: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", size, "text"))) + ")"
+    digits = "list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])"
+    shift = "lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))"  # one bit of a CRC-32
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, flatten({digits})), {shift}), 4294967295::BIGINT)"
+    above = "list_transform(range(0, len(nodes), 2), lambda k: sha256(nodes[k + 1] || coalesce(nodes[k + 2], '')))"
+    step = lambda level, at: f"(({at} >> {level}) & 1)::VARCHAR || coalesce(nodes[xor({at} >> {level}, 1) + 1], '')"
+    return f"""
+      WITH RECURSIVE leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM (
+          SELECT doc_id, lang, {leaf('n_chars')} AS leaf, CASE WHEN {crc} % 7 = 0 THEN {leaf('n_chars + 1')} ELSE {leaf('n_chars')} END AS shown
+          FROM documents)),
+      tree(lang, level, nodes) AS (
+        SELECT lang, 0, list(leaf ORDER BY i) FROM leaves GROUP BY lang
+        UNION ALL SELECT lang, level + 1, {above} FROM tree WHERE len(nodes) > 1),
+      subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM tree WHERE len(nodes) = 1),
+      crown(level, nodes) AS (
+        SELECT 0, list(subroot ORDER BY g) FROM subroots
+        UNION ALL SELECT level + 1, {above} FROM crown WHERE len(nodes) > 1),
+      steps AS (
+        SELECT lang, i, list(step ORDER BY height) AS steps FROM (
+          SELECT l.lang, i, level AS height, {step('level', 'i')} AS step
+          FROM leaves l JOIN tree t ON t.lang IS NOT DISTINCT FROM l.lang AND len(nodes) > 1
+          UNION ALL SELECT l.lang, i, 1000 + level, {step('level', 'g')}
+          FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN crown ON len(nodes) > 1)
+        GROUP BY lang, i),
+      folded AS (
+        SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM crown WHERE len(nodes) = 1) AS root,
+               sha256(list_aggregate(list_transform(coalesce(steps, ['0']), lambda s: substr(s, 2)), 'string_agg', '')) AS proof_sha256,
+               list_reduce(list_prepend(shown, coalesce(steps, [])), lambda h, s:
+                 CASE WHEN s[1] = '0' THEN sha256(h || substr(s, 2)) ELSE sha256(substr(s, 2) || h) END) AS folded_root
+        FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+        LEFT JOIN steps p ON p.lang IS NOT DISTINCT FROM l.lang AND p.i = l.i)
+      SELECT *, folded_root = root AS verified FROM folded"""
+
+
+def phrases_sql() -> str:
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    first = lambda k: f"array_to_string(string_split(phrase, ' ')[1:{k}], ' ')"
+    last = lambda k: f"array_to_string(string_split(phrase, ' ')[{k}:], ' ')"
+    longest = phrase_graph.MAX_WORDS
+    sides = " UNION ALL ".join(f"SELECT lang, m - 1 AS m, {side} AS phrase, f FROM candidates WHERE m > 2" for side in (first("m - 1"), last("2")))
+    return f"""
+      WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+      words AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+      phrases AS (
+        SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+        FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest(range(1, {longest + 1})) AS m)) GROUP BY ALL),
+      candidates AS (SELECT * FROM phrases WHERE m > 1 AND f >= {phrase_graph.MIN_COUNT}),
+      covers AS ({sides}),
+      free AS (SELECT * FROM candidates c WHERE NOT EXISTS (
+        SELECT 1 FROM covers v WHERE v.lang = c.lang AND v.phrase = c.phrase AND 100 * v.f >= {phrase_graph.COVERED} * c.f)),
+      cuts AS (SELECT lang, phrase, f AS a, k, {first('k')} AS head, {last('k + 1')} AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM free)),
+      scored AS (
+        SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score, k FROM cuts c
+        JOIN phrases x ON x.lang = c.lang AND x.phrase = head JOIN phrases y ON y.lang = c.lang AND y.phrase = rest),
+      weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest WHERE place = 1)
+      SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+      FROM ranked JOIN (SELECT lang, sum(f) AS n FROM phrases WHERE m = 1 GROUP BY lang) USING (lang) WHERE rank <= {phrase_graph.TOP}"""
+
+
 def all_queries() -> dict[str, str]:
     return {
         "op2_secret_scan": secret_scan_sql(),
@@ -184,4 +252,6 @@ def all_queries() -> dict[str, str]:
         "op5_divergence_rules": divergence_sql(),
         "op9_line_runs": line_runs_sql(),
         "op10_revisits": revisits_sql(),
+        "op11_merkle_manifest": merkle_sql(),
+        "op13_phrase_graph": phrases_sql(),
     }

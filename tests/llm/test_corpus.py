@@ -67,7 +67,7 @@ def test_sql(spark, sf_dir, name):
 
 
 def test_every_query_is_registered():
-    assert {n.split("_")[0] for n in queries.all_queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.all_queries()} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.all_queries()) | {"pipeline"} <= set(entry.queries())
 
 
