@@ -2,21 +2,21 @@
 
 Only the longest phrases are counted in the texts. The words of a piece from each position on, at most ``max_words`` of
 them, make an edge from the node of its first ``max_words - 1`` words to that of its last; near the end of a piece they are
-fewer, and the edge is a correction that ends at its node. Edges are counted per slice of text, shuffled once by node and
-summed. A shorter phrase then needs no count of its own: its number is the flow out of its node, that is the sum of all
-edges and end corrections that begin with it.
-
-Frequent edges form the graph. Chains of nodes with one edge in and one edge out are compacted into paths of words, by
-joining, in rounds, the paths that meet at such a node; a coin per node and round decides which side joins, so every
-round settles a share of the nodes, and a path stops at ``PATH_EDGES``. Candidates of the longest kind, and the best
+fewer, and the edge is a correction that ends at its node. Edges are counted per slice of text and shuffled once, by a hash
+of their node: a slice sends each part of the graph one row of sorted lines, which compress well since neighbours share
+their words. A part is summed by itself. A shorter phrase then needs no count of its own: its number is the flow out of
+its node, that is the sum of all edges and end corrections that begin with it.
+
+Frequent edges form the graph. Chains of nodes with one edge in and one edge out are compacted into paths of words: every
+edge points to the edge before it, and pointers are doubled, so after a few rounds each edge knows its chain's first edge
+and its place there. A path stops at ``PATH_EDGES``; the edges of a ring, which has no first one, stay single. Candidates of the longest kind, and the best
 longer phrase around each node, are read from the paths.
 
 A phrase is scored by its weakest cut, ``1e6 * a * a / (l * r)`` in exact decimals of 38 digits, which hold for counts up
 to 10**15.
 
-Edges are partitioned by their node. A node that very many different edges share would fill one task, so nodes which hold
-more than a quarter of a task's share of the edges of a sample are spread by their last word; the sample decides about
-places only. Scores are ranked within hashed parts of a language first, and only each part's best meet.
+A node that very many different edges share would overfill its part, so nodes which hold more than a quarter of a part's
+share of the edges of a sample are spread by the edges' last words; the sample decides about places only. Scores are ranked within hashed parts of a language first, and only each part's best meet.
 
 Defined results: null texts have no words; a null language is ``und``; repeated rows and ties count one by one; phrases
 of equal score and count are ordered by their bytes; an empty table gives no phrases; other columns are ignored; texts
@@ -41,10 +41,10 @@ MAX_WORDS, MIN_COUNT, TOP = 3, 10, 2000
 COVERED = 50
 #: Bytes of text counted as one array.
 SLICE_BYTES = 4 << 20
-#: Bytes of text whose edges one task should sum.
-BYTES_PER_TASK = 32 << 20
-#: Texts of the sample that finds crowded nodes, and the parts of such a node.
-SAMPLE_TEXTS, NODE_PARTS = 4000, 64
+#: Bytes of text whose edges are summed as one part.
+PART_BYTES = 12 << 20
+#: Texts of the sample that finds crowded nodes, the fewest edges there of such a node, and how many are told apart.
+SAMPLE_TEXTS, CROWD, MOST_CROWDED = 4000, 100, 50_000
 #: Edges of a path, and parts in which a language is ranked.
 PATH_EDGES, RANK_PARTS = 4096, 256
 
@@ -80,38 +80,151 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, np.searchsorted(offsets, starts, side="right") - 1, piece
 
 
-def counted_edges(langs: pa.Array, texts: pa.Array, k: int) -> pa.RecordBatch:
-    """``lang, words, m, n``: the edges of some texts, summed."""
-    words, text, piece = words_of(texts)
-    names = langs.dictionary_encode()
-    coded = words.dictionary_encode()
-    codes = coded.indices.to_numpy().astype(np.int64) + 1
-    room, lang = len(coded.dictionary) + 1, names.indices.to_numpy()[text].astype(np.int64)
-    key, size, columns = lang, max(1, len(names.dictionary)), []
-    for j in range(k):
-        code = np.zeros(len(codes), np.int64)
-        code[: len(codes) - j] = np.where(piece[j:] == piece[: len(piece) - j], codes[j:], 0)
-        columns.append(code)
-        if size * room >= 2**62:
-            met, key = np.unique(key, return_inverse=True)
-            size = len(met)
-        key, size = key * room + code, size * room
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    indices = [pa.array(c[first] - 1, pa.int32(), mask=c[first] == 0) for c in columns]
-    joined = pc.binary_join_element_wise(*[coded.dictionary.take(i) for i in indices], " ", null_handling="skip")
-    m = sum((c[first] > 0).astype(np.int32) for c in columns)
-    return pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(lang[first])), joined, pa.array(m), pa.array(n)], names=["lang", "words", "m", "n"])
-
-
-def _edges(k: int, batches):
+class Edges:
+    """The edges of some texts, summed, in order of language and words."""
+
+    def __init__(self, langs: pa.Array, texts: pa.Array, k: int):
+        words, text, piece = words_of(texts)
+        names, coded = langs.dictionary_encode(), words.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        self.names, self.words = names.dictionary, coded.dictionary.take(pa.array(order))
+        codes, lang = rank[coded.indices.to_numpy()], names.indices.to_numpy()[text].astype(np.int64)
+        key, size, room, columns = lang, max(1, len(self.names)), len(self.words) + 1, []
+        for j in range(k):
+            code = np.zeros(len(codes), np.int64)
+            code[: len(codes) - j] = np.where(piece[j:] == piece[: len(piece) - j], codes[j:], 0)
+            columns.append(code)
+            if size * room >= 2**62:
+                met, key = np.unique(key, return_inverse=True)
+                size = len(met)
+            key, size = key * room + code, size * room
+        _, first, self.n = np.unique(key, return_index=True, return_counts=True)
+        self.lang, self.codes = lang[first], [c[first] for c in columns]
+
+    def texts(self, at: np.ndarray) -> pa.Array:
+        """The words of the edges with these numbers."""
+        taken = [pa.array(c[at] - 1, pa.int32(), mask=c[at] == 0) for c in self.codes]
+        return pc.binary_join_element_wise(*[self.words.take(i) for i in taken], " ", null_handling="skip")
+
+    def parts(self, parts: int, crowded: set) -> np.ndarray:
+        """The part of each edge: by its node, or by all its words if the node is crowded."""
+        import xxhash
+
+        hashed = lambda values: np.array([0, *[xxhash.xxh64_intdigest(v) for v in values.to_pylist()]], np.uint64)
+        word = hashed(self.words)
+        total = hashed(self.names)[self.lang + 1]
+        for code in self.codes[:-1]:
+            total = mixed(total + word[code])
+        if crowded:
+            rows = np.flatnonzero(np.isin(total, np.array(sorted(crowded), np.uint64)))
+            total[rows] = mixed(total[rows] + word[self.codes[-1][rows]])
+        return (mixed(total) % np.uint64(parts)).astype(np.int64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def node_hash(lang: str, node: str) -> int:
+    """What :meth:`Edges.parts` makes of a node's language and words."""
+    import xxhash
+
+    total = np.array([xxhash.xxh64_intdigest(lang)], np.uint64)
+    for word in node.split(" "):
+        total = mixed(total + np.uint64(xxhash.xxh64_intdigest(word)))
+    return int(total[0])
+
+
+def slices(batch: pa.RecordBatch):
+    """The batch in parts of about ``SLICE_BYTES`` of text each."""
+    sizes, first = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)), 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def _rows(k: int, batches):
+    for batch in batches:
+        for part in slices(batch):
+            found = Edges(part.column(0), part.column(1), k)
+            yield pa.RecordBatch.from_arrays([found.names.take(pa.array(found.lang)), found.texts(np.arange(len(found.n))), pa.array(found.n)], names=["lang", "words", "n"])
+
+
+def _lines(k: int, parts: int, crowded: set, batches):
+    """``part, lang, lines``: the edges of a slice as sorted lines of words and counts, a row for each part and language."""
+    for batch in batches:
+        for piece in slices(batch):
+            found = Edges(piece.column(0), piece.column(1), k)
+            if not len(found.n):
+                continue
+            part = found.parts(parts, crowded)
+            order = np.argsort(part, kind="stable")  # still in order of language and words within a part
+            lines = pc.binary_join_element_wise(found.texts(order), pc.cast(pa.array(found.n[order]), pa.string()), "\t")
+            lines = pc.binary_join_element_wise(lines, "", "\n")
+            part, lang = part[order], found.lang[order]
+            first = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0))
+            offsets = np.frombuffer(lines.buffers()[1], np.int32)[: len(lines) + 1]
+            cut = np.append(offsets[first], offsets[-1])
+            blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cut.astype(np.int32)), lines.buffers()[2]])
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), found.names.take(pa.array(lang[first])), blobs], names=["part", "lang", "lines"])
+
+
+def _head(words: pa.Array) -> pa.Array:
+    """Each phrase without its last word."""
+    return pc.list_element(pc.split_pattern(words, " ", max_splits=1, reverse=True), 0)
+
+
+def _grouped(words: list, counts: list) -> tuple[pa.Array, pa.Array]:
+    table = pa.table({"words": pa.chunked_array(words, pa.string()), "n": pa.chunked_array(counts, pa.int64())})
+    table = table.group_by("words", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+    return table["words"].combine_chunks(), table["n_sum"].combine_chunks()
+
+
+def _summed(k: int, min_count: int, crowded: dict, batches):
+    """Rows arrive sorted by part and language; each such group is summed by itself."""
+    from pyarrow import csv
+
+    parse = csv.ParseOptions(delimiter="\t", quote_char=False)
+    convert = csv.ConvertOptions(column_types={"words": pa.string(), "n": pa.int64()}, strings_can_be_null=False, check_utf8=False)
+
+    def done(lang, held):
+        data = b"".join(held)
+        read = csv.ReadOptions(column_names=["words", "n"], use_threads=False, block_size=max(1 << 20, len(data) + 1))
+        table = csv.read_csv(pa.BufferReader(data), read, parse, convert).combine_chunks()
+        words, n = _grouped([table["words"].combine_chunks()], [table["n"].combine_chunks()])
+        size = pc.add(pc.count_substring(words, " "), 1)
+        whole = pc.equal(size, k)
+        kept = pc.and_(whole, pc.greater_equal(n, min_count))
+        out = [(words.filter(kept), n.filter(kept))]
+        above, flow = _head(words.filter(whole)), n.filter(whole)  # flows of the nodes, then of their beginnings
+        for m in range(k - 1, 0, -1):
+            ends = pc.equal(size, m)
+            above, flow = _grouped([above, words.filter(ends)], [flow, n.filter(ends)])
+            if m == k - 1 and m > 1:  # complete here, but for crowded ones
+                kept = pc.greater_equal(flow, min_count)
+                if lang in crowded:
+                    kept = pc.or_(kept, pc.is_in(above, value_set=pa.array(crowded[lang], pa.string())))
+                out.append((above.filter(kept), flow.filter(kept)))
+            else:
+                out.append((above, flow))
+            above = _head(above)
+        words, n = (pa.concat_arrays([x[i] for x in out]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, n], names=["lang", "words", "n"])
+
+    unit, held = None, []
     for batch in batches:
-        sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
-        first = 0
-        while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + SLICE_BYTES, side="right")))
-            part = batch.slice(first, last - first)
-            yield counted_edges(part.column(0), part.column(1), k)
-            first = last
+        for part, lang, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if (part, lang) != unit and held:
+                yield done(unit[1], held)
+                held = []
+            unit = (part, lang)
+            held.append(lines.as_py())
+    if held:
+        yield done(unit[1], held)
 
 
 def first_words(words, m: int) -> Column:
@@ -127,46 +240,36 @@ def n_words(words: str = "words") -> Column:
 
 
 def edges_of(docs: DataFrame, max_words: int) -> DataFrame:
-    """``lang, words, m, n``: edges of ``docs(lang, text)``, of ``m`` words each, summed per slice of text only."""
-    return docs.mapInArrow(partial(_edges, max_words), "lang string, words string, m int, n long")
+    """``lang, words, n``: edges of ``docs(lang, text)``, summed per slice of text only."""
+    return docs.mapInArrow(partial(_rows, max_words), "lang string, words string, n long")
 
 
-def crowded_nodes(docs: DataFrame, n_docs: int, tasks: int, max_words: int) -> tuple[DataFrame, int]:
-    """``lang, node``: nodes with so many different edges that they would crowd a task, by a sample; and how many."""
+def crowded_nodes(docs: DataFrame, n_docs: int, parts: int, max_words: int) -> dict[str, list[str]]:
+    """By language: nodes with so many different edges that they would crowd a part, by a sample; at most four per part."""
     share = min(1.0, SAMPLE_TEXTS / max(1, n_docs))
     drawn = docs.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     held = edges_of(drawn, max_words).groupBy("lang", first_words("words", max_words - 1).alias("node")).agg(F.count(F.lit(1)).alias("rows"))
     held, path = saved(held, "nodes")
     total = held.agg(F.sum("rows")).first()[0] or 0
-    crowded = held.filter(F.col("rows") * 4 * tasks > total).select("lang", "node").limit(4 * tasks)  # fewer than that can be
-    found = crowded.collect()
+    found: dict[str, list[str]] = {}
+    for lang, node in held.filter((F.col("rows") * 4 * parts > total) & (F.col("rows") >= CROWD)).select("lang", "node").limit(min(4 * parts, MOST_CROWDED)).collect():
+        found.setdefault(lang, []).append(node)
     drop_saved(docs.sparkSession, path)
-    return docs.sparkSession.createDataFrame(found, "lang string, node string"), len(found)
+    return found
 
 
 def phrase_counts(docs: DataFrame, *, lang: str = "lang", text: str = "text", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> tuple[DataFrame, str]:
     """``lang, words, n``: all single words, and phrases of up to ``max_words`` words that occur ``min_count`` times; and its path."""
     slim = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), text_of(text).alias("text"))
     facts = slim.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    tasks = shuffle_width(docs.sparkSession, facts.bytes or 0, BYTES_PER_TASK)
-    crowded, n_crowded = crowded_nodes(slim, facts.n, tasks, max_words)
-
-    edges = edges_of(slim, max_words).withColumn("node", first_words("words", max_words - 1))
-    spread = F.lit(-1)
-    if n_crowded:
-        edges = edges.join(F.broadcast(crowded.withColumn("is_crowded", F.lit(True))), ["lang", "node"], "left")
-        spread = F.when(F.col("is_crowded"), F.pmod(F.xxhash64("words"), F.lit(NODE_PARTS)).cast("int")).otherwise(-1)
-    placed = edges.select("lang", "node", spread.alias("part"), "words", "m", "n").repartition(tasks, "lang", "node", "part")
-    # both sums run where the one shuffle has put the edges
-    longest = placed.filter(F.col("m") == max_words).groupBy("lang", "node", "part", "words").agg(F.sum("n").alias("n"))
-    longest = longest.filter(F.col("n") >= min_count).select("lang", "words", "n")
-    flows = placed.groupBy("lang", "node", "part").agg(F.sum("n").alias("n"), F.max(F.least("m", F.lit(max_words - 1))).alias("m"))
-    whole = (F.col("n") >= min_count) | (F.col("part") >= 0)  # a crowded node's flow comes in parts
-    prefixes = [F.when(F.col("m") >= m, first_words("node", m)) for m in range(1, max_words - 1)]
-    own = F.when((F.col("m") == max_words - 1) & (whole if max_words > 2 else F.lit(True)), F.col("node"))
-    shorter = flows.select("lang", F.explode(F.array(*prefixes, own)).alias("words"), "n").filter("words is not null")
-    shorter = shorter.groupBy("lang", "words").agg(F.sum("n").alias("n")).filter((F.col("n") >= min_count) | (n_words() == 1))
-    return saved(longest.unionByName(shorter), "phrases")
+    parts = shuffle_width(docs.sparkSession, facts.bytes or 0, PART_BYTES)
+    crowded = crowded_nodes(slim, facts.n, parts, max_words)
+    hashes = {node_hash(name, node) for name, nodes in crowded.items() for node in nodes}
+    lines = slim.mapInArrow(partial(_lines, max_words, parts, hashes), "part long, lang string, lines binary")
+    placed = lines.repartition(parts, "part").sortWithinPartitions("part", "lang")
+    sums = placed.mapInArrow(partial(_summed, max_words, min_count, crowded), "lang string, words string, n long")
+    counts = sums.groupBy("lang", "words").agg(F.sum("n").alias("n"))
+    return saved(counts.filter((F.col("n") >= min_count) | (n_words() == 1)), "phrases")
 
 
 # -- the graph -----------------------------------------------------------------------------------------------------
@@ -180,42 +283,27 @@ def compact_paths(edges: DataFrame, max_words: int = MAX_WORDS, path_edges: int
     spark, size = edges.sparkSession, max_words - 1
     ends = edges.select("lang", "words", "n", first_words("words", size).alias("head"), last_words("words", size).alias("tail"))
     out = ends.groupBy("lang", F.col("head").alias("node")).agg(F.count(F.lit(1)).alias("n_out"))
-    into = ends.groupBy("lang", F.col("tail").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
-    unary = out.join(into, ["lang", "node"]).filter("n_out = 1 and n_in = 1").select("lang", "node")
-    unary, unary_path = saved(unary, "unary")
-    marked = ends
-    for end in ("head", "tail"):
-        flag = unary.select("lang", F.col("node").alias(end), F.lit(True).alias(f"{end}_open"))
-        marked = marked.join(flag, ["lang", end], "left").withColumn(f"{end}_open", F.coalesce(f"{end}_open", F.lit(False)))
-    fields = ["lang", "words", "counts", "head", "tail", "head_open", "tail_open"]
-    paths = marked.select("lang", F.split("words", " ").alias("words"), F.array("n").alias("counts"), *fields[3:])
-    paths, at = saved(paths, "paths")
-    drop_saved(spark, unary_path)
-    left_over, turn = paths.filter("tail_open and head <> tail").count(), 0
-    while left_over:
-        coin = lambda end: F.pmod(F.xxhash64(F.lit(turn), "lang", end), F.lit(2)) == 1
-        starts = F.col("tail_open") & coin("tail") & ~(F.col("head_open") & coin("head"))
-        goes_on = F.col("head_open") & coin("head") & ~(F.col("tail_open") & coin("tail"))
-        left = paths.filter(starts).select(*[F.col(f).alias(f"l_{f}") for f in fields])
-        right = paths.filter(goes_on).select(*[F.col(f).alias(f"r_{f}") for f in fields])
-        met = left.join(right, (F.col("l_lang") == F.col("r_lang")) & (F.col("l_tail") == F.col("r_head")), "full")
-        both = F.col("l_lang").isNotNull() & F.col("r_lang").isNotNull()
-        fits = both & (F.size("l_counts") + F.size("r_counts") <= path_edges)
-        pick = lambda side, **new: F.struct(*[new.get(f, F.col(f"{side}_{f}")).alias(f) for f in fields])
-        joined = F.struct(
-            F.col("l_lang").alias("lang"), F.concat("l_words", F.slice("r_words", max_words, F.greatest(F.size("r_words") - size, F.lit(1)))).alias("words"),
-            F.concat("l_counts", "r_counts").alias("counts"), F.col("l_head").alias("head"), F.col("r_tail").alias("tail"),
-            F.col("l_head_open").alias("head_open"), F.col("r_tail_open").alias("tail_open"),
-        )
-        # two that would be too long stay apart, closed where they meet
-        apart = F.array(pick("l", tail_open=F.col("l_tail_open") & ~both), pick("r", head_open=F.col("r_head_open") & ~both))
-        one = F.when(fits, F.array(joined)).when(both, apart).when(F.col("l_lang").isNotNull(), F.array(pick("l"))).otherwise(F.array(pick("r")))
-        rest = paths.filter(~starts & ~goes_on)
-        paths, new_at = saved(rest.unionByName(met.select(F.inline(one))), "paths")
+    into = ends.groupBy("lang", F.col("tail").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.any_value("words").alias("before"))
+    unary = out.join(into, ["lang", "node"]).filter("n_out = 1 and n_in = 1").select("lang", F.col("node").alias("head"), "before")
+    known = ends.join(unary, ["lang", "head"], "left").withColumn("before", F.when(F.col("before") != F.col("words"), F.col("before")))
+    jumps, at = saved(known.select("lang", "words", "n", F.coalesce("before", "words").alias("first"), F.col("before").isNotNull().cast("long").alias("steps"), F.col("before").isNull().alias("done")), "jumps")
+    open_edges, last = jumps.filter("not done").count(), -1
+    while open_edges and open_edges != last:  # only rings are left when a round settles nothing
+        ahead = jumps.select("lang", F.col("words").alias("first"), F.col("first").alias("next"), F.col("steps").alias("more"), F.col("done").alias("ended"))
+        moved = jumps.filter("not done").join(ahead, ["lang", "first"])
+        moved = moved.select("lang", "words", "n", F.col("next").alias("first"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ended").alias("done"))
+        jumps, new_at = saved(jumps.filter("done").unionByName(moved), "jumps")
         drop_saved(spark, at)
-        at, turn = new_at, turn + 1
-        left_over = paths.filter("tail_open and head <> tail").count()
-    return paths.select("lang", "words", "counts"), at
+        at, last = new_at, open_edges
+        open_edges = jumps.filter("not done").count()
+    own = F.when(F.col("done"), F.col("first")).otherwise(F.col("words"))
+    piece = F.when(F.col("done"), F.floor(F.col("steps") / path_edges)).otherwise(0)
+    grouped = jumps.groupBy("lang", own.alias("own"), piece.alias("piece")).agg(F.array_sort(F.collect_list(F.struct("steps", "words", "n"))).alias("edges"))
+    first = F.split(F.element_at("edges.words", 1), " ")
+    rest = F.transform(F.slice("edges.words", 2, F.greatest(F.size("edges"), F.lit(1))), lambda w: last_words(w, 1))
+    paths = saved(grouped.select("lang", F.concat(first, rest).alias("words"), F.col("edges.n").alias("counts")), "paths")
+    drop_saved(spark, at)
+    return paths
 
 
 def longest_phrases(paths: DataFrame, max_words: int) -> DataFrame:
