@@ -55,6 +55,10 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def written_turn() -> Column:
+    return F.concat(F.lit(HEAD), "role", F.lit(MIDDLE), "body", F.lit(TAIL))
+
+
 def _counted(path: str, schema: pa.Schema, batches):
     import tiktoken
     from public_tokenizers import PATTERN
@@ -70,15 +74,15 @@ def _counted(path: str, schema: pa.Schema, batches):
 
 
 def rendered_turns(turns: DataFrame, tokenizer: str, *, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """``conv, conv_id, turn, role, body, rendered, n``: escaped and written turns with their tokens."""
+    """``conv, conv_id, turn, role, body, n``: escaped turns with the tokens of their written form."""
     full = lambda name: F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
     named = F.coalesce(F.concat(F.lit("="), F.col(f"`{conv}`").cast("string")), F.lit("-"))
     plain = turns.select(named.alias("conv"), F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), escaped(full(role)).alias("role"), escaped(full(text)).alias("body"))
-    plain = plain.select("*", F.concat(F.lit(HEAD), "role", F.lit(MIDDLE), "body", F.lit(TAIL)).alias("rendered"))
+    plain = plain.select("*", written_turn().alias("rendered"))
     schema = T.StructType([*plain.schema.fields, T.StructField("n", T.LongType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return plain.mapInArrow(partial(_counted, tokenizer, to_arrow_schema(schema)), schema)
+    return plain.mapInArrow(partial(_counted, tokenizer, to_arrow_schema(schema)), schema).drop("rendered")
 
 
 def with_offsets(turns: DataFrame) -> tuple[DataFrame, str]:
@@ -127,7 +131,7 @@ def windows(
     later = starts.filter("start > 0").withColumn("near", F.floor(F.col("start") / F.col("room")))
     # a turn is repeated in the windows that start between its end and ``history`` tokens after its start
     reach = F.explode(F.sequence(F.floor(F.col("b") / F.col("room")), F.floor((F.col("a") + history) / F.col("room")))).alias("near")
-    columns = ["conv_id", "pos", "role", "body", "rendered", "n"]
+    columns = ["conv_id", "pos", "role", "body", "n"]
     past = own.filter(~F.col("system") & (F.col("n") <= history)).select("conv", *columns, "a", "b", reach)
     met = past.join(later.select("conv", "near", "span", "start"), ["conv", "near"]).filter(F.col("start").between(F.col("b"), F.col("a") + history))
     heads = own.filter("system").select("conv", *columns).join(later.select("conv", "span"), "conv")
@@ -139,11 +143,12 @@ def windows(
     every = new.unionByName(repeated[0]).unionByName(repeated[1])
 
     before = Window.partitionBy("conv", "span").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.char_length("rendered")).over(before), F.lit(0))
+    size = F.char_length("role") + F.char_length("body") + len(HEAD + MIDDLE + TAIL)
+    start = F.coalesce(F.sum(size).over(before), F.lit(0))
     body_at = start + F.char_length("role") + len(HEAD + MIDDLE)
     learnt = ~F.col("repeated") & (F.col("role") == LEARNT)
     mask = F.when(learnt, F.struct(body_at.alias("start"), (body_at + F.char_length("body")).alias("stop")))
-    parts = every.select("conv", "conv_id", "span", "n", "repeated", F.struct("pos", "rendered", mask.alias("mask")).alias("part"))
+    parts = every.select("conv", "conv_id", "span", "n", "repeated", F.struct("pos", written_turn().alias("rendered"), mask.alias("mask")).alias("part"))
     grouped = parts.groupBy("conv", "span").agg(
         F.any_value("conv_id").alias("conv_id"), F.sum(F.col("repeated").cast("long")).alias("n_repeated"),
         F.sum((~F.col("repeated")).cast("long")).alias("n_new"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list("part")).alias("parts"),
