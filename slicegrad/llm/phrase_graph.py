@@ -40,9 +40,9 @@ MAX_WORDS, MIN_COUNT, TOP = 3, 10, 2000
 #: Percent of a phrase's count from which a longer one stands for it.
 COVERED = 50
 #: Bytes of text counted as one array.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 #: Bytes of text whose edges are summed as one part.
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 #: Texts of the sample that finds crowded nodes, the fewest edges there of such a node, and how many are told apart.
 SAMPLE_TEXTS, CROWD, MOST_CROWDED = 4000, 100, 50_000
 #: Edges of a path, and parts in which a language is ranked.
@@ -171,6 +171,7 @@ def _lines(k: int, parts: int, crowded: set, batches):
             cut = np.append(offsets[first], offsets[-1])
             blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cut.astype(np.int32)), lines.buffers()[2]])
             yield pa.RecordBatch.from_arrays([pa.array(part[first]), found.names.take(pa.array(lang[first])), blobs], names=["part", "lang", "lines"])
+            pa.default_memory_pool().release_unused()
 
 
 def _head(words: pa.Array) -> pa.Array:
@@ -193,6 +194,7 @@ def _summed(k: int, min_count: int, crowded: dict, batches):
 
     def done(lang, held):
         data = b"".join(held)
+        held.clear()
         read = csv.ReadOptions(column_names=["words", "n"], use_threads=False, block_size=max(1 << 20, len(data) + 1))
         table = csv.read_csv(pa.BufferReader(data), read, parse, convert).combine_chunks()
         words, n = _grouped([table["words"].combine_chunks()], [table["n"].combine_chunks()])
@@ -220,7 +222,7 @@ def _summed(k: int, min_count: int, crowded: dict, batches):
         for part, lang, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if (part, lang) != unit and held:
                 yield done(unit[1], held)
-                held = []
+                pa.default_memory_pool().release_unused()
             unit = (part, lang)
             held.append(lines.as_py())
     if held:
