@@ -173,9 +173,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     classes, classes_path = saved(prints.groupBy("fp").agg(F.min("key").alias("least")), "classes")
     groups, groups_path = saved(components(ring_links(classes, distance)), "groups")
     rooted = classes.join(groups, classes.fp == groups.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids, ids_path = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")  # a table: a large group's rows can be split
     labels, _ = saved(rooted.join(ids, "root").select("fp", "component_id"), "labels")
-    drop_saved(docs.sparkSession, classes_path, groups_path)
+    drop_saved(docs.sparkSession, classes_path, groups_path, ids_path)
     return prints.join(labels, "fp").select("key", "fp", "component_id")
 
 
@@ -441,9 +441,9 @@ def copy_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     members, members_path = saved(members, "members")
     groups, groups_path = saved(components(exact_links(members, shingle)), "groups")
     rooted = classes.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids, ids_path = saved(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")  # a table: a large group's rows can be split
     labels, _ = saved(rooted.join(ids, "root").select("node", "component_id"), "labels")
-    drop_saved(docs.sparkSession, classes_path, likely_path, members_path, groups_path)
+    drop_saved(docs.sparkSession, classes_path, likely_path, members_path, groups_path, ids_path)
     return prints.join(labels, "node").select("key", "component_id")
 
 

@@ -30,3 +30,25 @@ def test_stages(spark, sf_dir):
     assert set(kept["mixing sources"]) <= set(kept["benchmark decontamination"])
     assert sorted(kept["token files"]) == sorted(kept["mixing sources"])
     assert corpus_pipeline.run(spark, sf_dir).count() == len(kept["token files"])
+
+
+def test_stages_take_odd_rows_and_an_empty_table(spark, sf_dir):
+    sf_dir = os.path.join(os.path.dirname(sf_dir), "sf0.01")
+    good = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in table(spark, sf_dir, "documents").orderBy("doc_id").limit(400).collect()]
+    long = "a long text without an end " * 20_000
+    odd = [(None, "no id but a text of its own", "en", "web", 1), (-1, None, None, None, None), (-2, "", "en", None, 0), (-3, long, "en", "web", 1), (-3, long, "en", "web", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(good + odd, schema)
+    for name in ("sg_k1", "sg_rank", "copy", "key", "score", "sg_row", "order"):
+        docs = docs.withColumn(name, F.lit(3))
+    columns = docs.columns
+    for rows in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            rows, _ = saved(stage(spark, rows, sf_dir), "odd-stage")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert rows.columns == columns and rows.filter("sg_k1 <> 3 or score <> 3 or copy <> 3").count() == 0
+            if name == "SimHash near-dedup":
+                kept = [(r.doc_id, r.text) for r in rows.collect()]
+                assert len(set(t or "" for _, t in kept)) == len(kept)
+        left = rows.count()
+        assert left == 0 or left > 100
