@@ -221,7 +221,8 @@ def tokenized(docs: DataFrame, keys: list[str], text: str, path: str, end_id: in
     A row without ``n_ids`` holds a task's counts instead, as pairs of an id and its count.
     """
     slim = docs.select(*[F.col(f"`{k}`") for k in keys], text_of(text).alias("text"))
-    out = T.StructType([*slim.schema.fields[:-1], T.StructField("n_ids", T.LongType()), T.StructField("ids", T.BinaryType())])
+    own = [T.StructField(f.name, f.dataType) for f in slim.schema.fields[:-1]]  # null in rows of counts
+    out = T.StructType([*own, T.StructField("n_ids", T.LongType()), T.StructField("ids", T.BinaryType())])
     return slim.mapInArrow(partial(_tokenize, path, end_id, _arrow(out)), out)
 
 
