@@ -59,16 +59,25 @@ def gaussian(*parts, scale: float = 0.01) -> Column:
     return F.lit(scale) * radius * F.cos(F.lit(2.0 * math.pi) * uniforms[1])
 
 
-def signed_hash(token: Column, method: str = "md5") -> Column:
-    """A signed integer hash of a string as BIGINT: 32 bits from md5, or 64 bits from xxhash64."""
+def hash_word(token: Column, method: str = "md5") -> Column:
+    """The hash of a string before its sign is taken: 32 bits of md5 as a non-negative BIGINT, or 64 bits of xxhash64."""
     if method == "md5":
-        word = hex_word(F.md5(token))
-        return F.when(word >= 2**31, word - F.lit(2**32)).otherwise(word)
+        return hex_word(F.md5(token))
     if method == "xxhash64":
         return F.xxhash64(token)
     raise ValueError(f"unknown hash method {method!r}")
 
 
+def signed_word(word: Column, method: str = "md5") -> Column:
+    """The signed hash of a :func:`hash_word`."""
+    return F.when(word >= 2**31, word - F.lit(2**32)).otherwise(word) if method == "md5" else word
+
+
+def signed_hash(token: Column, method: str = "md5") -> Column:
+    """A signed integer hash of a string as BIGINT: 32 bits from md5, or 64 bits from xxhash64."""
+    return signed_word(hash_word(token, method), method)
+
+
 def hash_bucket(hashed: Column, n_buckets: int) -> Column:
     """Bucket in ``0..n_buckets-1``; the remainder is taken before the sign, so no value overflows."""
     return F.abs(hashed % F.lit(n_buckets).cast("bigint")).cast("int")

@@ -9,8 +9,9 @@ Three shapes are used throughout:
 ``cells(part, chunk, local, row_id, label, feature, value)``
     feats split vertically: a feature belongs to slice ``feature % P`` under local id ``feature div P``.
 
-A slice is further divided into row chunks. The unit that travels to one task is (slice, chunk), so its
-size is bounded by the rows of a chunk even when a single feature occurs in every row of the data.
+A slice is further divided into row chunks: ranges of rows of a fixed number, or with a bounded number of cells. The unit
+that travels to one task is (slice, chunk), so its size is bounded even when a single feature occurs in every row of the
+data, and with a bound on cells also when single rows are very long.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from slicegrad.session import bounded_broadcast, cut_lineage, written
 
 FEATURES_TYPE = "array<struct<feature:int,value:double>>"
 DEFAULT_CHUNK_ROWS = 65_536
+#: Cells of a chunk that is bounded by its cells, and rows of a range in which they are summed.
+DEFAULT_CHUNK_CELLS, RANGE_ROWS = 4_000_000, 4096
 
 
 def make_features(*cells: tuple[Column, Column]) -> Column:
@@ -32,8 +35,12 @@ def make_features(*cells: tuple[Column, Column]) -> Column:
 
 
 def to_feats(points: DataFrame) -> DataFrame:
-    """One row per cell. A narrow step: nothing is shuffled."""
-    return points.select("row_id", "label", F.inline("features"))
+    """One row per cell. A narrow step: nothing is shuffled.
+
+    Outer, since for the plain form Spark derives a filter on the array's size and moves it to the scan, with all that
+    computes the array in it.
+    """
+    return points.select("row_id", "label", F.inline_outer("features")).where("feature is not null")
 
 
 def labels_of(points: DataFrame) -> DataFrame:
@@ -56,30 +63,63 @@ def feature_partition(feats: DataFrame, partitions: int) -> DataFrame:
     )
 
 
+def cell_chunks(points: DataFrame, max_cells: int = DEFAULT_CHUNK_CELLS) -> DataFrame:
+    """``row_id, chunk``: ranges of rows, in row order, that hold at most ``max_cells`` cells each.
+
+    A row of more cells has a chunk of its own. Running sums are taken in ranges of ``RANGE_ROWS`` rows and carried from
+    range to range in two levels, so no task sees more than some thousand rows of either kind per billion rows.
+    """
+    sizes = written(points.select("row_id", F.size("features").cast("bigint").alias("n")), "row-sizes")
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    room = max(1, max_cells - largest + 1)  # a chunk's last row begins below it
+    sized = sizes.withColumn("range", F.expr(f"row_id div {RANGE_ROWS}"))
+    sums = sized.groupBy("range").agg(F.sum("n").alias("total")).withColumn("group", F.expr("range div 1024"))
+    before = (Window.unboundedPreceding, -1)
+    in_group = Window.partitionBy("group").orderBy("range").rowsBetween(*before)
+    over_groups = Window.partitionBy(F.lit(0)).orderBy("group").rowsBetween(*before)
+    groups = sums.groupBy("group").agg(F.sum("total").alias("total"))
+    groups = groups.select("group", F.coalesce(F.sum("total").over(over_groups), F.lit(0)).alias("base"))
+    starts = sums.withColumn("inner", F.coalesce(F.sum("total").over(in_group), F.lit(0))).join(groups, "group")
+    starts = starts.select("range", (F.col("base") + F.col("inner")).alias("start"))
+    in_range = Window.partitionBy("range").orderBy("row_id").rowsBetween(*before)
+    placed = sized.withColumn("own", F.coalesce(F.sum("n").over(in_range), F.lit(0))).join(starts, "range")
+    return placed.select("row_id", F.expr(f"cast((start + own) div {room} as int)").alias("chunk"))
+
+
 def to_columns(
     points: DataFrame,
     partitions: int,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
     tasks: int | None = None,
+    max_cells: int | None = None,
 ) -> DataFrame:
-    """Split every row over ``partitions`` feature slices and co-locate the cells of a (slice, chunk)."""
-    cells = feature_partition(to_feats(points), partitions).withColumn(
-        "chunk", F.expr(f"cast(row_id div {chunk_rows} as int)")
-    )
+    """Split every row over ``partitions`` feature slices and co-locate the cells of a (slice, chunk).
+
+    A chunk is ``chunk_rows`` rows or, given ``max_cells``, a range of rows with at most so many cells.
+    """
+    if max_cells:
+        cells = points.join(cell_chunks(points, max_cells), "row_id").select("row_id", "label", "chunk", F.inline("features"))
+        cells = feature_partition(cells, partitions)
+    else:
+        chunk = F.expr(f"cast(row_id div {chunk_rows} as int)")
+        cells = feature_partition(to_feats(points), partitions).withColumn("chunk", chunk)
     cells = cells.select("part", "chunk", "local", "row_id", "label", "feature", "value")
     keys = ["part", "chunk"]
     return cells.repartition(tasks, *keys) if tasks else cells.repartition(*keys)
 
 
-def to_blocks(points: DataFrame, partitions: int, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def to_blocks(
+    points: DataFrame, partitions: int, chunk_rows: int = DEFAULT_CHUNK_ROWS, max_cells: int | None = None
+) -> DataFrame:
     """The same split packed into one compressed sparse row block per (slice, chunk).
 
     ``offsets[i]`` is the end of row ``row_ids[i]`` in ``local`` and ``value``. A block never holds more
-    than ``chunk_rows`` rows; rows without cells in a slice are absent from its block. All three steps
-    run on the partitioning of ``to_columns``, so only that one shuffle happens.
+    than ``chunk_rows`` rows or, given ``max_cells``, no more cells than that unless one row does; rows without cells in
+    a slice are absent from its block. All three steps run on the partitioning of ``to_columns``, so its shuffle is the
+    only one of cells.
     """
     slices = (
-        to_columns(points, partitions, chunk_rows)
+        to_columns(points, partitions, chunk_rows, max_cells=max_cells)
         .groupBy("part", "chunk", "row_id", "label")
         .agg(F.sort_array(F.collect_list(F.struct("local", "value"))).alias("cells"))
     )

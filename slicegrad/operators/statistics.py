@@ -46,6 +46,8 @@ class SplitBatch:
 
 
 HOT_PER_PARTITION = 4
+#: Counters of a task per feature that can be hot.
+SKETCH_FACTOR = 16
 
 
 def plan_placement(
@@ -63,16 +65,31 @@ def plan_placement(
     return split_placement(points, columns, partitions)
 
 
+def heavy_features(points: DataFrame, limit: int) -> tuple[list[int], int]:
+    """Features that may hold more than ``1 / limit`` of all cells, at most ``limit`` of them, and the number of cells.
+
+    Every task keeps ``SKETCH_FACTOR * limit`` counters, whatever the number of features, and summaries are merged in two
+    steps, so no count per feature is shuffled. Counts are never too low and too high by less than a quarter of that share:
+    all heavy features are found, and with them perhaps some that are nearly so.
+    """
+    counters = min(1_000_000, SKETCH_FACTOR * limit)
+    group = F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")
+    summaries = points.select(group, F.inline("features")).groupBy("part").agg(
+        F.expr(f"approx_top_k_accumulate(feature, {counters})").alias("summary"), F.count("*").alias("n")
+    )
+    one = (F.col("part") * 0).alias("one")  # a key, since the function cannot combine what an empty partition has
+    merged = summaries.groupBy(one).agg(F.expr(f"approx_top_k_combine(summary, {counters})").alias("summary"), F.sum("n").alias("n"))
+    found = merged.select(F.expr(f"approx_top_k_estimate(summary, {limit})").alias("top"), "n").first()
+    if found is None:
+        return [], 0
+    return [item for item, count in found["top"] if count * limit > found["n"]], found["n"]
+
+
 def split_placement(points: DataFrame, columns: int, partitions: int) -> Placement:
-    """The placement for a large model: finds the hot features in one aggregation over the cells."""
+    """The placement for a large model: finds the hot features of these points in one aggregation over the cells."""
     limit = min(HOT_PER_PARTITION * partitions, BROADCAST_BYTES // (columns * 8 + 16))
-    counts = points.select(F.inline("features")).groupBy("feature").agg(F.count("*").alias("n"))
-    counts = counts.persist()
-    cells = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.where(F.col("n") * limit > cells).select("feature").take(limit)
-    counts.unpersist()
-    hot = points.sparkSession.createDataFrame([(row[0],) for row in found], "feature int")
-    return Placement(partitions, hot)
+    heavy, _ = heavy_features(points, limit)
+    return Placement(partitions, points.sparkSession.createDataFrame([(feature,) for feature in heavy], "feature int"))
 
 
 def split_cells(batch: DataFrame, placement: Placement, *extra: str) -> tuple[DataFrame | None, DataFrame]:
@@ -97,11 +114,12 @@ class SampleStats:
     """Sum ``terms`` per slot: ``(slot, label, <stats>)``, with zeros for a sample without cells.
 
     What is exchanged is one partial row per (task, slot), whatever the size of the model. The column
-    expressions are built once and reused by every iteration.
+    expressions are built once and reused by every iteration. The terms may refer to ``known`` statistics, one row per
+    slot, of an earlier pass; these go to the cells, and are returned with the new ones.
     """
 
-    def __init__(self, terms: dict[str, Column], placement: Placement):
-        self.placement = placement
+    def __init__(self, terms: dict[str, Column], placement: Placement, batch_size: int | None = None):
+        self.placement, self.batch_size = placement, batch_size
         zeros = [F.lit(0.0).alias(name) for name in terms]
         self._filled = [F.coalesce(term, F.lit(0.0)).alias(name) for name, term in terms.items()]
         self._met = [F.lit(None).cast("double").alias("label")] + [t.alias(n) for n, t in terms.items()]
@@ -109,17 +127,34 @@ class SampleStats:
         self._totals = [F.max("label").alias("label")] + [F.sum(name).alias(name) for name in terms]
         self._cells = ["slot", "label", F.inline_outer("features")]
 
-    def __call__(self, batch: DataFrame | SplitBatch, weights: DataFrame) -> DataFrame:
+    def __call__(self, batch: DataFrame | SplitBatch, weights: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        sums = self._summed(batch, weights, known)
+        return sums if known is None else known.join(sums.drop("label"), "slot")
+
+    def _informed(self, cells: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Cells, or rows of cells, with the known statistics of their slots."""
+        if known is None:
+            return cells
+        known = known.drop("label")
+        if self.batch_size:  # of a batch, whose size is known
+            known = bounded_broadcast(known, self.batch_size, len(known.columns))
+        return cells.join(known, "slot")
+
+    def _summed(self, batch: DataFrame | SplitBatch, weights: DataFrame, known: DataFrame | None) -> DataFrame:
         placement = self.placement
         if isinstance(batch, SplitBatch):
             # A batch is smaller than a large model: hash its cells and stream the model past them, unsorted.
-            samples, cold, hot, model = batch.samples, batch.cold.hint("shuffle_hash"), batch.hot, weights
+            cold, hot = (self._informed(cells, known) for cells in (batch.cold, batch.hot))
+            samples, cold, model = batch.samples, cold.hint("shuffle_hash"), weights
         elif placement.small:
-            cells = batch.select(*self._cells).join(F.broadcast(weights), "feature", "left")
+            rows = self._informed(batch, known)
+            names = [] if known is None else [c for c in known.columns if c not in ("slot", "label")]
+            cells = rows.select(*names, *self._cells).join(F.broadcast(weights), "feature", "left")
             return cells.select("slot", "label", *self._filled).groupBy("slot").agg(*self._totals)
         else:
             # Rows of any number: hash the model, whose partitions are of a known size, and stream the cells past it.
-            (cold, hot), samples, model = split_cells(batch, placement), batch, weights.hint("shuffle_hash")
+            cold, hot = (self._informed(cells, known) for cells in split_cells(batch, placement))
+            samples, model = batch, weights.hint("shuffle_hash")
         parts = samples.select(*self._own)
         for cells, table in ((cold, model), (hot, hot_weights(weights, placement))):
             parts = parts.unionByName(cells.join(table, "feature").select("slot", *self._met))
@@ -131,29 +166,37 @@ class FeatureSums:
 
     The coefficients, one row per slot, are broadcast while the batch is small enough for that. Cold cells already lie in
     their feature's partition, and so do their sums; hot ones are summed per task before they move, to one row per hot feature.
+    Sums that refer to the weights get them where the cells lie.
     """
 
     def __init__(
-        self, coefs: dict[str, Column], sums: dict[str, Column], placement: Placement, batch_size: int
+        self, coefs: dict[str, Column], sums: dict[str, Column], placement: Placement, batch_size: int,
+        see_weights: bool = False,
     ):
-        self.placement, self.batch_size, self.width = placement, batch_size, len(coefs) + 1
+        self.placement, self.batch_size, self.width, self.see_weights = placement, batch_size, len(coefs) + 1, see_weights
         self._coefs = ["slot", *[c.alias(name) for name, c in coefs.items()]]
         self._addends = ["feature", "t", *[c.alias(name) for name, c in sums.items()]]
         self._totals = [F.max("t").alias("t")] + [F.sum(name).alias(name) for name in sums]
 
-    def _grouped(self, cells: DataFrame, coefs: DataFrame) -> DataFrame:
-        return cells.join(coefs, "slot").select(*self._addends).groupBy("feature").agg(*self._totals)
+    def _grouped(self, cells: DataFrame, coefs: DataFrame, weights: DataFrame | None) -> DataFrame:
+        met = cells.join(coefs, "slot")
+        if self.see_weights:
+            met = met.join(weights, "feature")
+        return met.select(*self._addends).groupBy("feature").agg(*self._totals)
 
     def _factors(self, stats: DataFrame) -> DataFrame:
         return bounded_broadcast(stats.select(*self._coefs), self.batch_size, self.width)
 
-    def __call__(self, batch: DataFrame, stats: DataFrame) -> DataFrame:
-        return self._grouped(batch.select("slot", "t", F.inline("features")), self._factors(stats))
+    def __call__(self, batch: DataFrame, stats: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+        near = F.broadcast(weights) if self.see_weights else None
+        return self._grouped(batch.select("slot", "t", F.inline("features")), self._factors(stats), near)
 
-    def split(self, batch: SplitBatch, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def split(self, batch: SplitBatch, stats: DataFrame, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Sums of the cold and of the hot features."""
-        coefs = self._factors(stats)
-        return self._grouped(batch.cold, coefs), self._grouped(batch.hot, coefs)
+        coefs, cold, near = self._factors(stats), batch.cold, None
+        if self.see_weights:
+            cold, near = cold.hint("shuffle_hash"), hot_weights(weights, self.placement)
+        return self._grouped(cold, coefs, weights), self._grouped(batch.hot, coefs, near)
 
 
 def sample_stats(batch: DataFrame, weights: DataFrame, terms: dict, placement: Placement) -> DataFrame:

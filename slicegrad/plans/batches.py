@@ -160,6 +160,15 @@ class SplitReader(BatchReader):
         cold.write.option("path", path).bucketBy(parts, "feature").sortBy("t").saveAsTable(name)
         self._cold = spark.table(name)
 
+    def group_end(self, t: int) -> int:
+        """The first iteration after the group of ``t``."""
+        return min(self.iterations, t - t % self.group + self.group)
+
+    def touched(self, first: int, end: int) -> DataFrame:
+        """``feature``: the cold features with cells in the iterations from ``first`` to before ``end``, in the model's partitions."""
+        self.batch(first)
+        return self._cold.where((F.col("t") >= first) & (F.col("t") < end)).select("feature").dropDuplicates()
+
     def close(self) -> None:
         if self._name:
             self.points.sparkSession.sql(f"DROP TABLE IF EXISTS {self._name}")

@@ -276,6 +276,14 @@ def train_mlp(
     partitions = partitions or model_partitions(spark, profile.num_features * shape.blocks, shape.width + 3)
     if placement is None:
         placement = st.plan_placement(profile.num_features, hidden + 3 * shape.blocks, partitions, points)
+    if not placement.small:  # cells and first layer are split by feature there
+        from slicegrad.plans.layers import train_layers
+
+        return train_layers(
+            points, step=step, batch_size=batch_size, iterations=iterations, classes=classes, hidden=hidden, reg=reg,
+            seed=seed, history=history, profile=profile, partitions=partitions, placement=placement,
+            valid_ratio=valid_ratio, valid_every=valid_every,
+        )
     network = Network(shape, placement, batch_size, step, reg)
     # Every cell meets all hidden neurons, so even a short batch is worth several tasks; a long one is cut by its size.
     cores = spark.sparkContext.defaultParallelism

@@ -8,7 +8,8 @@ column expression, so that a whole iteration stays one relational plan:
 * ``sums``: what a cell adds to the gradient sums of its feature (summed per feature),
 * ``gradient``: the gradient of every weight, from the feature's sums and its current weights.
 
-Only the statistics and the coefficients, a few numbers per drawn sample, travel between slices.
+Only the statistics and the coefficients, a few numbers per drawn sample, travel between slices. A model may pass over
+the cells several times (``passes``, ``returns``): what one pass sums per sample, the next one sees in every cell.
 A user-defined model subclasses :class:`Objective`.
 """
 
@@ -43,6 +44,29 @@ class Objective:
         """Per statistic: the addend of one cell, over ``value`` and the weight columns."""
         raise NotImplementedError
 
+    def passes(self) -> list[dict[str, Column]]:
+        """The terms, pass by pass; those of a later pass may refer to the statistics of the earlier ones. One pass by default."""
+        return [self.terms()]
+
+    def returns(self) -> list[dict[str, Column]]:
+        """Further sums per sample on the way back from the loss, pass by pass: none by default.
+
+        Like terms they are addends of a cell, over ``value``, the weights, and the statistics and stages of the sample so far;
+        ``coefs`` may refer to them. They carry a gradient through a pass to the passes before it.
+        """
+        return []
+
+    def sums_see_weights(self) -> bool:
+        """Whether ``sums`` refer to the weights of the cell's feature."""
+        return False
+
+    def touched_only(self) -> bool:
+        """Whether the gradient is zero where all sums are, so that a feature without cells in a batch only shrinks.
+
+        A model may only say so if it holds; large models are then trained on the features their batches touch.
+        """
+        return False
+
     def stages(self) -> list[dict[str, Column]]:
         """Columns to add to the statistics, stage by stage, before losses, factors and scores are taken; none by default."""
         return []
@@ -71,6 +95,9 @@ class Objective:
 class _Linear(Objective):
     """Shared part of the binary linear models: one weight per feature, one dot product per sample."""
 
+    def touched_only(self):
+        return True
+
     def weights(self):
         return ["w0"]
 
@@ -122,6 +149,9 @@ class Softmax(Objective):
 
     name = "mlr"
 
+    def touched_only(self):
+        return True
+
     def __init__(self, classes: int = 2):
         self.classes = classes
 
@@ -171,6 +201,9 @@ class Factorization(Objective):
 
     name = "fm"
 
+    def touched_only(self):
+        return True
+
     def __init__(self, factors: int = 10):
         self.factors = factors
         self._ks = range(1, factors + 1)
@@ -227,6 +260,10 @@ class Optimizer:
         """Further columns kept per weight, starting at zero."""
         return []
 
+    def idle(self, weight: str, shrink: float, rounds: int) -> dict[str, Column]:
+        """What ``rounds`` iterations without a gradient make of a weight and its state."""
+        return {weight: F.col(weight) * shrink**rounds}
+
     def update(self, weight: str, gradient: Column, step: float, batch_size: int, shrink: float) -> dict[str, Column]:
         raise NotImplementedError
 
@@ -252,6 +289,10 @@ class Adam(Optimizer):
     def state(self, weights):
         return [f"{kind}_{name}" for name in weights for kind in ("m", "v")]
 
+    def idle(self, weight, shrink, rounds):
+        kept = shrink**rounds if self.decay_moments else 1.0
+        return {weight: F.col(weight) * shrink**rounds} | {f"{kind}_{weight}": F.col(f"{kind}_{weight}") * kept for kind in ("m", "v")}
+
     def update(self, weight, gradient, step, batch_size, shrink):
         kept = shrink if self.decay_moments else 1.0
         g = gradient / float(batch_size)

@@ -12,9 +12,12 @@ from slicegrad.operators import statistics as st
 from slicegrad.operators.sampling import draw_slots
 from slicegrad.plans.batches import SLOTS_PER_TASK, BatchReader, Profile, SplitReader, gather, profile_points
 from slicegrad.plans.objectives import Adam, Objective, Optimizer, Sgd, make_objective
+from slicegrad.plans.store import ColumnStore
 from slicegrad.session import cut_lineage, loop_settings
 
 MODEL_ROWS_PER_PARTITION = 500_000
+#: Iterations of a large model between two merges of what they touched.
+MERGE_EVERY = 8
 EVALUATION_SEED = 100_000
 HISTORY_SCHEMA = "iter int, batch_loss double, valid_loss double, accuracy double"
 
@@ -72,9 +75,11 @@ class Plan:
         self.objective, self.placement = objective, placement
         weights = objective.weights()
         self._weights = ["feature", *weights]
-        self.stats_of = st.SampleStats(objective.terms(), placement)
+        known = batch_size if batch_size > 1 else None  # one: rows of any number
+        self.forward = [st.SampleStats(terms, placement, known) for terms in objective.passes()]
+        self.back = [st.SampleStats(terms, placement, known) for terms in objective.returns()]
         self.stages = objective.stages()
-        self.sums_of = st.FeatureSums(objective.coefs(), objective.sums(), placement, batch_size)
+        self.sums_of = st.FeatureSums(objective.coefs(), objective.sums(), placement, batch_size, objective.sums_see_weights())
         self.mean_loss = F.avg(objective.loss())
         state = [*weights, *optimizer.state(weights)]
         sums = list(objective.sums())
@@ -95,9 +100,17 @@ class Plan:
         for weight, gradient in objective.gradient().items():
             changed.update(optimizer.update(weight, gradient, step, batch_size, 1.0 - reg))
         self._changed = ["feature", *[changed[name].alias(name) for name in state]]
+        self._state, self._idle = state, lambda rounds: {
+            name: column for weight in weights for name, column in optimizer.idle(weight, 1.0 - reg, rounds).items()
+        }
 
     def stats(self, batch: DataFrame | st.SplitBatch, state: DataFrame) -> DataFrame:
-        return self.stats_of(batch, state.select(*self._weights))
+        weights, stats = state.select(*self._weights), None
+        for sums in self.forward:
+            if stats is not None:
+                stats = cut_lineage(stats)  # sent to the cells, and returned with the next ones
+            stats = sums(batch, weights, stats)
+        return stats
 
     def loss(self, stats: DataFrame) -> float:
         return self.mean(stats).first()["loss"]
@@ -112,17 +125,33 @@ class Plan:
         The model is never shuffled. Sums of a split batch are in its partitions already, but for those of the hot
         features, of which there are no more than a broadcast takes.
         """
-        stats = staged(stats, self.stages)
+        stats, weights = staged(stats, self.stages), state.select(*self._weights)
+        for sums in self.back:
+            stats = sums(batch, weights, cut_lineage(stats))
         if isinstance(batch, st.SplitBatch):
-            cold, hot = self.sums_of.split(batch, stats)
+            cold, hot = self.sums_of.split(batch, stats, weights)
             met = state.join(cold.hint("shuffle_hash"), "feature", "left")
             return met.join(F.broadcast(hot.select(*self._hot)), "feature", "left").select(*self._either).select(*self._changed)
-        sums = self.sums_of(batch, stats).hint("shuffle_hash")
+        sums = self.sums_of(batch, stats, weights).hint("shuffle_hash")
         return state.join(sums, "feature", "left").select(*self._filled).select(*self._changed)
 
 
+    def part(self, state: DataFrame, touched: DataFrame) -> DataFrame:
+        """The rows of the ``touched`` and of the hot features, where they lie."""
+        marks = [touched.withColumn("is_touched", F.lit(True)).hint("shuffle_hash"), F.broadcast(self.placement.hot.withColumn("is_hot", F.lit(True)))]
+        marked = state.join(marks[0], "feature", "left").join(marks[1], "feature", "left")
+        return marked.where("is_touched or is_hot").select(state.columns)
+
+    def merged(self, state: DataFrame, part: DataFrame, rounds: int) -> DataFrame:
+        """``state`` after ``rounds`` iterations: rows of ``part`` replace their own, the others have only shrunk."""
+        idle = self._idle(rounds)
+        new = part.select("feature", F.lit(True).alias("is_new"), *[F.col(name).alias(f"new_{name}") for name in self._state])
+        met = state.join(new.hint("shuffle_hash"), "feature", "left")
+        return met.select("feature", *[F.when(F.col("is_new"), F.col(f"new_{n}")).otherwise(idle.get(n, F.col(n))).alias(n) for n in self._state])
+
+
 def train(
-    points: DataFrame,
+    points: DataFrame | ColumnStore,
     model: str | Objective,
     *,
     step: float,
@@ -137,28 +166,33 @@ def train(
     optimizer: Optimizer | None = None,
     partitions: int | None = None,
     history: bool = True,
-    hidden: int = 500,
+    hidden: int | list[int] = 500,
     profile: Profile | None = None,
     placement: st.Placement | None = None,
 ):
-    """Train on ``points(row_id, label, features)`` and return the model with its history.
+    """Train on ``points(row_id, label, features)``, or on their stored column split, and return the model with its history.
 
-    ``model`` is ``lr``, ``svm``, ``mlr``, ``fm``, ``adamlr``, ``adamsvm``, ``mlp`` or an
-    :class:`Objective`. ``k`` is the number of classes (mlr, mlp) or factors (fm). Every iteration draws
+    ``model`` is ``lr``, ``svm``, ``mlr``, ``fm``, ``adamlr``, ``adamsvm``, ``mlp``, ``adammlp`` or an
+    :class:`Objective`. ``k`` is the number of classes (mlr, mlp) or factors (fm), ``hidden`` the size of a perceptron's
+    hidden layer or a list of such sizes. Every iteration draws
     ``batch_size`` rows with replacement, shrinks the weights by ``1 - reg`` and steps by
     ``step / batch_size`` times the batch gradient. The sampled loss over ``valid_ratio`` of the rows is
     taken every ``valid_every`` iterations and is null in between.
     """
-    if isinstance(model, str) and model.lower() == "mlp":
+    if isinstance(model, str) and model.lower() in ("mlp", "adammlp"):
+        from slicegrad.plans.layers import train_layers
         from slicegrad.plans.mlp import train_mlp
 
-        if optimizer is not None:
-            raise ValueError("the perceptron has plain steps: no optimizer")
-        return train_mlp(
-            points, step=step, batch_size=batch_size, iterations=iterations, reg=reg,
-            num_features=num_features, classes=k or 2, hidden=hidden, seed=seed, history=history,
-            profile=profile, partitions=partitions, placement=placement, valid_ratio=valid_ratio, valid_every=valid_every,
-        )
+        if optimizer is None and model.lower() == "adammlp":
+            optimizer = Adam()
+        settings = {
+            "step": step, "batch_size": batch_size, "iterations": iterations, "reg": reg, "num_features": num_features,
+            "classes": k or 2, "hidden": hidden, "seed": seed, "history": history, "profile": profile, "partitions": partitions,
+            "placement": placement, "valid_ratio": valid_ratio, "valid_every": valid_every,
+        }
+        if optimizer is None and isinstance(hidden, int) and not isinstance(points, ColumnStore):
+            return train_mlp(points, **settings)
+        return train_layers(points, optimizer=optimizer, **settings)
     run = Run(
         points, model, step=step, batch_size=batch_size, reg=reg, num_features=num_features, k=k, seed=seed,
         valid_ratio=valid_ratio, valid_every=valid_every, optimizer=optimizer, partitions=partitions, history=history,
@@ -171,7 +205,7 @@ class Run:
     """One model in training: plan, state and history. Settings as in :func:`train`."""
 
     def __init__(
-        self, points: DataFrame, model: str | Objective, *, step: float, batch_size: int, reg: float = 0.0,
+        self, points: DataFrame | ColumnStore, model: str | Objective, *, step: float, batch_size: int, reg: float = 0.0,
         num_features: int | None = None, k: int | None = None, seed: int = 42, valid_ratio: float = 0.01,
         valid_every: int = 1000, optimizer: Optimizer | None = None, partitions: int | None = None,
         history: bool = True, profile: Profile | None = None, placement: st.Placement | None = None,
@@ -180,6 +214,8 @@ class Run:
         if optimizer is None:
             optimizer = Adam() if isinstance(model, str) and model.lower().startswith("adam") else Sgd()
         self.points, self.spark = points, points.sparkSession
+        if isinstance(points, ColumnStore):
+            profile, placement, partitions = points.profile, points.placement, points.placement.partitions
         self.profile = profile or profile_points(points, objective.classes, num_features)
         names = objective.weights()
         width = 1 + len(names) + len(optimizer.state(names))
@@ -191,10 +227,13 @@ class Run:
         self.plan = Plan(objective, optimizer, placement, batch_size, step, reg)
         self.tasks = max(partitions, batch_size // SLOTS_PER_TASK + 1) if placement.small else partitions
         self.records: list = []
+        self._part = self._last = None  # of a large model: the rows in work, and the last batch with its statistics
         with loop_settings(self.spark, self.tasks):
             self.state = cut_lineage(initial_state(self.spark, objective, optimizer, self.profile.num_features, partitions, seed))
 
     def reader(self, iterations: int, seed: int) -> BatchReader:
+        if isinstance(self.points, ColumnStore):
+            return self.points.reader(self.batch_size, iterations, seed)
         facts = (self.points, self.profile.n_rows, self.batch_size, iterations, seed)
         return BatchReader(*facts) if self.placement.small else SplitReader(*facts, self.placement)
 
@@ -204,6 +243,11 @@ class Run:
             valid_loss = None
             if self.history and t % self.valid_every == 0 and self.valid_size:
                 valid_loss = plan.loss(_sampled_stats(plan, self.state, self.points, self.profile.n_rows, self.valid_size))
+            if not small and plan.objective.touched_only():
+                stats = self._advance(t, reader)
+                if self.history:
+                    self.records.append((t, plan.loss(stats), valid_loss, None))
+                return
             batch = reader.batch(t)
             stats = plan.stats(batch, self.state)
             if not small:
@@ -216,6 +260,35 @@ class Run:
             if self.history and small:
                 stats.unpersist()
 
+    def _advance(self, t: int, reader: SplitReader) -> DataFrame:
+        """Statistics of iteration ``t`` of a large model; its update belongs to the next job.
+
+        A stretch of up to ``MERGE_EVERY`` iterations works on the rows it will touch. One job per iteration applies the update
+        of the iteration before and sums the new statistics, which are all it writes; the updated rows are kept in memory, and
+        follow again from the stretch's first rows and the written statistics if an executor is lost. The stretch's end
+        merges them into the model. So what is written follows the batches, but for the merge.
+        """
+        if self._part is None:
+            self._first = t
+            self._end = min(t + MERGE_EVERY, reader.group_end(t))
+            if self.history and self.valid_size:  # a sampled loss needs the whole model
+                self._end = min(self._end, t - t % self.valid_every + self.valid_every)
+            self._part = cut_lineage(self.plan.part(self.state, reader.touched(t, self._end)))
+        batch, held = reader.batch(t), None
+        if self._last:
+            held, self._part = self._part, self.plan.step(*self._last, self._part).persist()
+        stats = cut_lineage(self.plan.stats(batch, self._part))
+        if held is not None and t - self._first > 1:
+            held.unpersist()
+        self._last = (batch, stats)
+        if t + 1 == self._end:
+            done = self.plan.step(*self._last, self._part)
+            self.state = cut_lineage(self.plan.merged(self.state, done, self._end - self._first))
+            if t > self._first:
+                self._part.unpersist()
+            self._part = self._last = None
+        return stats
+
     def model(self) -> Model:
         table = self.spark.createDataFrame(self.records, HISTORY_SCHEMA)
         return Model(self.plan.objective, self.state, table, self.profile.num_features, self.placement, self.records)
@@ -246,8 +319,10 @@ def sample_size(ratio: float, n_rows: int) -> int:
 
 
 def _sampled_stats(
-    plan: Plan, state: DataFrame, points: DataFrame, n_rows: int, size: int, seed: int = EVALUATION_SEED
+    plan: Plan, state: DataFrame, points: DataFrame | ColumnStore, n_rows: int, size: int, seed: int = EVALUATION_SEED
 ) -> DataFrame:
+    if isinstance(points, ColumnStore):
+        return plan.stats(points.sampled(size, seed), state)
     slots = draw_slots(points.sparkSession, n_rows, size, 1, seed)
     return plan.stats(gather(points, slots, size, n_rows), state)
 
@@ -261,9 +336,14 @@ def evaluate(
     size = sample_size(valid_ratio, n_rows)
     if not size:
         raise ValueError("a loss needs a share of the rows above zero")
-    plan = Plan(model.objective, Sgd(), model.placement)
-    stats = _sampled_stats(plan, model.state, points, n_rows, size, seed)
-    return plan.mean(stats)
+    placement = model.placement
+    if placement.small:
+        return (plan := Plan(model.objective, Sgd(), placement)).mean(_sampled_stats(plan, model.state, points, n_rows, size, seed))
+    # hot features are those of the drawn rows, which need not be the training points
+    drawn = cut_lineage(gather(points, draw_slots(points.sparkSession, n_rows, size, 1, seed), size, n_rows))
+    placement = st.split_placement(drawn, 1 + len(model.objective.weights()), placement.partitions)
+    plan = Plan(model.objective, Sgd(), placement)
+    return plan.mean(plan.stats(drawn, model.state))
 
 
 def score(model: Model, points: DataFrame) -> DataFrame:
@@ -277,7 +357,7 @@ def score(model: Model, points: DataFrame) -> DataFrame:
     return staged(stats, model.objective.stages()).select(F.col("slot").alias("row_id"), "label", *scores)
 
 
-def train_all(points: DataFrame, chain: str, **settings) -> dict[str, Model]:
+def train_all(points: DataFrame | ColumnStore, chain: str, **settings) -> dict[str, Model]:
     """Train several models, named as in ``"LR-SVM-FM"``, over the same points.
 
     The pass that counts and checks the rows is shared, and so are the batches, since the models advance side by side; a
@@ -286,14 +366,16 @@ def train_all(points: DataFrame, chain: str, **settings) -> dict[str, Model]:
     """
     profiles: dict[int, Profile] = {}
     runs, trained = {}, {}
-    names = chain.lower().split("-")
+    names, perceptrons = chain.lower().split("-"), ("mlp", "adammlp")
     for name in names:
         k = settings.get("k")
-        classes = (k or 2) if name == "mlp" else make_objective(name, k).classes
-        if classes not in profiles:
+        classes = (k or 2) if name in perceptrons else make_objective(name, k).classes
+        if classes not in profiles and isinstance(points, ColumnStore):
+            profiles[classes] = points.profile
+        elif classes not in profiles:
             profiles[classes] = profile_points(points, classes, settings.get("num_features"))
         own = {**settings, "profile": profiles[classes]}
-        if name == "mlp":
+        if name in perceptrons:
             trained[name] = train(points, name, **own)
             continue
         own.pop("hidden", None)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicegrad.functions.hashing import gaussian
-from slicegrad.functions.scalars import staged
+from slicegrad.functions.scalars import log1pexp, logistic_coef, signed_label, staged
 from slicegrad.operators import columns as co
 from slicegrad.operators import sampling as sa
 from slicegrad.operators import statistics as st
@@ -17,7 +17,8 @@ from slicegrad.operators.pagerank import pagerank, top_ranks
 from slicegrad.plans import mlp
 from slicegrad.plans.baselines import baseline, coefficients, predictions
 from slicegrad.plans.batches import profile_points
-from slicegrad.plans.objectives import Factorization, Hinge, Logistic, Objective, Softmax
+from slicegrad.plans.objectives import Adam, Factorization, Hinge, Logistic, Objective, Softmax
+from slicegrad.plans.store import store_columns
 from slicegrad.plans.train import evaluate, train, train_all
 from slicegrad.registry import datasets as ds
 from slicegrad.session import scratch_path
@@ -57,7 +58,10 @@ def to_columns(spark, sf):
 
 
 def to_blocks(spark, sf):
-    blocks = co.to_blocks(ds.event_points(spark, sf), 4, chunk_rows=1000)
+    return _described(co.to_blocks(ds.event_points(spark, sf), 4, chunk_rows=1000))
+
+
+def _described(blocks):
     total = F.aggregate("value", F.lit(0.0), lambda acc, x: acc + x)
     return blocks.select(
         "part",
@@ -69,6 +73,13 @@ def to_blocks(spark, sf):
     )
 
 
+def to_blocks_bounded(spark, sf):
+    """Blocks whose chunks hold at most 2,500 cells, of points with a growing number of them."""
+    points = ds.event_points(spark, sf)
+    kept = F.filter("features", lambda cell, i: i <= F.col("row_id") % 4)
+    return _described(co.to_blocks(points.withColumn("features", kept), 4, max_cells=2500))
+
+
 def feature_partition(spark, sf):
     feats = co.to_feats(ds.event_points(spark, sf))
     per_feature = feats.groupBy("feature").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
@@ -316,6 +327,26 @@ def train_fm_partitioned(spark, sf):
     return _partitioned(spark, sf, "fm", 4, step=0.01)
 
 
+def _from_store(spark, sf, model, k=None, **settings):
+    """Two runs from one stored split, of different seeds; the second one's weights."""
+    points = ds.click_points(spark, sf)
+    profile = profile_points(points, 2, ds.CLICK_FEATURES)
+    store = store_columns(points, profile=profile, columns=1 + (k or 0), partitions=spark.sparkContext.defaultParallelism, max_cells=200_000)
+    batch = profile.n_rows // BATCH_SHARE
+    train(store, model, k=k, step=0.1, reg=REG, batch_size=batch, iterations=1, seed=7, history=False)
+    trained = train(store, model, k=k, reg=REG, batch_size=batch, iterations=ITERATIONS, history=False, **settings)
+    store.close()
+    return _weights(trained)
+
+
+def train_lr_stored(spark, sf):
+    return _from_store(spark, sf, "lr", step=0.1)
+
+
+def train_fm_stored(spark, sf):
+    return _from_store(spark, sf, "fm", 4, step=0.01)
+
+
 class Squares(Objective):
     """Least squares, as a user would define a model of their own."""
 
@@ -346,6 +377,86 @@ class Squares(Objective):
         return {"score": F.col("s0")}
 
 
+class Gated(Objective):
+    """Logistic regression whose features compete, as a user would define a model of two passes.
+
+    The first pass sums a sample's gate level from the gates ``w1``. The second one sees it in every cell: the cell counts as
+    far as its own gate exceeds the level. On the way back, one more sum carries the gradient through the level to all gates.
+    """
+
+    name = "gated"
+
+    def touched_only(self):
+        return True
+
+    def weights(self):
+        return ["w0", "w1"]
+
+    def stats(self):
+        return ["level", "s0"]
+
+    def initial(self, feature, seed):
+        return {"w0": F.lit(0.0), "w1": gaussian(seed, feature, scale=0.5)}
+
+    def _gate(self):
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("level") - F.col("w1") * F.col("value")))
+
+    def _slope(self):
+        return F.col("w0") * F.col("value") * self._gate() * (1.0 - self._gate())
+
+    def passes(self):
+        return [{"level": F.col("w1") * F.col("value")}, {"s0": F.col("w0") * F.col("value") * self._gate()}]
+
+    def loss(self):
+        return log1pexp(-signed_label(F.col("label")) * F.col("s0"))
+
+    def returns(self):
+        return [{"pull": self._slope()}]
+
+    def coefs(self):
+        return {"c0": logistic_coef(F.col("s0"), F.col("label")), "level": F.col("level"), "pull": F.col("pull")}
+
+    def sums_see_weights(self):
+        return True
+
+    def sums(self):
+        value, c = F.col("value"), F.col("c0")
+        return {"g0": c * value * self._gate(), "g1": c * (self._slope() * value - F.col("pull") * value)}
+
+    def gradient(self):
+        return {"w0": F.col("g0"), "w1": F.col("g1")}
+
+    def scores(self):
+        return {"score": F.col("s0")}
+
+
+def train_gated(spark, sf):
+    """A user-defined model of two passes."""
+    return _weights(_fit(ds.event_points(spark, sf), Gated(), num_features=ds.EVENT_FEATURES))
+
+
+def train_gated_adam(spark, sf):
+    """The same under lazy Adam."""
+    points = ds.event_points(spark, sf)
+    return _weights(_fit(points, Gated(), num_features=ds.EVENT_FEATURES, step=0.05, optimizer=Adam()), moments=True)
+
+
+def train_gated_partitioned(spark, sf):
+    """The same for a model too large to broadcast."""
+    return _partitioned(spark, sf, Gated(), 2, step=0.1)
+
+
+def score_gated(spark, sf):
+    """Scores of a two-pass model, split by feature, over all rows."""
+    points = ds.click_points(spark, sf)
+    partitions = spark.sparkContext.defaultParallelism
+    model = _fit(
+        points, Gated(), num_features=ds.CLICK_FEATURES, partitions=partitions, step=0.1,
+        placement=st.split_placement(points, 3, partitions),
+    )
+    return model.score(points).select("row_id", "label", rounded(F.col("score")).alias("score"))
+
+
 def train_own(spark, sf):
     return _weights(_fit(ds.event_points(spark, sf), Squares(), num_features=ds.EVENT_FEATURES, step=0.05))
 
@@ -403,6 +514,7 @@ def score_partitioned(spark, sf):
 # ---------------------------------------------------------------------------------------- perceptron
 
 MLP_HIDDEN, MLP_ITERATIONS, MLP_SHARE = 4, 2, 5
+DEEP_HIDDEN, SPLIT_HIDDEN = [18, 5], [4, 3]
 
 
 def _initial_shares(spark, sf):
@@ -442,6 +554,48 @@ def history_mlp(spark, sf):
     return model.history.select("iter", *seen)
 
 
+def _layer_weights(model, moments: bool = False) -> DataFrame:
+    columns = ["w", "m", "v"] if moments else ["w"]
+    return model.weights(moments).select("layer", "i", "j", *[rounded(F.col(c)).alias(c) for c in columns])
+
+
+def train_mlp_deep(spark, sf):
+    """Two hidden layers, of which the first has several blocks."""
+    points = ds.embedding_points(spark, sf)
+    return _layer_weights(_fit(
+        points, "mlp", ds.EMBEDDING_CLASSES, MLP_SHARE, num_features=ds.EMBEDDING_SIZE, reg=0.0, iterations=MLP_ITERATIONS, hidden=DEEP_HIDDEN,
+    ))
+
+
+def train_mlp_adam(spark, sf):
+    """A perceptron under lazy Adam, with shrinking weights."""
+    points = ds.embedding_points(spark, sf)
+    return _layer_weights(_fit(
+        points, "adammlp", ds.EMBEDDING_CLASSES, MLP_SHARE, num_features=ds.EMBEDDING_SIZE, step=0.05, iterations=MLP_ITERATIONS, hidden=MLP_HIDDEN,
+    ), moments=True)
+
+
+def _split_mlp(spark, sf, **settings):
+    """A perceptron on the click log whose first layer and cells are split by feature, as for a large model."""
+    points = ds.click_points(spark, sf)
+    partitions = spark.sparkContext.defaultParallelism
+    placement = st.split_placement(points, 3 + max(SPLIT_HIDDEN), partitions)
+    return _fit(
+        points, "mlp", 2, num_features=ds.CLICK_FEATURES, partitions=partitions, placement=placement, step=0.1, reg=0.0,
+        iterations=MLP_ITERATIONS, hidden=SPLIT_HIDDEN, **settings,
+    )
+
+
+def train_mlp_partitioned(spark, sf):
+    return _layer_weights(_split_mlp(spark, sf))
+
+
+def history_mlp_partitioned(spark, sf):
+    """Batch loss and accuracy while a split perceptron with two hidden layers is trained."""
+    seen = [rounded(F.col(c)).alias(c) for c in ("batch_loss", "accuracy")]
+    return _split_mlp(spark, sf, history=True, valid_ratio=0).history.select("iter", *seen)
+
+
 # --------------------------------------------------------------------------------------------- graph
 
 
@@ -485,6 +639,7 @@ def all_queries() -> dict[str, Query]:
         "write_libsvm": write_libsvm,
         "to_columns": to_columns,
         "to_blocks": to_blocks,
+        "to_blocks_bounded": to_blocks_bounded,
         "feature_partition": feature_partition,
         "read_criteo": read_criteo,
         "criteo_features": criteo_features,
@@ -512,17 +667,27 @@ def all_queries() -> dict[str, Query]:
         "train_adamsvm": train_adamsvm,
         "train_lr_clicks": train_lr_clicks,
         "train_lr_partitioned": train_lr_partitioned,
+        "train_lr_stored": train_lr_stored,
+        "train_fm_stored": train_fm_stored,
         "train_fm_partitioned": train_fm_partitioned,
         "mlp_forward": mlp_forward,
         "mlp_metrics": mlp_metrics,
         "train_mlp": train_mlp,
         "history_mlp": history_mlp,
+        "train_mlp_deep": train_mlp_deep,
+        "train_mlp_adam": train_mlp_adam,
+        "train_mlp_partitioned": train_mlp_partitioned,
+        "history_mlp_partitioned": history_mlp_partitioned,
         "evaluate": evaluate_model,
         "history": history,
         "score": score,
         "evaluate_partitioned": evaluate_partitioned,
         "score_partitioned": score_partitioned,
         "train_own": train_own,
+        "train_gated": train_gated,
+        "train_gated_adam": train_gated_adam,
+        "train_gated_partitioned": train_gated_partitioned,
+        "score_gated": score_gated,
         "train_all": train_everything,
         "read_edges": read_edges,
         "pagerank": ranks,

@@ -58,9 +58,9 @@ def signed(key: str) -> str:
     return f"CASE WHEN {w} >= 2147483648 THEN {w} - 4294967296 ELSE {w} END"
 
 
-def gauss(key: str) -> str:
+def gauss(key: str, scale: float = 0.01) -> str:
     u = [f"(({word(key, p)} + 1.0::DOUBLE) / 4294967297.0::DOUBLE)" for p in (0, 1)]
-    return f"(0.01::DOUBLE * sqrt(-2.0::DOUBLE * ln({u[0]})) * cos(2.0::DOUBLE * pi() * {u[1]}))"
+    return f"({scale!r}::DOUBLE * sqrt(-2.0::DOUBLE * ln({u[0]})) * cos(2.0::DOUBLE * pi() * {u[1]}))"
 
 
 LOG1PEXP = "CASE WHEN ({0}) > 0 THEN ({0}) + ln(1 + exp(-({0}))) ELSE ln(1 + exp({0})) END"
@@ -345,6 +345,67 @@ def grad_sql() -> str:
     )
 
 
+def gated_unrolled(cells: str, features: int, iterations: int = ITERATIONS, step: float = STEP, reg: float = REG, adam: bool = False) -> str:
+    """Training of the two-pass model; the weights are ``m<iterations>(feature, w0, w1[, and moments])``."""
+    start = gauss(f"'{SEED}:' || f", 0.5)
+    names = ("w0", "w1")
+    moments = "".join(f", 0.0::DOUBLE AS {kind}_{n}" for n in names for kind in "mv") if adam else ""
+    parts = [
+        cells.strip(),
+        sizes(),
+        f"m0 AS MATERIALIZED (SELECT CAST(f AS INTEGER) AS feature, 0.0::DOUBLE AS w0, {start} AS w1{moments} FROM (SELECT unnest(range({features})) AS f))",
+    ]
+    shrink, b = f"{1 - reg!r}::DOUBLE", "(SELECT b FROM sizes)"
+    for t in range(iterations):
+        parts += [
+            slots(f"d{t}", t),
+            f"b{t} AS MATERIALIZED (SELECT slot, label, feature, x FROM d{t} JOIN cells USING (rid))",
+            *gated_forward(f"b{t}", f"m{t}", str(t)),
+            f"c{t} AS (SELECT slot, pull, CASE WHEN label > 0 THEN -1 / (1 + exp(s)) ELSE 1 / (1 + exp(-s)) END AS c FROM z{t})",
+            f"g{t} AS MATERIALIZED (SELECT feature, sum(c * x * gate) AS g0, sum(c * (w0 * x * x * gate * (1 - gate) - pull * x)) AS g1 "
+            f"FROM q{t} JOIN c{t} USING (slot) GROUP BY feature)",
+        ]
+        changed = []
+        for n, g in zip(names, ("g0", "g1")):
+            if not adam:
+                changed.append(f"{n} * {shrink} - {step!r}::DOUBLE / {b} * coalesce({g}, 0) AS {n}")
+                continue
+            moved, share = f"coalesce({g}, 0) <> 0", f"({g} / {b})"
+            m = f"(CASE WHEN {moved} THEN 0.9::DOUBLE * m_{n} * {shrink} + (1 - 0.9::DOUBLE) * {share} ELSE m_{n} * {shrink} END)"
+            v = f"(CASE WHEN {moved} THEN 0.99::DOUBLE * v_{n} * {shrink} + (1 - 0.99::DOUBLE) * {share} * {share} ELSE v_{n} * {shrink} END)"
+            rates = [f"(1 - pow({beta}::DOUBLE, {t + 1}))" for beta in (0.9, 0.99)]
+            new = f"{n} * {shrink} - {step!r}::DOUBLE / (sqrt({v} / {rates[1]}) + 1e-7::DOUBLE) * {m} / {rates[0]}"
+            changed += [f"CASE WHEN {moved} THEN {new} ELSE {n} * {shrink} END AS {n}", f"{m} AS m_{n}", f"{v} AS v_{n}"]
+        parts.append(f"m{t + 1} AS MATERIALIZED (SELECT feature, {', '.join(changed)} FROM m{t} LEFT JOIN g{t} USING (feature))")
+    return "WITH " + ",\n".join(parts)
+
+
+def gated_forward(batch: str, model: str, tag: str) -> list[str]:
+    return [
+        f"l{tag} AS MATERIALIZED (SELECT slot, sum(w1 * x) AS level FROM {batch} JOIN {model} USING (feature) GROUP BY slot)",
+        f"q{tag} AS MATERIALIZED (SELECT slot, label, feature, x, w0, 1 / (1 + exp(level - w1 * x)) AS gate "
+        f"FROM {batch} JOIN {model} USING (feature) JOIN l{tag} USING (slot))",
+        f"z{tag} AS MATERIALIZED (SELECT slot, max(label) AS label, sum(w0 * x * gate) AS s, sum(w0 * x * gate * (1 - gate)) AS pull "
+        f"FROM q{tag} GROUP BY slot)",
+    ]
+
+
+def gated_weights(cells: str, features: int, adam: bool = False, **settings) -> str:
+    rows = []
+    for k in (0, 1):
+        columns = [f"{rounded(c)} AS {n}" for c, n in ((f"w{k}", "w"), (f"m_w{k}", "m"), (f"v_w{k}", "v"))[: 3 if adam else 1]]
+        rows.append(f"SELECT feature, {k} AS k, {', '.join(columns)} FROM m{ITERATIONS}")
+    return gated_unrolled(cells, features, adam=adam, **settings) + "\n" + " UNION ALL ".join(rows)
+
+
+def gated_scores() -> str:
+    every = ["ball AS (SELECT rid AS slot, label, feature, x FROM cells)", *gated_forward("ball", f"m{ITERATIONS}", "all")]
+    return (
+        ",\n".join([gated_unrolled(CLICK_CELLS, CLICK_FEATURES, step=0.1), *every])
+        + f"\nSELECT slot AS row_id, label, {rounded('s')} AS score FROM zall"
+    )
+
+
 def pagerank_ctes(rounds: int) -> str:
     parts = [
         EDGES.strip(),
@@ -444,6 +505,81 @@ def history_mlp_sql() -> str:
     return ",\n".join([mlp_unrolled(), *valid]) + "\n" + " UNION ALL ".join(rows)
 
 
+def layers_unrolled(
+    cells: str, sizes_of: list[int], batch: int, iterations: int = MLP_ITERATIONS, step: float = STEP, reg: float = 0.0, adam: bool = False
+) -> str:
+    """A perceptron with the layers ``sizes_of``, from inputs to classes; the weights of layer ``l`` are ``w<iterations>_<l>``."""
+    last, moments = len(sizes_of) - 2, ", 0.0::DOUBLE AS m, 0.0::DOUBLE AS v" if adam else ""
+    parts = [cells.strip(), sizes(f"count(*) // {batch}")]
+    for layer, (rows, columns) in enumerate(zip(sizes_of, sizes_of[1:])):
+        key = f"'{SEED}:{layer}:' || i || ':' || j"
+        parts.append(
+            f"w0_{layer} AS MATERIALIZED (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {gauss(key)} AS w{moments} FROM "
+            f"(SELECT unnest(range({rows})) AS i) JOIN (SELECT unnest(range({columns})) AS j) ON true)"
+        )
+    b, shrink = "(SELECT b FROM sizes)", f"{1 - reg!r}::DOUBLE"
+    for t in range(iterations):
+        parts += [
+            slots(f"d{t}", t),
+            f"b{t} AS MATERIALIZED (SELECT slot, label, feature, x FROM d{t} JOIN cells USING (rid))",
+            f"a{t}_0 AS MATERIALIZED (SELECT slot, label, j, 1 / (1 + exp(-sum(w * x))) AS a FROM b{t} JOIN w{t}_0 ON i = feature "
+            "GROUP BY slot, label, j)",
+        ]
+        for layer in range(1, last + 1):
+            act = "sum(a * w)" if layer == last else "1 / (1 + exp(-sum(a * w)))"
+            parts.append(
+                f"a{t}_{layer} AS MATERIALIZED (SELECT slot, label, v.j, {act} AS a FROM a{t}_{layer - 1} h "
+                f"JOIN w{t}_{layer} v ON v.i = h.j GROUP BY slot, label, v.j)"
+            )
+        parts += [
+            f"p{t} AS MATERIALIZED (SELECT slot, label, j, exp(a) / sum(exp(a)) OVER (PARTITION BY slot) AS p FROM a{t}_{last})",
+            f"e{t}_{last} AS MATERIALIZED (SELECT slot, j, p - CASE WHEN j = label THEN 1 ELSE 0 END AS d FROM p{t})",
+        ]
+        for layer in range(last, 0, -1):
+            parts.append(
+                f"e{t}_{layer - 1} AS MATERIALIZED (SELECT h.slot, h.j, sum(v.w * e.d) * max(h.a) * (1 - max(h.a)) AS d "
+                f"FROM a{t}_{layer - 1} h JOIN w{t}_{layer} v ON v.i = h.j JOIN e{t}_{layer} e ON e.slot = h.slot AND e.j = v.j GROUP BY h.slot, h.j)"
+            )
+        for layer in range(last + 1):
+            inputs = f"b{t} h" if layer == 0 else f"a{t}_{layer - 1} h"
+            unit, value = ("feature", "x") if layer == 0 else ("j", "a")
+            parts.append(
+                f"g{t}_{layer} AS MATERIALIZED (SELECT h.{unit} AS i, e.j, sum(h.{value} * e.d) AS g FROM {inputs} "
+                f"JOIN e{t}_{layer} e USING (slot) GROUP BY h.{unit}, e.j)"
+            )
+            old = f"FROM w{t}_{layer} LEFT JOIN g{t}_{layer} USING (i, j)"
+            new = f"w{t + 1}_{layer} AS MATERIALIZED "
+            if not adam:
+                parts.append(f"{new}(SELECT i, j, w * {shrink} - {step!r}::DOUBLE / {b} * coalesce(g, 0) AS w {old})")
+                continue
+            parts += [
+                f"k{t}_{layer} AS (SELECT i, j, w * {shrink} AS w, m * {shrink} AS m, v * {shrink} AS v, coalesce(g, 0) <> 0 AS moved, "
+                f"coalesce(g / {b}, 0) AS g {old})",
+                f"n{t}_{layer} AS (SELECT i, j, w, moved, CASE WHEN moved THEN 0.9::DOUBLE * m + (1 - 0.9::DOUBLE) * g ELSE m END AS m, "
+                f"CASE WHEN moved THEN 0.99::DOUBLE * v + (1 - 0.99::DOUBLE) * g * g ELSE v END AS v FROM k{t}_{layer})",
+                f"{new}(SELECT i, j, CASE WHEN moved THEN w - {step!r}::DOUBLE / (sqrt(v / (1 - pow(0.99::DOUBLE, {t + 1}))) + 1e-7::DOUBLE) "
+                f"* m / (1 - pow(0.9::DOUBLE, {t + 1})) ELSE w END AS w, m, v FROM n{t}_{layer})",
+            ]
+    return "WITH " + ",\n".join(parts)
+
+
+def layer_weights_sql(cells: str, sizes_of: list[int], batch: int, adam: bool = False, **settings) -> str:
+    columns = ", ".join(f"{rounded(c)} AS {c}" for c in (("w", "m", "v") if adam else ("w",)))
+    rows = [f"SELECT {layer} AS layer, i, j, {columns} FROM w{MLP_ITERATIONS}_{layer}" for layer in range(len(sizes_of) - 1)]
+    return layers_unrolled(cells, sizes_of, batch, adam=adam, **settings) + "\n" + " UNION ALL ".join(rows)
+
+
+def layer_history_sql(cells: str, sizes_of: list[int], batch: int, **settings) -> str:
+    own = "max(CASE WHEN j = label THEN p END)"
+    rows = [
+        f"SELECT CAST({t} AS INTEGER) AS iter, {rounded('avg(-ln(own))')} AS batch_loss, "
+        f"{rounded('avg(CASE WHEN own >= top THEN 1.0 ELSE 0.0 END)')} AS accuracy "
+        f"FROM (SELECT slot, {own} AS own, max(p) AS top FROM p{t} GROUP BY slot)"
+        for t in range(MLP_ITERATIONS)
+    ]
+    return layers_unrolled(cells, sizes_of, batch, **settings) + "\n" + " UNION ALL ".join(rows)
+
+
 def mlp_weights_sql() -> str:
     t = MLP_ITERATIONS
     return (
@@ -489,6 +625,11 @@ def all_queries() -> dict[str, str]:
         "CAST(rid // 1000 AS INTEGER) AS chunk, rid AS row_id, label, feature, x AS value FROM cells",
         "to_blocks": f"{blocks}\nSELECT part, chunk, count(DISTINCT rid) AS n_rows, count(*) AS n_cells, "
         f"count(*) AS last_offset, {rounded('sum(x)')} AS total FROM placed GROUP BY part, chunk",
+        "to_blocks_bounded": f"{cells}, kept AS (SELECT rid, feature, x FROM cells WHERE (CASE WHEN feature = 0 THEN 0 WHEN feature <= 50 THEN 1 ELSE 2 END) <= rid % 4), "
+        "counted AS (SELECT rid, least(3, rid % 4 + 1) AS n FROM pts), "
+        "chunks AS (SELECT rid, CAST((sum(n) OVER (ORDER BY rid) - n) // 2498 AS INTEGER) AS chunk FROM counted)\n"
+        "SELECT CAST(feature % 4 AS INTEGER) AS part, chunk, count(DISTINCT rid) AS n_rows, count(*) AS n_cells, "
+        f"count(*) AS last_offset, {rounded('sum(x)')} AS total FROM kept JOIN chunks USING (rid) GROUP BY feature % 4, chunk",
         "feature_partition": f"{cells}\nSELECT CAST(feature % 4 AS INTEGER) AS part, "
         f"count(DISTINCT feature) AS n_features, count(*) AS n_cells, {rounded('sum(x)')} AS total "
         "FROM cells GROUP BY feature % 4",
@@ -528,6 +669,8 @@ def all_queries() -> dict[str, str]:
         "train_adamsvm": trained_weights("svm", events, EVENT_FEATURES, adam=True, step=0.05),
         "train_lr_clicks": trained_weights("lr", CLICK_CELLS, CLICK_FEATURES, step=0.1),
         "train_lr_partitioned": trained_weights("lr", CLICK_CELLS, CLICK_FEATURES, step=0.1),
+        "train_lr_stored": trained_weights("lr", CLICK_CELLS, CLICK_FEATURES, step=0.1),
+        "train_fm_stored": trained_weights("fm", CLICK_CELLS, CLICK_FEATURES, 5, step=0.01),
         "train_fm_partitioned": trained_weights("fm", CLICK_CELLS, CLICK_FEATURES, 5, step=0.01),
         "mlp_forward": f"{mlp_all_rows()}\nSELECT slot AS row_id, CAST(k AS INTEGER) AS k, {rounded('p')} AS p FROM p0",
         "mlp_metrics": f"{mlp_all_rows()}\nSELECT {rounded('avg(-ln(own))')} AS loss, "
@@ -535,11 +678,19 @@ def all_queries() -> dict[str, str]:
         "(SELECT slot, max(CASE WHEN k = label THEN p END) AS own, max(p) AS top FROM p0 GROUP BY slot)",
         "train_mlp": mlp_weights_sql(),
         "history_mlp": history_mlp_sql(),
+        "train_mlp_deep": layer_weights_sql(EMBEDDING_CELLS, [EMBEDDING_SIZE, 18, 5, EMBEDDING_CLASSES], 5),
+        "train_mlp_adam": layer_weights_sql(EMBEDDING_CELLS, [EMBEDDING_SIZE, MLP_HIDDEN, EMBEDDING_CLASSES], 5, adam=True, step=0.05, reg=REG),
+        "train_mlp_partitioned": layer_weights_sql(CLICK_CELLS, [CLICK_FEATURES, 4, 3, 2], BATCH_SHARE, step=0.1),
+        "history_mlp_partitioned": layer_history_sql(CLICK_CELLS, [CLICK_FEATURES, 4, 3, 2], BATCH_SHARE, step=0.1),
         "evaluate": evaluate_sql(),
         "history": history_sql(),
         "score": score_sql(),
         "evaluate_partitioned": evaluate_sql(),
         "score_partitioned": score_sql(),
+        "train_gated": gated_weights(events, EVENT_FEATURES),
+        "train_gated_adam": gated_weights(events, EVENT_FEATURES, adam=True, step=0.05),
+        "train_gated_partitioned": gated_weights(CLICK_CELLS, CLICK_FEATURES, step=0.1),
+        "score_gated": gated_scores(),
         "train_own": trained_weights("squares", events, EVENT_FEATURES, step=0.05),
         "train_all": chain_sql(),
         "read_edges": f"WITH {EDGES.strip()}\nSELECT src, dst, count(*) AS n FROM edges GROUP BY src, dst",

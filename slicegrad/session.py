@@ -96,10 +96,11 @@ def loop_settings(spark: SparkSession, shuffle_partitions: int):
 
     An iteration's sizes are known beforehand, so re-planning at run time only adds latency, and it could
     merge partitions of the model and so break the partitioning it shares with the data. Joins on several
-    columns may use a partitioning by one of them, the feature.
+    columns may use a partitioning by one of them, the feature; bucketed tables are read by bucket, also to write others.
     """
     wanted = {
         "spark.sql.adaptive.enabled": "false",
+        "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slicegrad.functions.hashing import hash_bucket, hash_sign, signed_hash
+from slicegrad.functions.hashing import hash_bucket, hash_sign, hash_word, signed_word
 from slicegrad.operators.columns import FEATURES_TYPE
 from slicegrad.sources.libsvm import format_line
 
@@ -56,7 +56,8 @@ def hash_features(
     Buckets whose signs cancel are dropped. One narrow pass: sums stay inside a row, so nothing is shuffled.
     """
     rows = hash_in_row(df, [F.col(row_id).alias("row_id")], "_cells", tokens, n_buckets, method, shift)
-    cells = rows.select("row_id", F.inline("_cells"))
+    # outer: for the plain form Spark derives a filter on the array's size, which it moves to the scan with all hashes in it
+    cells = rows.select("row_id", F.inline_outer("_cells")).where("feature is not null")
     return cells.select("row_id", F.col("feature").alias("bucket"), F.col("value").cast("bigint").alias("value"))
 
 
@@ -66,19 +67,21 @@ def hash_in_row(
 ) -> DataFrame:
     """The columns ``keep`` and the ``features`` array ``name`` of the same hashing, without any shuffle.
 
-    Bucket and sign of a token are folded into one number and the numbers of a row are sorted. In most
-    rows no two tokens share a bucket and every number is a cell already; otherwise one pass over the
-    numbers sums the signs of equal buckets. Numbers and bucket count are a projection of their own, used
-    more than once by the next one, so Spark computes them in generated code and once per row.
+    Every token is hashed once, in a projection of its own; what follows reads the hashes as columns. Bucket and sign of a
+    token are folded into one number and the numbers of a row are sorted. In most rows no two tokens share a bucket and
+    every number is a cell already; otherwise one pass over the numbers sums the signs of equal buckets. Numbers and
+    bucket count are again a projection, used more than once by the next one, so Spark computes them once per row.
     """
+    words = [f"_sg_word{i}" for i in range(len(tokens))]
+    hashed = df.select(*keep, *[F.when(t.isNotNull(), hash_word(t, method)).alias(w) for t, w in zip(tokens, words)])
     buckets, codes = [], []
-    for token in tokens:
-        h = signed_hash(token, method)
-        bucket = F.when(token.isNotNull(), hash_bucket(h, n_buckets)).otherwise(F.lit(-1))
+    for word in words:
+        h = signed_word(F.col(word), method)
+        bucket = F.when(F.col(word).isNotNull(), hash_bucket(h, n_buckets)).otherwise(F.lit(-1))
         buckets.append(bucket)
         codes.append(bucket * 2 + F.when(h >= 0, 1).otherwise(0))
-    coded = df.select(
-        *keep,
+    coded = hashed.select(
+        *[F.col(f"`{c}`") for c in hashed.columns if c not in words],
         F.sort_array(F.array(*codes)).alias("_codes"),
         F.size(F.array_distinct(F.array(*buckets))).alias("_distinct"),
     )

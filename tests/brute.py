@@ -102,6 +102,34 @@ def train_mlp(rows, features, hidden, classes, batch, iterations, step, seed=42)
     return w1, w2, seen
 
 
+def train_layers(rows, sizes, batch, iterations, step, reg=0.0, adam=False, seed=42):
+    x, y = dense(rows, sizes[0])
+    weights = [np.array([[gauss(seed, n, i, j) for j in range(b)] for i in range(a)]) for n, (a, b) in enumerate(zip(sizes, sizes[1:]))]
+    moments, seen = [(np.zeros_like(w), np.zeros_like(w)) for w in weights], []
+    for t in range(iterations):
+        picked = draws(len(rows), batch, t, seed)
+        acts, one = [x[picked]], np.eye(sizes[-1])[y[picked].astype(int)]
+        for w in weights[:-1]:
+            acts.append(1 / (1 + np.exp(-acts[-1] @ w)))
+        p = softmax(acts[-1] @ weights[-1])
+        own = (p * one).sum(axis=1)
+        seen.append((-np.log(own).mean(), (own >= p.max(axis=1)).mean()))
+        delta, grads = p - one, []
+        for h, w in zip(acts[::-1], weights[::-1]):
+            grads.append(h.T @ delta)
+            delta = (delta @ w.T) * h * (1 - h)
+        for n, g in enumerate(grads[::-1]):
+            w = weights[n] * (1 - reg)
+            if adam:
+                moved, (m, v) = g != 0, (z * (1 - reg) for z in moments[n])
+                m, v = np.where(moved, 0.9 * m + 0.1 * g / batch, m), np.where(moved, 0.99 * v + 0.01 * (g / batch) ** 2, v)
+                change = step / (np.sqrt(v / (1 - 0.99 ** (t + 1))) + 1e-7) * m / (1 - 0.9 ** (t + 1))
+                weights[n], moments[n] = np.where(moved, w - change, w), (m, v)
+            else:
+                weights[n] = w - step / batch * g
+    return weights, seen
+
+
 def mlp_loss(w1, w2, x, y):
     p = softmax(1 / (1 + np.exp(-x @ w1)) @ w2)
     return -np.log(p[np.arange(len(y)), y.astype(int)]).sum()

@@ -143,3 +143,20 @@ def test_pagerank_options(spark):
     assert best[0] == 0 and len(best) == 3
     shares = weigh_edges(df).groupBy("src").agg(F.sum("share").alias("s")).where("abs(s - 1) > 1e-12")
     assert shares.count() == 0
+
+
+def test_blocks_are_bounded_by_their_cells(spark, monkeypatch):
+    monkeypatch.setattr(co, "RANGE_ROWS", 8)
+    rows = [(0, {f: 1.0 for f in range(n)}) for n in [3, 0, 40, 7, 7, 7, 0, 300, 5, 5, 1, 60] * 9]
+    points = make_points(spark, rows)
+    chunks = {r.row_id: r.chunk for r in co.cell_chunks(points, 400).collect()}
+    assert len(chunks) == len(rows) and [chunks[i] for i in range(len(rows))] == sorted(chunks.values())
+    sizes = {}
+    for row, chunk in chunks.items():
+        sizes[chunk] = sizes.get(chunk, 0) + len(rows[row][1])
+    assert max(sizes.values()) <= 400 and len(sizes) < 60
+    blocks = co.to_blocks(points, 3, max_cells=400).collect()
+    assert sum(len(b.local) for b in blocks) == sum(len(c) for _, c in rows) and max(len(b.local) for b in blocks) <= 400
+    wide = make_points(spark, [(0, {f: 1.0 for f in range(100_000)}) for _ in range(3)])
+    blocks = co.to_blocks(wide, 4, max_cells=50_000).collect()
+    assert len(blocks) == 12 and {len(b.local) for b in blocks} == {25_000}

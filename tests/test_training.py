@@ -235,6 +235,49 @@ def test_features_beyond_the_given_number_raise(spark):
         train(make_points(spark, [(1, {-1: 1.0})]), "lr", step=0.1, batch_size=2, iterations=1, num_features=5)
 
 
-def test_the_perceptron_refuses_settings_it_lacks(spark):
-    with pytest.raises(ValueError, match="no optimizer"):
-        train(make_points(spark, [(1, {0: 1.0})]), "mlp", step=0.1, batch_size=2, iterations=1, optimizer=Adam())
+@pytest.mark.parametrize("kind,k", [("lr", 1), ("fm", 3)])
+@pytest.mark.parametrize("adam", [False, True])
+def test_stretches_of_a_large_model_equal_numpy(spark, monkeypatch, kind, k, adam):
+    """Features that a stretch does not touch shrink at its end as if in every iteration."""
+    monkeypatch.setattr("slicegrad.plans.train.MERGE_EVERY", 3)
+    rows = random_rows(n=40, density=0.15)
+    points = make_points(spark, rows)
+    model = train(
+        points, kind, k=k - 1 or None, step=0.3, reg=0.05, batch_size=4, iterations=8, num_features=FEATURES, partitions=3,
+        placement=split(points, k), optimizer=Adam() if adam else None, valid_every=5,
+    )
+    w, losses = brute.train(kind, rows, FEATURES, 4, 8, 0.3, 0.05, k, adam)
+    got = {(r.feature, r.k): r.w for r in model.weights().collect()}
+    for at, value in np.ndenumerate(w):
+        assert got[at] == pytest.approx(value, abs=1e-9)
+    np.testing.assert_allclose([r[1] for r in model.records], losses, atol=1e-9)
+    assert [r[2] is not None for r in model.records] == [t % 5 == 0 for t in range(8)]
+
+
+@pytest.mark.parametrize("hidden", [[6], [17, 5], [4, 18, 3]])
+@pytest.mark.parametrize("layout", ["small", "split"])
+@pytest.mark.parametrize("adam", [False, True])
+def test_layers_equal_numpy(spark, layout, hidden, adam):
+    rows = random_rows(classes=3, n=30)
+    rows[4] = (1, {})
+    points = make_points(spark, rows)
+    extra = {"placement": split(points, 6), "partitions": 3} if layout == "split" else {}
+    model = train(
+        points, "adammlp" if adam else "mlp", k=3, step=0.05 if adam else 2.0, reg=0.01 if adam else 0.0, batch_size=15, iterations=2,
+        hidden=hidden, num_features=FEATURES, **extra,
+    )
+    weights, seen = brute.train_layers(rows, [FEATURES, *hidden, 3], 15, 2, 0.05 if adam else 2.0, 0.01 if adam else 0.0, adam)
+    got = {(r.layer, r.i, r.j): r.w for r in model.weights().collect()}
+    assert len(got) == sum(w.size for w in weights)
+    for layer, w in enumerate(weights):
+        for (i, j), value in np.ndenumerate(w):
+            assert got[layer, i, j] == pytest.approx(value, abs=1e-9)
+    np.testing.assert_allclose([(r[1], r[3]) for r in model.records], seen, atol=1e-9)
+    scored = model.score(points)
+    assert scored.count() == len(rows) and scored.where(F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1) > 1e-9).count() == 0
+    assert 0 < model.evaluate(points, len(rows), 0.5).first().loss < 3
+
+
+def test_a_perceptron_needs_a_hidden_layer(spark):
+    with pytest.raises(ValueError, match="hidden layer"):
+        train(make_points(spark, [(1, {0: 1.0})]), "mlp", step=0.1, batch_size=2, iterations=1, hidden=[])
