@@ -260,7 +260,7 @@ def gaussian_init(spark, sf):
 
 
 def _fit(points: DataFrame, model, k=None, share: int = BATCH_SHARE, **settings):
-    classes = k if model == "mlr" or model == "mlp" else 2
+    classes = k if model in ("mlr", "mlp", "adammlp") else 2
     profile = profile_points(points, classes or 2, settings.pop("num_features", None))
     defaults = {"step": STEP, "reg": REG, "iterations": ITERATIONS, "history": False}
     return train(
