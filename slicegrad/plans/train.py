@@ -78,6 +78,7 @@ class Plan:
         known = batch_size if batch_size > 1 else None  # one: rows of any number
         self.forward = [st.SampleStats(terms, placement, known) for terms in objective.passes()]
         self.back = [st.SampleStats(terms, placement, known) for terms in objective.returns()]
+        self.reads_once = not (self.back or objective.sums_see_weights())  # the weights, in an update
         self.stages = objective.stages()
         self.sums_of = st.FeatureSums(objective.coefs(), objective.sums(), placement, batch_size, objective.sums_see_weights())
         self.mean_loss = F.avg(objective.loss())
@@ -267,6 +268,9 @@ class Run:
         of the iteration before and sums the new statistics, which are all it writes; the updated rows are kept in memory, and
         follow again from the stretch's first rows and the written statistics if an executor is lost. The stretch's end
         merges them into the model. So what is written follows the batches, but for the merge.
+
+        A plan over kept rows holds the plan that made them, once for every reading. An update that reads the weights several
+        times would make it grow by a power per iteration, so its rows are written as well.
         """
         if self._part is None:
             self._first = t
@@ -276,7 +280,8 @@ class Run:
             self._part = cut_lineage(self.plan.part(self.state, reader.touched(t, self._end)))
         batch, held = reader.batch(t), None
         if self._last:
-            held, self._part = self._part, self.plan.step(*self._last, self._part).persist()
+            held, self._part = self._part, self.plan.step(*self._last, self._part)
+            self._part = self._part.persist() if self.plan.reads_once else cut_lineage(self._part)
         stats = cut_lineage(self.plan.stats(batch, self._part))
         if held is not None and t - self._first > 1:
             held.unpersist()

@@ -237,6 +237,25 @@ def test_a_large_model_writes_statistics_and_merges_now_and_then(spark, monkeypa
         assert "Exchange hashpartitioning" not in executed(plan.merged(state, cut_lineage(part), 3))
 
 
+def test_the_plan_of_a_large_model_does_not_grow_with_its_iterations(spark, monkeypatch):
+    """What an iteration plans over is written: no plan holds those of the iterations before."""
+    from slicegrad.registry.jobs import Gated
+
+    seen = []
+    stats = Plan.stats
+
+    def watched(self, batch, state):
+        seen.append(len(state._jdf.queryExecution().optimizedPlan().toString()))
+        assert "InMemory" not in executed(state) and len(seen) <= 5
+        return stats(self, batch, state)
+
+    monkeypatch.setattr(Plan, "stats", watched)
+    points = make_points(spark, skewed_rows(60))
+    settings = {"step": 0.1, "batch_size": 8, "iterations": 5, "num_features": 200, "partitions": 2, "history": False}
+    train(points, Gated(), placement=st.split_placement(points, 3, 2), **settings)
+    assert len(seen) == 5 and max(seen) < 1000
+
+
 def test_a_second_run_draws_from_the_store_without_the_points(spark, tmp_path, monkeypatch):
     make_points(spark, skewed_rows()).write.parquet(str(tmp_path / "points"))
     points = spark.read.parquet(str(tmp_path / "points"))
