@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slicegrad.session import BROADCAST_BYTES, bounded_broadcast, fits_broadcast
+from slicegrad.session import BROADCAST_BYTES, BROADCAST_ROW, bounded_broadcast, fits_broadcast
 
 
 @dataclass
@@ -87,7 +87,7 @@ def heavy_features(points: DataFrame, limit: int) -> tuple[list[int], int]:
 
 def split_placement(points: DataFrame, columns: int, partitions: int) -> Placement:
     """The placement for a large model: finds the hot features of these points in one aggregation over the cells."""
-    limit = min(HOT_PER_PARTITION * partitions, BROADCAST_BYTES // (columns * 8 + 16))
+    limit = min(HOT_PER_PARTITION * partitions, BROADCAST_BYTES // (columns * 8 + BROADCAST_ROW))
     heavy, _ = heavy_features(points, limit)
     return Placement(partitions, points.sparkSession.createDataFrame([(feature,) for feature in heavy], "feature int"))
 

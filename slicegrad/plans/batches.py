@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from slicegrad.operators.sampling import draw_slots
 from slicegrad.operators.statistics import Placement, SplitBatch
-from slicegrad.session import delete_path, scratch_path
+from slicegrad.session import delete_path, fits_broadcast, scratch_path
 
-#: Samples drawn per pass over the data; as a broadcast table of 40-byte rows they stay below 64 MB.
+#: Samples drawn per pass over the data, or as many as the data has rows. A pass costs a scan and, for more slots than a
+#: broadcast takes, a shuffle of the rows; it leaves about as many rows as it draws.
 SLOTS_PER_PASS = 1_500_000
+#: Columns of a slot.
+SLOT_COLUMNS = 3
 #: Slots and points that one task of a shuffled draw should hold.
 SLOTS_PER_TASK = 500_000
 ROWS_PER_TASK = 1_000_000
@@ -62,16 +65,17 @@ def profile_points(points: DataFrame, classes: int, num_features: int | None = N
 def gather(points: DataFrame, slots: DataFrame, n_slots: int, n_rows: int) -> DataFrame:
     """Fetch the drawn rows: ``(t, slot, label, features)``.
 
-    Up to ``SLOTS_PER_PASS`` slots, at most 64 MB, are broadcast, so the points are scanned where they lie
+    Slots that a broadcast takes go to the points, which are scanned where they lie
     and only drawn rows move. A larger draw is joined by row id, which is unique in the points, over
-    partitions sized by both sides, whatever the setting a loop has made for its model.
+    partitions sized by both sides, whatever the setting a loop has made for its model; the slots of a
+    partition are hashed, and the points stream past them unsorted.
     """
-    if n_slots <= SLOTS_PER_PASS:
+    if fits_broadcast(n_slots, SLOT_COLUMNS):
         slots = F.broadcast(slots)
     else:
         cores = points.sparkSession.sparkContext.defaultParallelism
         parts = max(cores, n_slots // SLOTS_PER_TASK + 1, n_rows // ROWS_PER_TASK + 1)
-        points, slots = points.repartition(parts, "row_id"), slots.repartition(parts, "row_id")
+        points, slots = points.repartition(parts, "row_id"), slots.repartition(parts, "row_id").hint("shuffle_hash")
     return points.join(slots, "row_id").select("t", "slot", "label", "features")
 
 
@@ -91,7 +95,7 @@ class BatchReader:
         self.points, self.n_rows, self.batch_size = points, n_rows, batch_size
         self.iterations, self.seed = iterations, seed
         self.files = -(-batch_size // rows_per_file)
-        self.group = max(1, min(iterations, SLOTS_PER_PASS // batch_size))
+        self.group = max(1, min(iterations, max(SLOTS_PER_PASS, n_rows) // batch_size))
         self._first, self._table, self._paths = None, None, []
 
     def _tasks(self, count: int) -> int:
@@ -114,10 +118,13 @@ class BatchReader:
         spark = self.points.sparkSession
         path = scratch_path(spark, name)
         self._paths.append(path)
-        placed = rows.repartition(self._tasks(count), "t", F.col("slot") % self.files)
-        placed.write.partitionBy("t").parquet(path)
+        self._add(rows, path, count)
         return spark.read.schema(schema).parquet(path)
 
+    def _add(self, rows: DataFrame, path: str, count: int) -> None:
+        placed = rows.repartition(self._tasks(count), "t", F.col("slot") % self.files)
+        placed.write.mode("append").partitionBy("t").parquet(path)
+
     def close(self) -> None:
         """Delete the written rows; the caller keeps nothing that still reads them."""
         while self._paths:

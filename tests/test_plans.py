@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from slicegrad.functions import scalars as S
 from slicegrad.operators import statistics as st
 from slicegrad.operators.pagerank import count_pairs, weigh_pairs
+from slicegrad.operators.sampling import draw_slots
 from slicegrad.plans import layers, mlp
+from slicegrad.plans import store as store_module
 from slicegrad.plans import train as train_module
-from slicegrad.plans.batches import BatchReader, SplitReader
+from slicegrad.plans.batches import BatchReader, SplitReader, gather
 from slicegrad.plans.objectives import Adam, Logistic, Sgd, Softmax
 from slicegrad.plans.store import store_columns
 from slicegrad.plans.train import Plan, evaluate, initial_state, train
@@ -282,6 +284,32 @@ def test_a_second_run_draws_from_the_store_without_the_points(spark, tmp_path, m
     store.close()
 
 
+def test_a_large_draw_is_not_broadcast(spark):
+    """A slot takes some 90 bytes of a broadcast: 1,350,000 of them took 134 MB."""
+    points = make_points(spark, skewed_rows())
+    for n_slots, near in ((100_000, True), (400_000, False)):
+        text = executed(gather(points, draw_slots(spark, 400, n_slots), n_slots, 400))
+        assert ("BroadcastHashJoin" in text) == near and ("ShuffledHashJoin" in text) != near
+    with loop_settings(spark, 4):  # nor does Spark's own estimate decide
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+
+
+def test_a_store_is_drawn_from_in_pieces(spark, monkeypatch):
+    points = make_points(spark, skewed_rows())
+    store = store_columns(points, num_features=200, columns=1, partitions=4, max_cells=300)
+    settings = {"step": 0.1, "reg": 0.01, "batch_size": 20, "iterations": 3, "valid_ratio": 0.1, "valid_every": 1}
+    assert store_module.pieces_of(100_000) == 1 and store_module.pieces_of(1_350_000) > 8
+    models = []
+    for pieces in (1, 3):
+        monkeypatch.setattr(store_module, "pieces_of", lambda n, pieces=pieces: pieces)
+        models.append(train(store, "lr", **settings))
+    got, want = ({r.feature: r.w for r in m.weights().collect()} for m in models)
+    assert got == pytest.approx(want)
+    for mine, other in zip(models[1].records, models[0].records):
+        assert mine[1] == pytest.approx(other[1]) and mine[2] == pytest.approx(other[2])
+    store.close()
+
+
 def test_no_python_in_the_loop(spark):
     _, _, plan, state, batch = split_setup(spark)
     with loop_settings(spark, 4):
