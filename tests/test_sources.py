@@ -47,6 +47,14 @@ def test_libsvm_round_trip(spark, tmp_path):
     assert plain(back) == plain(points)
 
 
+def test_libsvm_keeps_cells_of_value_zero(spark, tmp_path):
+    points = make_points(spark, [(1, {0: 0.0, 3: 2.5}), (0, {2: 0.0})])
+    path = str(tmp_path / "out")
+    libsvm.write_libsvm(points, path)
+    back = sorted((r.label, [tuple(c) for c in r.features]) for r in libsvm.scan_libsvm(spark, path).collect())
+    assert back == [(0.0, [(2, 0.0)]), (1.0, [(0, 0.0), (3, 2.5)])]
+
+
 def test_libsvm_agrees_with_the_native_reader(spark, tmp_path):
     path = str(tmp_path / "out")
     libsvm.write_libsvm(make_points(spark, random_rows(n=20)), path)
