@@ -228,9 +228,11 @@ def _sketches(shingle, batches):
     import xxhash
 
     for batch in batches:
-        nodes, least = [], np.zeros((batch.num_rows, SKETCH), np.uint64)
+        nodes, prints, least = [], [], np.zeros((batch.num_rows, SKETCH), np.uint64)
         for k, text in enumerate(batch.column("text")):
-            hashes = shingle_set(text.as_buffer().to_pybytes(), shingle)
+            text = text.as_buffer().to_pybytes()
+            prints.append(fingerprint(text))
+            hashes = shingle_set(text, shingle)
             nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
             least[k] = sketch(hashes)
         lanes = ((least >> np.uint64(16)) & np.uint64(255)).astype(np.uint8).view(np.int64)
@@ -239,8 +241,8 @@ def _sketches(shingle, batches):
             parts = (parts ^ least[:, k : BANDS * BAND_ROWS : BAND_ROWS]) * np.uint64(0x9E3779B97F4A7C15)
             parts ^= parts >> np.uint64(32)
         cells = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (lanes, parts)]
-        columns = [*(batch.column(c) for c in ("key", "k1", "k2")), pa.array(np.array(nodes, np.uint64).view(np.int64)), *cells]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "k1", "k2", "node", "lanes", "parts"])
+        columns = [*(batch.column(c) for c in ("key", "k1", "k2")), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.int64()), *cells]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "k1", "k2", "node", "fp", "lanes", "parts"])
 
 
 def near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -298,6 +300,20 @@ def _links(batches):
         held = [x[stop:] for x in held]
 
 
+def print_links(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """``a, b``: links that connect the nodes of ``prints(node, fp)`` whose fingerprints differ in at most ``distance`` bits.
+
+    Nodes of equal fingerprints hang on the least of them, and the least ones of fingerprints in a ring are linked, so a
+    fingerprint that many texts share is one row in the ring join.
+    """
+    firsts, _ = saved(prints.groupBy("fp").agg(F.min("node").alias("first")), "firsts")  # a table: rows of a frequent fingerprint can be split
+    same = prints.select("node", "fp").dropDuplicates().join(firsts, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ring = ring_links(firsts, distance)
+    for end in ("a", "b"):
+        ring = ring.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")), end)
+    return same.union(ring.select("a_node", "b_node")).filter("a <> b").dropDuplicates()
+
+
 def copy_links(classes: DataFrame) -> DataFrame:
     """``a, b``: links that connect all likely copies among ``classes(node, lanes, parts)`` which share a band.
 
@@ -423,19 +439,20 @@ def exact_links(members: DataFrame, shingle: int) -> DataFrame:
 def copy_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """``key, component_id``: groups of copies whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
-    Such copies differ in some 15 % of a SimHash's bits, too many for exact segments. Candidates come from least hashes
-    of the set, whose chance to agree is the similarity itself, whether words were exchanged, cut or added: texts that
-    share a band and half of their sketches are linked. Groups of such links contain all groups of copies; within them
-    the texts are compared by their shingles, and only pairs of 0.8 or more stay linked.
+    Candidates are all texts whose SimHash fingerprints lie in a ring, as in :func:`near_duplicates`. Copies of 0.8 can differ
+    in some 15 % of a fingerprint's bits, too many for exact segments, so texts that share a band and half of their
+    sketches of least hashes are candidates as well: their chance to agree is the similarity itself, whether words were
+    exchanged, cut or added. Groups of such links contain all groups of copies; within them the texts are compared by
+    their shingles, and only pairs of 0.8 or more stay linked.
     """
     slim = docs.select(F.col(f"`{key}`").alias("key"), text_of(text).alias("text"))
     slim = slim.withColumn("k1", F.xxhash64("key", "text")).withColumn("k2", F.xxhash64(F.lit(1), "key", "text"))
     kind = slim.schema["key"].dataType.simpleString()
-    prints = slim.mapInArrow(lambda batches: _sketches(shingle, batches), f"key {kind}, k1 long, k2 long, node long, lanes array<long>, parts array<long>")
+    prints = slim.mapInArrow(lambda batches: _sketches(shingle, batches), f"key {kind}, k1 long, k2 long, node long, fp long, lanes array<long>, parts array<long>")
     prints, _ = saved(prints, "sketches")
     one = [F.min("key").alias("least"), F.min(F.struct("k1", "k2")).alias("row"), F.any_value("lanes").alias("lanes"), F.any_value("parts").alias("parts")]
     classes, classes_path = saved(prints.groupBy("node").agg(*one), "classes")
-    likely, likely_path = saved(components(copy_links(classes.select("node", "lanes", "parts"))), "likely")
+    likely, likely_path = saved(components(print_links(prints).union(copy_links(classes.select("node", "lanes", "parts")))), "likely")
     chosen = classes.join(likely, "node").select("root", "node", F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"))
     members = slim.select("k1", "k2", "text").join(chosen, ["k1", "k2"]).select("root", "node", "text").dropDuplicates(["node"])
     members, members_path = saved(members, "members")

@@ -392,6 +392,27 @@ def test_copies_with_changes_are_found(spark):
     assert sorted(group[d] for d in kept) == list(range(60)) and all(d % 3 == 0 for d in kept)
 
 
+def test_copies_are_found_by_fingerprints_alone(spark, monkeypatch):
+    monkeypatch.setattr(simhash_rings, "copy_links", lambda classes: spark.createDataFrame([], "a long, b long"))
+    rng = random.Random(4)
+    words = [[f"w{rng.randrange(10**7)}" for _ in range(2500)] for _ in range(20)]
+    rows = [(2 * g + c, " ".join([*w, f"end{g}"] if c else w)) for g, w in enumerate(words) for c in (0, 1)]
+    bits = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    prints = [simhash_rings.fingerprint(t.encode()) for _, t in rows]
+    want = {2 * g + 1: 2 * g if bits(prints[2 * g], prints[2 * g + 1]) <= 2 else 2 * g + 1 for g in range(20)}
+    got = {r.key: r.component_id for r in simhash_rings.copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want | {2 * g: 2 * g for g in range(20)} and len(set(got.values())) <= 25
+
+
+def test_fingerprint_links_connect_equal_and_near_ones(spark):
+    rows = [(5, 0), (3, 0), (9, 0), (4, 3), (7, 3), (8, 3 << 20), (1, 2**62 - 1), (1, 0), (1, 0)]
+    links = simhash_rings.print_links(spark.createDataFrame(rows, "node long, fp long"))
+    got = {r.node: r.root for r in simhash_rings.components(links).collect()}
+    assert got == {1: 1, 3: 1, 4: 1, 5: 1, 7: 1, 8: 1, 9: 1}
+    far = spark.createDataFrame([(1, 0), (2, 7), (3, 7)], "node long, fp long")
+    assert rows_of(simhash_rings.print_links(far)) == [(2, 3)]
+
+
 def test_bucket_links_join_large_and_small_buckets():
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 2**63, (6, 12), dtype=np.uint64)
