@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slicegrad.operators.sampling import merge_partitions, round_robin, sample_rows
+from slicegrad.session import stored_bytes
+
+#: Text of the vectors in a partition. A trainer that keeps them as vectors or stacked blocks needs some 25 times as much.
+VECTOR_TEXT_BYTES = 8 << 20
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -41,13 +45,13 @@ def load_vectors(
 ) -> DataFrame:
     """Row-wise ``(label, features VECTOR)`` for the row-partitioned trainers.
 
-    With ``shuffle`` the rows are spread evenly; without it, existing splits are only merged. The caller keeps and frees
-    them if they are read more than once.
+    With ``shuffle`` the rows are spread evenly over ``partitions``, or over more if these would be large; without it,
+    existing splits are only merged. The caller keeps and frees them if they are read more than once.
     """
     reader = spark.read.format("libsvm")
     if num_features:
         reader = reader.option("numFeatures", str(num_features))
     rows = reader.load(path)
-    if partitions:
-        rows = round_robin(rows, partitions) if shuffle else merge_partitions(rows, partitions)
-    return rows
+    if partitions and shuffle:
+        return round_robin(rows, max(partitions, -(-stored_bytes(spark, path) // VECTOR_TEXT_BYTES)))
+    return merge_partitions(rows, partitions) if partitions else rows

@@ -69,6 +69,17 @@ def test_libsvm_agrees_with_the_native_reader(spark, tmp_path):
     assert merged.rdd.getNumPartitions() == 1
 
 
+def test_vector_partitions_grow_with_the_text(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    libsvm.write_libsvm(make_points(spark, random_rows(n=60)).repartition(3), path)
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("part-*"))
+    monkeypatch.setattr(texts, "VECTOR_TEXT_BYTES", size // 6)
+    for name in (path, path + "/part-*"):
+        rows = texts.load_vectors(spark, name, 12, 2)
+        assert rows.rdd.getNumPartitions() in (6, 7) and rows.count() == 60
+        assert texts.load_vectors(spark, name, 12, 9).rdd.getNumPartitions() == 9
+
+
 def click_line(label, integers, categories):
     integers = [integers.get(i, "") for i in range(1, 14)]
     categories = [categories.get(i, "") for i in range(1, 27)]
