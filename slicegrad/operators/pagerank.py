@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicegrad.operators.statistics import HOT_PER_PARTITION
-from slicegrad.session import cut_lineage, loop_settings
+from slicegrad.session import cut_lineage, loop_settings, written
 
-EDGES_PER_PARTITION = 2_000_000
+#: What a round sends is summed per partition and vertex first, so it grows with the partitions up to the edges' number. A
+#: partition therefore holds many pairs, 240 MB as columns, of which a round keeps only the sums.
+EDGES_PER_PARTITION = 10_000_000
 #: Rounds planned as one job. The second reads the first twice, but both reads share its shuffle.
 ROUNDS_PER_JOB = 2
 
@@ -17,9 +19,10 @@ def count_pairs(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """``pairs(src, dst, n)`` of the edges, ``degrees(src, degree, fan)`` and the number of pairs.
 
     Parallel edges count separately in ``degree`` and are folded into one pair, so later rounds read each pair once. Edges
-    are read once; both sums are combined before they are shuffled, so a hub is a few rows when its degree is summed.
+    are read once; both sums are combined before they are shuffled, so a hub is a few rows when its degree is summed. Pairs
+    are by far the most rows, so they are written as columns, which take a fraction of a checkpoint's bytes.
     """
-    pairs = cut_lineage(edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    pairs = written(edges.groupBy("src", "dst").agg(F.count("*").alias("n")), "pairs")
     fan = F.count("*").alias("fan")
     degrees = cut_lineage(pairs.groupBy("src").agg(F.sum("n").alias("degree"), fan))
     return pairs, degrees, degrees.agg(F.sum("fan")).first()[0] or 0
@@ -61,7 +64,7 @@ def pagerank(
     )
     with loop_settings(spark, partitions):
         cold, hot = weigh_pairs(pairs, degrees, n_edges, partitions)
-        # Read in every round: from memory, or from the checkpoint where a cached part was lost.
+        # Read in every round: from memory, or made anew from the written pairs where a cached part was lost.
         edges_kept = [cold.persist()] + ([hot[0].persist()] if hot else [])
         ids = degrees.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id")))
         state = ids.distinct().select(
@@ -91,18 +94,18 @@ def weigh_pairs(pairs: DataFrame, degrees: DataFrame, n_pairs: int, partitions:
 
     A hub holds more than ``1 / (4 * partitions)`` of all pairs and would overload the partition of its source; there are
     at most four per partition, so their degrees and changes are safe to broadcast, and their pairs stay spread. Hubs are
-    known before the degrees are joined, and ordinary pairs keep the partitioning of that join in every round.
+    known before the degrees are joined, and ordinary pairs keep the partitioning of that join in every round. Nothing is
+    written: the caller keeps what it reads more than once.
     """
     limit = HOT_PER_PARTITION * partitions
     found = degrees.where(F.col("fan") * limit > n_pairs).select("src", "degree").take(limit) if partitions > 1 else []
     weights = degrees.select("src", "degree").repartition(partitions, "src")
     if not found:
-        return cut_lineage(_shares(pairs.repartition(partitions, "src"), weights)), None
+        return _shares(pairs.repartition(partitions, "src"), weights), None
     hubs = F.broadcast(pairs.sparkSession.createDataFrame([tuple(row) for row in found], "src bigint, degree bigint"))
     cold = pairs.join(hubs, "src", "left_anti").repartition(partitions, "src")
-    cold = cut_lineage(_shares(cold, weights))
-    hot = cut_lineage(_shares(pairs, hubs).repartition(partitions))
-    return cold, (hot, hubs.select("src"))
+    hot = _shares(pairs, hubs).repartition(partitions)
+    return _shares(cold, weights), (hot, hubs.select("src"))
 
 
 def _round(state: DataFrame, cold: DataFrame, hot, tol: float, damping: float) -> DataFrame:

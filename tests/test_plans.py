@@ -349,3 +349,14 @@ def test_hubs_are_set_apart_before_the_degree_join(spark):
         assert [r.src for r in hubs.collect()] == [0]
         assert {r.src for r in hot.collect()} == {0} and cold.where("src = 0").isEmpty()
         assert cold.rdd.getNumPartitions() == 4
+
+
+def test_pairs_are_written_once_and_as_columns(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1, 100)], "src long, dst long")
+    pairs, degrees, n_pairs = count_pairs(edges)
+    assert pairs.inputFiles() and n_pairs == pairs.count() == 398
+    with loop_settings(spark, 4):
+        cold, (hot, hubs) = weigh_pairs(pairs, degrees, n_pairs, 4)
+        assert set(cold.inputFiles()) == set(hot.inputFiles()) == set(pairs.inputFiles())  # no copies of them
+        shares = cold.union(hot).groupBy("src").agg(F.sum("share").alias("s"))
+        assert shares.count() == 100 and shares.where("abs(s - 1) > 1e-12").isEmpty()
