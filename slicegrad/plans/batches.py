@@ -44,7 +44,7 @@ def profile_points(points: DataFrame, classes: int, num_features: int | None = N
         F.min("row_id").alias("low"),
         F.max("row_id").alias("high"),
     ]
-    indices = F.transform("features", lambda cell: cell["feature"])
+    indices = F.col("features")["feature"]  # of all cells
     facts += [F.max(F.array_max(indices)).alias("top"), F.min(F.array_min(indices)).alias("bottom")]
     found = points.agg(*facts).first()
     if not found["n"]:

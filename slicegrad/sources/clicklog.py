@@ -109,7 +109,8 @@ def hash_in_row(
     nothing = F.array().cast(FEATURES_TYPE)
     start = F.struct(nothing.alias("done"), F.lit(-1).alias("bucket"), F.lit(0).alias("total"))
     summed = F.aggregate("_codes", start, merge, closed)
-    plain = F.transform("_codes", lambda code: cell(F.shiftright(code, 1), sign(code)))
+    each = [F.get("_codes", F.lit(i)) for i in range(len(tokens))]  # as generated code; a lambda would be interpreted per cell
+    plain = F.array(*[cell(F.shiftright(code, 1), sign(code)) for code in each])
     unshared = (F.col("_distinct") == len(tokens)) & (F.get("_codes", F.lit(0)) >= 0)
     return coded.select(*names, F.when(unshared, plain).otherwise(summed).cast(FEATURES_TYPE).alias(name))
 

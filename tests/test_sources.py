@@ -159,3 +159,11 @@ def test_edges_and_text(spark, tmp_path):
     texts.sample_text(spark, source, str(tmp_path / "some"), 0.3, seed=1)
     kept = [r[0] for r in spark.read.text(str(tmp_path / "some")).collect()]
     assert 200 < len(kept) < 400 and len(set(kept)) == len(kept)
+
+
+def test_cells_of_unshared_buckets_come_from_generated_code(spark):
+    tokens = [F.concat(F.lit(f"{i}:"), F.col("id").cast("string")) for i in range(5)]
+    hashed = clicklog.hash_in_row(spark.range(300), [F.col("id")], "cells", tokens, 64)
+    plan = hashed._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "aggregate(" in plan  # the lambda is left to rows that share a bucket
+    assert hashed.where("size(cells) = 5").count() > 100 and hashed.where("size(cells) < 5").count() > 10
