@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +90,8 @@ def split_placement(points: DataFrame, columns: int, partitions: int) -> Placeme
     """The placement for a large model: finds the hot features of these points in one aggregation over the cells."""
     limit = min(HOT_PER_PARTITION * partitions, BROADCAST_BYTES // (columns * 8 + BROADCAST_ROW))
     heavy, _ = heavy_features(points, limit)
-    return Placement(partitions, points.sparkSession.createDataFrame([(feature,) for feature in heavy], "feature int"))
+    # a table of Spark's own: one made of Python rows would start Python workers wherever it is read, so in every iteration
+    return Placement(partitions, points.sparkSession.createDataFrame(pa.table({"feature": pa.array(heavy, pa.int32())})))
 
 
 def split_cells(batch: DataFrame, placement: Placement, *extra: str) -> tuple[DataFrame | None, DataFrame]:

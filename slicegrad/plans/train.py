@@ -127,9 +127,12 @@ class Plan:
         features, of which there are no more than a broadcast takes.
         """
         stats, weights = staged(stats, self.stages), state.select(*self._weights)
-        for sums in self.back:
-            stats = sums(batch, weights, cut_lineage(stats))
-        if isinstance(batch, st.SplitBatch):
+        split = isinstance(batch, st.SplitBatch)  # its statistics are written
+        for number, sums in enumerate(self.back):
+            stats = sums(batch, weights, stats if split and not number else cut_lineage(stats))
+        if split:
+            if self.back:
+                stats = cut_lineage(stats)  # read by hot cells and cold cells
             cold, hot = self.sums_of.split(batch, stats, weights)
             met = state.join(cold.hint("shuffle_hash"), "feature", "left")
             return met.join(F.broadcast(hot.select(*self._hot)), "feature", "left").select(*self._either).select(*self._changed)

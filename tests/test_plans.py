@@ -258,6 +258,21 @@ def test_the_plan_of_a_large_model_does_not_grow_with_its_iterations(spark, monk
     assert len(seen) == 5 and max(seen) < 1000
 
 
+def test_the_sums_of_a_way_back_are_taken_once(spark, monkeypatch):
+    """Hot and cold cells read the written sums, and the given statistics, written before, are not written again."""
+    from slicegrad.registry.jobs import Gated
+
+    points, placement, _, _, batch = split_setup(spark)
+    plan, written = Plan(Gated(), Sgd(), placement, 50, 0.1, 0.0), []
+    with loop_settings(spark, 4):
+        state = cut_lineage(initial_state(spark, Gated(), Sgd(), 200, 4, 42))
+        stats = cut_lineage(plan.stats(batch, state))
+        monkeypatch.setattr(train_module, "cut_lineage", lambda df: written.append(df) or cut_lineage(df))
+        text = executed(plan.step(batch, stats, state))
+    assert len(written) == 1 and "pull" in written[0].columns
+    assert "keys=[feature" in text and "keys=[slot" not in text
+
+
 def test_a_second_run_draws_from_the_store_without_the_points(spark, tmp_path, monkeypatch):
     make_points(spark, skewed_rows()).write.parquet(str(tmp_path / "points"))
     points = spark.read.parquet(str(tmp_path / "points"))
@@ -318,6 +333,13 @@ def test_no_python_in_the_loop(spark):
     assert "Python" not in text and "Pandas" not in text and "CartesianProduct" not in text
 
 
+@pytest.mark.parametrize("size", [400, 0])
+def test_hot_features_need_no_python_where_they_are_read(spark, size):
+    placement = st.split_placement(make_points(spark, skewed_rows(size) or [(0, {})]), 1, 4)
+    assert "LocalTableScan" in executed(placement.hot) and "ExistingRDD" not in executed(placement.hot)
+    assert placement.hot.dtypes == [("feature", "int")] and placement.hot.isEmpty() == (size == 0)
+
+
 def test_plans_grow_with_the_classes_only(spark):
     """The softmax is staged: its plan for four times the classes is about four times as long."""
     def factors(classes):
